@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_jaccard_join, substring_dedup
+from . import ngram_jaccard_join, substring_dedup, token_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_file.write_tokens(table(spark, sf_dir, "documents"), token_file.new_folder(spark))
+    return token_file.read_tokens(spark, folder, digests=True).withColumnRenamed("id", "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -24,6 +29,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_file": op2_token_file,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 U = np.uint64
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -109,7 +109,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 
 
 def split(row: int, data: np.ndarray, bounds: np.ndarray) -> Block:
-    black = ~_WHITE[data]
+    black = ~WHITE[data]
     before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
     before[1:], after[:-1] = black, black
     before[bounds] = False  # rows don't run into one another
