@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_jaccard_join, substring_dedup, token_file
+from . import curriculum_mix, line_dedup, ngram_jaccard_join, substring_dedup, token_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,25 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join.link_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = curriculum_mix.readings(table(spark, sf_dir, "documents"))
+    same = [F.first(c).alias(c) for c in ("size", "source_size", "target")]
+    return taken.groupBy(F.col("id").alias("doc_id")).agg(*same, F.sum("words").alias("taken"), F.min("position").alias("position"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_curriculum_mix": op7_curriculum_mix,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_curriculum_mix": curriculum_mix.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
