@@ -25,12 +25,12 @@ def repeated_positions(docs: DataFrame, span: int = SPAN) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(" \t\r")).alias("x")))
     lines = F.filter(lines, lambda s: s["x"] != "")
     slim = docs.select("id", F.transform(lines, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["x"]).alias("a"), F.hash(s["x"]).alias("b"))).alias("l"))
-    windows = slim.where(F.size("l") >= span).select(
-        "id", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - span), lambda i: F.struct(i.alias("i"), F.slice("l", i + 1, span).alias("w")))).alias("s")
-    )
-    lines_at = F.transform("s.w", lambda x: x["at"])
+    each = F.transform(F.sequence(F.lit(1), F.size("l") - (span - 1)), lambda i: F.slice("l", i, span))
+    # outer: Spark then infers no filter that would make the windows twice
+    windows = slim.select("id", F.when(F.size("l") >= span, each).alias("w")).select("id", F.explode_outer("w").alias("w")).where("w is not null")
+    lines_at = F.transform("w", lambda x: x["at"])
     rows = windows.select(
-        "id", lines_at.alias("lines"), F.xxhash64(*[F.col("s.w")[j]["a"] for j in range(span)]).alias("h"), F.hash(*[F.col("s.w")[j]["b"] for j in range(span)]).alias("g")
+        "id", lines_at.alias("lines"), F.xxhash64(*[F.col("w")[j]["a"] for j in range(span)]).alias("h"), F.hash(*[F.col("w")[j]["b"] for j in range(span)]).alias("g")
     )
     rows = cut(rows.select("h", "g", "id", F.col("lines")[0].alias("at"), F.array_max("lines").alias("last"), "lines"), "op10-windows")
     first = rows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("first")).where("c > 1").select("h", "g", "first")

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, line_dedup, ngram_jaccard_join, substring_dedup, token_file
+from . import curriculum_mix, line_dedup, ngram_jaccard_join, substring_dedup, template_decontam, token_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_file.write_tokens(table(spark, sf_dir, "documents"), token_file.new_folder(spark))
     return token_file.read_tokens(spark, folder, digests=True).withColumnRenamed("id", "doc_id")
@@ -40,6 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontam": op1_template_decontam,
     "op2_token_file": op2_token_file,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_template_decontam": template_decontam.ORACLE_SQL,
     "op7_curriculum_mix": curriculum_mix.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
