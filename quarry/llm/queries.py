@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, hilbert_neighbours, line_dedup, ngram_jaccard_join, substring_dedup, template_decontam, token_file
+from . import curriculum_mix, hilbert_neighbours, line_dedup, ngram_jaccard_join, site_quality, substring_dedup, template_decontam, token_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontam": op1_template_decontam,
     "op2_token_file": op2_token_file,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_site_quality": op4_site_quality,
     "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_curriculum_mix": op7_curriculum_mix,
