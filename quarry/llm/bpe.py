@@ -123,34 +123,45 @@ class Encoder:
             entry[missing] = self.table.find(key[missing], check[missing])
         return self.table.begin[entry], self.table.length[entry]
 
+    def _cut(self, b: W.Block) -> tuple[np.ndarray, ...]:
+        """Pieces of a block: row, first byte, place and number of ids; a row of odd white space is one piece."""
+        # a piece begins at the end of the word before it, or of the row before
+        n = len(b.starts)
+        lo = np.empty(n, np.int64)
+        lo[1:] = b.ends[:-1]
+        some = b.first[1:] > b.first[:-1]
+        lo[b.first[:-1][some]] = b.bounds[:-1][some]
+        last = b.bounds[:-1].copy()  # where each row's last word ends
+        last[some] = b.ends[b.first[1:][some] - 1]
+        tail = np.flatnonzero(last < b.bounds[1:])  # rows that end in white space
+        mark = self._marks(b.data, lo, b.ends)
+        cut = np.flatnonzero(mark < b.ends)
+        lo, hi = np.concatenate([lo, mark[cut], last[tail]]), np.concatenate([mark, b.ends[cut], b.bounds[1:][tail]])
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], hi[order]
+        row = np.searchsorted(b.bounds, lo, "right") - 1
+        odd = self._odd(b)
+        if len(odd):
+            mine = np.isin(row, odd)
+            lo, hi, row = lo[~mine], hi[~mine], row[~mine]
+        begin, length = self._places(b.data, lo, hi) if len(lo) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        if len(odd):
+            at, n_ids = self._keep(self.whole([b.data[b.bounds[i] : b.bounds[i + 1]].tobytes().decode() for i in odd]))
+            row, lo, begin, length = (np.concatenate([x, y]) for x, y in ((row, odd), (lo, b.bounds[odd]), (begin, at), (length, n_ids)))
+            order = np.argsort(row, kind="stable")
+            row, lo, begin, length = row[order], lo[order], begin[order], length[order]
+        return row, lo, begin, length
+
+    def pieces(self, texts: pa.Array) -> Iterator[tuple[W.Block, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each block: row, first byte and number of ids of each piece."""
+        for b in W.blocks(texts, BLOCK_BYTES):
+            row, lo, _, length = self._cut(b)
+            yield b, row, lo, length
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some rows on end, number of ids of each); nulls have none."""
         for b in W.blocks(texts, BLOCK_BYTES):
-            # a piece begins at the end of the word before it, or of the row before
-            n = len(b.starts)
-            lo = np.empty(n, np.int64)
-            lo[1:] = b.ends[:-1]
-            lo[b.first[:-1][b.first[:-1] < b.first[1:]]] = b.bounds[:-1][b.first[:-1] < b.first[1:]]
-            last = b.bounds[:-1].copy()  # where each row's last word ends
-            some = b.first[1:] > b.first[:-1]
-            last[some] = b.ends[b.first[1:][some] - 1]
-            tail = np.flatnonzero(last < b.bounds[1:])  # rows that end in white space
-            mark = self._marks(b.data, lo, b.ends)
-            cut = np.flatnonzero(mark < b.ends)
-            lo, hi = np.concatenate([lo, mark[cut], last[tail]]), np.concatenate([mark, b.ends[cut], b.bounds[1:][tail]])
-            order = np.argsort(lo, kind="stable")
-            lo, hi = lo[order], hi[order]
-            row = np.searchsorted(b.bounds, lo, "right") - 1
-            odd = self._odd(b)
-            if len(odd):
-                mine = np.isin(row, odd)
-                lo, hi, row = lo[~mine], hi[~mine], row[~mine]
-            begin, length = self._places(b.data, lo, hi) if len(lo) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-            if len(odd):
-                at, n_ids = self._keep(self.whole([b.data[b.bounds[i] : b.bounds[i + 1]].tobytes().decode() for i in odd]))
-                row, begin, length = (np.concatenate([x, y]) for x, y in ((row, odd), (begin, at), (length, n_ids)))
-                order = np.argsort(row, kind="stable")
-                row, begin, length = row[order], begin[order], length[order]
+            row, _, begin, length = self._cut(b)
             total = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
             ids = self.flat[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
             yield b.row, ids, np.diff(total[np.searchsorted(row, np.arange(len(b) + 1))])

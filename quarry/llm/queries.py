@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, hilbert_neighbours, line_dedup, ngram_jaccard_join, site_quality, substring_dedup, template_decontam, token_file
+from . import curriculum_mix, edit_counts, hilbert_neighbours, licence_rules, line_dedup, ngram_jaccard_join, site_quality, substring_dedup, template_decontam, token_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,15 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.groupBy(F.col("id").alias("doc_id")).agg(*same, F.sum("words").alias("taken"), F.min("position").alias("position"))
 
 
+def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_rules.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edit_counts.redacted_counts(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "tokens_before", "tokens_after", "n_edits", "bytes_encoded", F.size("leaf_tokens").alias("n_leaves"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,10 +69,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_curriculum_mix": op7_curriculum_mix,
+    "op8_licence_rules": op8_licence_rules,
+    "op9_edit_counts": op9_edit_counts,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_template_decontam": template_decontam.ORACLE_SQL,
     "op7_curriculum_mix": curriculum_mix.ORACLE_SQL,
+    "op8_licence_rules": licence_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
