@@ -7,9 +7,9 @@ Two documents link when the Jaccard similarity of their sets of distinct 3-word
   threshold t, a set of n has the l-prefix of its first n - ceil(t n) + l shingles, and two sets over the threshold share
   at least min(l, l') shingles of their prefixes.  Each document takes the l of the least estimated cost: shingle
   postings to read, and candidates to verify, at most (postings / l).
-* Stars first: each document meets only the smallest document of each posting list.  After these links are closed,
-  only documents of different components meet, so a group of near copies costs about its size and not its square,
-  and still no link between components is missed.
+* Stars first: each document meets only the most central document of each posting list.  After these links are closed,
+  only documents of different components meet, behind a positional bound on their overlap, so a group of near copies
+  costs about its size and not its square, and still no link between components is missed.
 * Candidates are verified on whole sets.
 
 Nulls, empty texts and texts of white space have an empty set and link with nothing; repeated ids are the caller's
@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
@@ -97,11 +97,10 @@ def _prefixes(batches, k: int, percent: int, frequent):
         )
 
 
-def _sets(batches, k: int):
+def _sets(batches, k: int, keep=()):
     for batch in batches:
-        ids = W.column_long(batch, "id")
-        found = [(ids[row], s.tobytes()) for row, s in shingle_sets(W.column(batch, "text"), k)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["id", "items"])
+        items = pa.array([s.tobytes() for _, s in shingle_sets(W.column(batch, "text"), k)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("id"), items], names=[*keep, "id", "items"])
 
 
 def _verified(batches, percent: int):
@@ -117,25 +116,34 @@ def _verified(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    return both.select("a", "b", "items_a", "items_b").mapInArrow(partial(_verified, percent=percent), "a long, b long")
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b), an already written table, whose whole sets are similar enough."""
+    sets = partial(_sets, k=k)
+    seconds = docs.join(small_side(pairs.select("a", F.col("b").alias("id"))), "id").select("a", "id", "text")
+    seconds = seconds.mapInArrow(partial(sets, keep=("a",)), "a long, id long, items binary").select("a", F.col("id").alias("b"), F.col("items").alias("items_b"))
+    firsts = docs.join(small_side(pairs.select(F.col("a").alias("id")).distinct()), "id").select("id", "text")
+    firsts = firsts.mapInArrow(sets, "id long, items binary").select(F.col("id").alias("a"), F.col("items").alias("items_a"))
+    both = seconds.join(firsts, "a").select("a", "b", "items_a", "items_b")
+    return both.mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
 
 def prefix_rows(reps: DataFrame, percent: int) -> DataFrame:
-    """Rows (id, n, l, token): the tokens that occur in two or more prefixes, of each document's own l-prefix."""
-    rows = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    """Rows (id, n, l, centre, token, pos, r) of the tokens that occur in two or more prefixes, of each document's own
+    l-prefix: pos, the token's place in its set's order; r, how many such tokens stand before it; centre, the share of
+    such tokens in the longest prefix."""
+    rows = reps.select("id", F.posexplode("prefix").alias("pos", "token"))
     df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    rows = cut(rows.join(df, "token"), "op6-rows")
-    base = f"(n - (n * {percent} + 99) div 100)"
-    most = f"((n * {percent} + 99) div 100)"  # the least overlap that links; l may not exceed it
-    costs = rows.groupBy("id").agg(*[F.expr(f"sum(if(pos < {base} + {k}, df - 1, 0))").alias(f"c{k}") for k in MATCHES], F.first("n").alias("n"), F.count("*").alias("c"))
+    rows = rows.join(df, "token").join(reps.select("id", "n", F.size("prefix").alias("size")), "id")
+    one, least = Window.partitionBy("id"), f"((n * {percent} + 99) div 100)"  # an overlap that links is at least this
+    within = lambda k: F.sum(F.expr(f"if(pos < n - {least} + {k}, df - 1, 0)")).over(one)
+    options = [F.when(F.expr(f"{k} <= {least}"), F.struct((within(k) * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("l"))) for k in MATCHES]
+    rows = rows.select(
+        "id", "n", "token", "pos", "size", F.array_min(F.array_compact(F.array(*options)))["l"].alias("l"),
+        F.count("*").over(one).alias("c"), F.row_number().over(one.orderBy("pos")).alias("r"),
+    )
     # Two sets over the threshold share max(MATCHES) tokens of their longest prefixes, or all that the overlap has.
-    costs = costs.where(f"c >= least({max(MATCHES)}, {most})")
-    options = [F.expr(f"if({k} <= {most}, struct(c{k} + {VERIFY_COST} * c{k} / {k} as cost, {k} as l), null)") for k in MATCHES]
-    chosen = costs.select("id", F.array_min(F.array_compact(F.array(*options)))["l"].alias("l"))
-    return rows.join(chosen, "id").where(f"pos < {base} + l").select("id", "n", "l", "token")
+    rows = rows.where(f"c >= least({max(MATCHES)}, {least}) and pos < n - {least} + l")
+    return rows.select("id", "n", F.expr("cast(l as int)").alias("l"), F.expr("cast(1000 * c div size as int)").alias("centre"), "token", "pos", F.expr("r - 1").alias("r"))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -153,42 +161,52 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs.mapInArrow(partial(_prefixes, k=k, percent=percent, frequent=frequent), "id long, n long, sign_a long, sign_b long, prefix array<long>"), "op6-signed"
     )
     classes = cut(signed.groupBy("n", "sign_a", "sign_b").agg(F.min("id").alias("rep")), "op6-classes")
-    reps = signed.join(classes.where("n > 0").select(F.col("rep").alias("id")), "id", "left_semi")
-    rows = cut(prefix_rows(reps, percent), "op6-own")
-    able = small_side(cut(rows.select("id").distinct(), "op6-able"))
-    sets = cut(docs.join(able, "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, items binary"), "op6-sets")
-
-    links = _verify(_stars(rows, percent), sets, percent)
-    links = cut(links, "op6-star-links")
-    label = components(links).withColumnRenamed("component", "label")
-    rows = rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = cut(_verify(_crossing(cut(rows, "op6-labelled"), percent), sets, percent), "op6-links")
+    reps = signed.join(small_side(classes.where("n > 0").select(F.col("rep").alias("id"))), "id", "left_semi")
+    rows = cut(prefix_rows(reps, percent), "op6-rows")
+
+    links = cut(_verify(cut(_stars(rows, percent), "op6-stars"), docs, k, percent), "op6-star-links")
+    label = cut(components(links), "op6-labels").withColumnRenamed("component", "label")
+    rows = rows.join(small_side(label), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = cut(_crossing(rows, percent), "op6-crossing")
+    rest = cut(_verify(rest, docs, k, percent), "op6-links")
     joined = components(links.unionByName(rest)) if rest.limit(1).count() else label.withColumnRenamed("label", "component")
     # copies follow their class's smallest id
-    of_class = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sign_a", "sign_b", F.coalesce("component", "rep").alias("class_component"))
-    return signed.join(of_class, ["n", "sign_a", "sign_b"]).select(
+    of_class = classes.join(small_side(joined.withColumnRenamed("id", "rep")), "rep", "left").select("n", "sign_a", "sign_b", F.coalesce("component", "rep").alias("class_component"))
+    return signed.select("id", "n", "sign_a", "sign_b").join(of_class, ["n", "sign_a", "sign_b"]).select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_component")).otherwise(F.col("id")).alias("component_id")
     )
 
 
-def _close(percent: int) -> str:
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-
-
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a document and the smallest id of a posting list, that share half of the smaller prefix or more."""
-    hub = rows.groupBy("token").agg(F.min(F.struct("id", "n", "l")).alias("hub")).selectExpr("token", "hub.id id", "hub.n n", "hub.l l")
-    pairs = rows.alias("x").join(hub.alias("y"), "token").where(f"x.id > y.id and {_close(percent)}")
-    pairs = pairs.groupBy(F.col("y.id").alias("a"), F.col("x.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.expr(f"least(x.n - (x.n * {percent} + 99) div 100, y.n - (y.n * {percent} + 99) div 100)")).alias("p"))
-    return pairs.where("2 * c >= p").select("a", "b")
+    """Pairs of a document and the most central of a posting list, that share half of the smaller prefix or more.
+
+    The most central has the fewest tokens of its own: the original among its edited copies."""
+    hub = rows.groupBy("token").agg(F.min(F.struct((-F.col("centre")).alias("far"), "id", "n")).alias("hub"))
+    hub = hub.selectExpr("token", "hub.id as hub", "hub.n as hub_n")
+    pairs = rows.join(hub, "token").where(f"id <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    pairs = pairs.groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.first(F.expr("least(n, hub_n)")).alias("n"))
+    return pairs.where(f"2 * c >= n - (n * {percent} + 99) div 100").select("a", "b")
 
 
 def _crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share min(l, l') prefix tokens."""
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
-    groups = rows.select("token", F.col("label").alias("other")).distinct()
-    ways = rows.join(groups, "token").where("label < other")
-    pairs = ways.alias("x").join(rows.alias("y"), F.expr("x.token = y.token and x.other = y.label")).where(_close(percent))
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.expr("least(x.l, y.l)")).alias("least"))
-    return pairs.where("c >= least").select("a", "b")
+    """Pairs of different components that share min(l, l') prefix tokens and may overlap enough.
+
+    Of two sets that share a token, at most the smaller r and the smaller rest of both orders can be common.  A posting
+    list's hub is its most central document; one of any two components differs from the hub's, so only such documents
+    look for partners, after a first test against the best the whole list could offer."""
+    rows = rows.withColumn("rest", F.col("n") - F.col("pos"))
+    lists = rows.groupBy("token").agg(
+        F.min(F.struct((-F.col("centre")).alias("far"), "id", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.max("r").alias("most_r"), F.max("rest").alias("most_rest"), F.min("n").alias("least_n"),
+    )
+    lists = lists.where("lo <> hi").selectExpr("token", "hub.label as hub", "most_r", "most_rest", "least_n")
+    enough = lambda r, rest, total: f"{100 + percent} * (least({r}) + least({rest})) >= {percent} * ({total})"
+    seekers = rows.join(lists, "token").where(
+        "label <> hub and " + enough("r, most_r", "rest, most_rest", f"n + greatest(least_n, (n * {percent} + 99) div 100)")
+    )
+    pairs = seekers.select("token", "id", "n", "l", "label", "r", "rest", "hub").alias("x").join(rows.alias("y"), "token")
+    pairs = pairs.where(f"x.label <> y.label and (y.label = x.hub or x.id < y.id) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    pairs = pairs.where(enough("x.r, y.r", "x.rest, y.rest", "x.n + y.n"))
+    pairs = pairs.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    # Every shared token of a pair that links passes the bound and gives one row, so its count is whole.
+    return pairs.agg(F.count("*").alias("c"), F.first(F.least("x.l", "y.l")).alias("least")).where("c >= least").select("a", "b")
