@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from . import wordhash as W
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: ASCII marks other than the apostrophe, and bytes that can end a word before such marks.
 MARK = np.array([33 <= i < 127 and i != 39 and not chr(i).isalnum() for i in range(256)])
 ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
