@@ -1,10 +1,603 @@
-"""Registry of the queries of the reference's operators, with their oracle SQL."""
+"""Registry of the queries of the reference's operators, each with the SQL of the same result for DuckDB.
+
+Concepts map to the tables thus: messages are ``conversations``, task texts ``documents`` (split by a salted digest of
+their source), outcomes ``labels``, held-out items ``benchmark``, identities ``pages.url``, JSON payloads
+``events.props``, numbers and orders ``lineitem``, ``orders`` and ``events``, vectors ``embeddings``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import identity as I
+from .functions import text as X
+from .operators import contamination as C
+from .operators import episodes as E
+from .operators import metrics as M
+from .operators import packing as P
+from .operators import selection as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SALT, BUCKETS = "salt", 10_000
+RANGES = {"test": (0, 2499), "dev": (2500, 4999), "train": (5000, 9999)}
+ASSISTANT = F.col("role") == "assistant"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def docs_split(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """documents with their digest bucket and split; the group is the source."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("group_sha256", I.group_digest(F.concat(F.lit("task:"), F.col("source")), SALT))
+    docs = docs.withColumn("bucket", I.bucket(F.col("group_sha256"), BUCKETS)).withColumn("split", I.split_of(F.col("bucket"), RANGES))
+    return docs.select(*columns) if columns else docs
+
+
+_SPLIT = """CASE WHEN bucket <= 2499 THEN 'test' WHEN bucket <= 4999 THEN 'dev' ELSE 'train' END"""
+_DOCS = f"""docs AS (
+  SELECT *, {_SPLIT} AS split FROM (
+    SELECT *, (('0x' || substr(group_sha256, 1, 16))::UBIGINT % 10000)::BIGINT AS bucket FROM (
+      SELECT *, sha256('sha256_salted_bucket_v1' || chr(0) || 'repo_else_task_v1' || chr(0) || 'salt' || chr(0) || 'task:' || source) AS group_sha256 FROM documents)))"""
+_FOLDED = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"
+
+
+# --- identity and splits -------------------------------------------------------------------------------------------
+@query("SELECT conv_id, turn, sha256('decision' || chr(31) || conv_id || chr(31) || turn) AS decision_id FROM conversations")
+def stable_id(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", I.stable_id(F.lit("decision"), "conv_id", "turn").alias("decision_id"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, group_sha256, bucket FROM docs")
+def bucket_split(spark, sf_dir):
+    return docs_split(spark, sf_dir, "doc_id", "group_sha256", "bucket")
+
+
+@query(f"WITH {_DOCS} SELECT DISTINCT source, bucket, split FROM docs")
+def split_for_identity(spark, sf_dir):
+    return docs_split(spark, sf_dir, "source", "bucket", "split").distinct()
+
+
+@query(f"WITH {_DOCS} SELECT split, count(*) AS episodes, count(DISTINCT source) AS groups FROM docs GROUP BY split")
+def split_counts(spark, sf_dir):
+    return docs_split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("episodes"), F.countDistinct("source").alias("groups"))
+
+
+@query("SELECT lang, count(*) AS episodes, count(DISTINCT source) AS groups FROM documents GROUP BY lang")
+def source_group_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "lang", "source").groupBy("lang").agg(F.count("*").alias("episodes"), F.countDistinct("source").alias("groups"))
+
+
+@query("""SELECT source, bit_or((1 << (CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END))::INTEGER)::INTEGER AS mask FROM documents
+GROUP BY source HAVING bit_count(bit_or((1 << (CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END))::INTEGER)) > 1""")
+def cross_source_groups(spark, sf_dir):
+    place = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "fr", 2).otherwise(3)
+    masks = table(spark, sf_dir, "documents", "source", "lang").groupBy("source").agg(F.bit_or(F.expr("1") * F.pow(F.lit(2), place).cast("int")).alias("mask"))
+    return masks.where(F.bit_count("mask") > 1)
+
+
+@query("""WITH r(split, lo, hi) AS (VALUES ('test', 0, 2499), ('dev', 2500, 4999), ('train', 5000, 9999)), b AS (SELECT unnest(range(10000)) AS bucket)
+SELECT n_ranges, count(*) AS buckets FROM (SELECT bucket, count(split) AS n_ranges FROM b LEFT JOIN r ON bucket BETWEEN lo AND hi GROUP BY bucket) GROUP BY n_ranges""")
+def range_coverage(spark, sf_dir):
+    ranges = F.broadcast(spark.createDataFrame([(s, *r) for s, r in RANGES.items()], "split string, lo long, hi long"))
+    met = spark.range(BUCKETS).join(ranges, F.col("id").between(F.col("lo"), F.col("hi")), "left").groupBy("id").agg(F.count("split").alias("n_ranges"))
+    return met.groupBy("n_ranges").agg(F.count("*").alias("buckets"))
+
+
+_URL_REPO = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(url), '\', '/'), '^(https://github\.com/|http://github\.com/|github\.com/)', ''), '/+', '/', 'g'), '^/+|/+$', '', 'g'), '\.git$', '')"""
+
+
+@query(f"SELECT page_id, {_URL_REPO} AS repo FROM pages")
+def normalize_repo(spark, sf_dir):
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", I.repository(I.folded("url")).alias("repo"))
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'repo:' || {_URL_REPO} WHEN page_id % 3 = 1 THEN 'repo:owner/name-' || page_id % 7 ELSE 'task:task-' || page_id % 11 END AS identity FROM pages""")
+def group_identity(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    task = F.expr("if(page_id % 3 = 1, concat('owner__name-', page_id % 7, '-', page_id), concat('task-', page_id % 11, '_copy', page_id % 5))")
+    repo = F.when(F.col("page_id") % 3 == 0, I.folded("url")).when(F.col("page_id") % 2 == 0, F.lit("unknown"))
+    return pages.select("page_id", I.group_identity(repo, task).alias("identity"))
+
+
+# --- messages and decisions ----------------------------------------------------------------------------------------
+@query("SELECT conv_id, turn::INTEGER AS pos, role, text AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations)")
+def explode_messages(spark, sf_dir):
+    packed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    return packed.select("conv_id", F.explode("messages").alias("m")).select("conv_id", F.col("m.turn").cast("int").alias("pos"), "m.role", F.col("m.text").alias("content"))
+
+
+@query("""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS turn_id,
+  sha256('decision' || chr(31) || conv_id || chr(31) || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)) AS decision_id
+FROM conversations WHERE role = 'assistant' AND text <> ''""")
+def turn_numbering(spark, sf_dir):
+    rows = E.turn_numbers(table(spark, sf_dir, "conversations"), ASSISTANT & (F.col("text") != ""))
+    return rows.select("conv_id", "turn", "turn_id", I.stable_id(F.lit("decision"), "conv_id", "turn_id").alias("decision_id"))
+
+
+@query("""WITH m AS (SELECT *, coalesce(sum((role = 'assistant')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM conversations),
+told AS (SELECT conv_id, seg, count(*) AS n, min(text) AS one, to_json(list({'content': text, 'role': role, 'tool_call_id': NULL::VARCHAR} ORDER BY turn))::VARCHAR AS many
+  FROM m WHERE role IN ('user', 'tool') AND text <> '' GROUP BY conv_id, seg)
+SELECT a.conv_id, a.turn, CASE WHEN p.n IS NULL THEN '' WHEN p.n = 1 THEN p.one ELSE p.many END AS previous,
+  CASE WHEN x.n IS NULL THEN '' WHEN x.n = 1 THEN x.one ELSE x.many END AS "next"
+FROM m a LEFT JOIN told p ON p.conv_id = a.conv_id AND p.seg = a.seg LEFT JOIN told x ON x.conv_id = a.conv_id AND x.seg = a.seg + 1 WHERE a.role = 'assistant'""")
+def decision_observations(spark, sf_dir):
+    return E.with_observations(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "previous", "next")
+
+
+@query("""SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> ''), arg_min(text, turn) FILTER (WHERE text <> ''), '') AS task_text FROM conversations GROUP BY conv_id""")
+def first_task_message(spark, sf_dir):
+    return E.first_task_text(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN 'mechanical_action' ELSE array_to_string(l, ',') END AS decision_type FROM (
+  SELECT conv_id, turn, list_filter([
+    CASE WHEN regexp_matches(lower(text), 'grep|find|search|open|read|cat') THEN 'information_gathering' END,
+    CASE WHEN regexp_matches(lower(text), 'edit|write|patch|sed|create') THEN 'editing' END,
+    CASE WHEN regexp_matches(lower(text), 'test|pytest|verify|lint') THEN 'verification' END,
+    CASE WHEN regexp_matches(lower(text), 'finish|submit') THEN 'termination' END], lambda x: x IS NOT NULL) AS l
+  FROM conversations WHERE role = 'assistant')""")
+def decision_types(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where(ASSISTANT)
+    return rows.select("conv_id", "turn", F.array_join(E.decision_types(F.col("text")), ",").alias("decision_type"))
+
+
+@query("""SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 'System: ' WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text || chr(10) || chr(10), '' ORDER BY turn) AS rendered
+FROM conversations GROUP BY conv_id""")
+def render_episode(spark, sf_dir):
+    return E.rendered_episodes(table(spark, sf_dir, "conversations"))
+
+
+@query("""WITH t AS (SELECT *, max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS target FROM conversations),
+p AS (SELECT * FROM t WHERE turn < target),
+g AS (SELECT *, sum(CASE WHEN rn = 1 OR role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp,
+    min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS first_user, max(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS last_user,
+    coalesce(max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id), min(turn) OVER (PARTITION BY conv_id)) AS latest
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM p))
+SELECT conv_id, target, grp::BIGINT AS grp, count(*) AS n_messages FROM g GROUP BY conv_id, target, grp
+HAVING NOT bool_or(role IN ('system', 'developer') OR coalesce(turn = first_user OR turn = last_user, false) OR turn >= latest)""")
+def removable_groups(spark, sf_dir):
+    return E.removable_groups(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT conv_id, sha256(to_json(list({'action': NULL::VARCHAR, 'content': text, 'reasoning': '', 'role': role} ORDER BY turn))::VARCHAR) AS digest FROM conversations GROUP BY conv_id""")
+def episode_content_digest(spark, sf_dir):
+    return E.content_digests(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT conv_id, sha256(to_json(list({'content': text, 'role': role} ORDER BY turn))::VARCHAR) AS digest FROM conversations GROUP BY conv_id""")
+def trace_digest(spark, sf_dir):
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("content"), "role"))), lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.to_json(parts), 256).alias("digest"))
+
+
+@query("""SELECT doc_id, q, CASE WHEN q IN ('1', 'true', 'success', 'succeeded', 'resolved', 'passed', 'pass') THEN true
+  WHEN q IN ('0', 'false', 'failure', 'failed', 'unresolved', 'error') THEN false END AS success
+FROM (SELECT doc_id, lower(trim(CASE doc_id % 4 WHEN 0 THEN quality::VARCHAR WHEN 1 THEN ' Passed ' WHEN 2 THEN 'unresolved' ELSE '-1' END)) AS q FROM labels)""")
+def normalize_success(spark, sf_dir):
+    value = F.expr("case doc_id % 4 when 0 then cast(quality as string) when 1 then ' Passed ' when 2 then 'unresolved' else '-1' end")
+    return table(spark, sf_dir, "labels").select("doc_id", F.lower(F.trim(value)).alias("q"), X.normalize_success(value).alias("success"))
+
+
+@query("SELECT event_id, to_json(json(props))::VARCHAR AS canonical FROM events")
+def canonical_json(spark, sf_dir):
+    return table(spark, sf_dir, "events", "event_id", "props").select("event_id", X.canonical_json(F.col("props")).alias("canonical"))
+
+
+# --- fingerprints and contamination --------------------------------------------------------------------------------
+@query(f"SELECT doc_id, sha256({_FOLDED}) AS digest FROM documents")
+def text_digest(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(I.folded("text"), 256).alias("digest"))
+
+
+@query(f"SELECT digest, min(doc_id) AS first_doc, count(*) AS copies FROM (SELECT doc_id, sha256({_FOLDED}) AS digest FROM documents) GROUP BY digest")
+def exact_text_dedup(spark, sf_dir):
+    return text_digest(spark, sf_dir).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+
+
+def _tasks(spark, sf_dir) -> DataFrame:
+    return docs_split(spark, sf_dir, "doc_id", "text", "split").withColumn("folded", I.folded("text")).withColumn("digest", F.sha2("folded", 256))
+
+
+@query(f"""WITH {_DOCS} SELECT digest, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM (SELECT split, sha256({_FOLDED}) AS digest FROM docs) GROUP BY digest HAVING count(DISTINCT split) > 1""")
+def cross_split_exact(spark, sf_dir):
+    return C.exact_cross_split(_tasks(spark, sf_dir).select("digest", "split"))
+
+
+_INDEX = rf"""{_DOCS}, tasks AS (SELECT doc_id, split, {_FOLDED} AS folded FROM docs),
+idx AS (SELECT DISTINCT folded, sha256(folded) AS digest FROM tasks),
+words AS (SELECT digest, folded, regexp_extract_all(folded, '[\p{{L}}\p{{N}}_\p{{M}}]+') AS w FROM idx),
+sh AS (SELECT digest, CASE WHEN len(w) < 5 THEN [sha256(folded)] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(sha256(array_to_string(w[i:i + 4], ' ')), 1, 16))) END AS s FROM words)"""
+
+
+@query(f"WITH {_INDEX} SELECT digest, len(s)::INTEGER AS n, list_aggregate(s, 'min') AS least, list_aggregate(s, 'max') AS greatest FROM sh")
+def shingles(spark, sf_dir):
+    index = C.task_index(_tasks(spark, sf_dir))
+    return index.select("digest", F.size("shingles").alias("n"), F.array_min("shingles").alias("least"), F.array_max("shingles").alias("greatest"))
+
+
+def _bands_sql() -> str:
+    perms = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(X.permutations()))
+    return f"""{_INDEX}, perms(i, a, b) AS (VALUES {perms}),
+vals AS (SELECT digest, ('0x' || substr(v, 1, 15))::UBIGINT::HUGEINT AS v FROM (SELECT digest, unnest(s) AS v FROM sh)),
+sig AS (SELECT digest, i, min((a * v + b) % {X.PRIME}) AS m FROM vals CROSS JOIN perms GROUP BY digest, i),
+bands AS (SELECT digest, (i // 4)::INTEGER AS band, sha256('[' || string_agg(m::VARCHAR, ',' ORDER BY i) || ']') AS value FROM sig GROUP BY digest, i // 4)"""
+
+
+@query(f"WITH {_bands_sql()} SELECT digest, band, value FROM bands")
+def minhash_bands(spark, sf_dir):
+    return C.bands(C.task_index(_tasks(spark, sf_dir)).repartition("digest"))
+
+
+@query(f"WITH {_bands_sql()} SELECT DISTINCT a.digest AS a, b.digest AS b FROM bands a JOIN bands b USING (band, value) WHERE a.digest < b.digest")
+def lsh_candidates(spark, sf_dir):
+    found = C.bands(C.task_index(_tasks(spark, sf_dir)).repartition("digest"))
+    return C.candidates(found, found).where("a < b")
+
+
+_NEAR = f"""{_bands_sql()}, cand AS (SELECT DISTINCT a.digest AS a, b.digest AS b FROM bands a JOIN bands b USING (band, value) WHERE a.digest < b.digest),
+near AS (SELECT a, b, len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) AS jaccard FROM cand JOIN sh x ON x.digest = a JOIN sh y ON y.digest = b
+  WHERE len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.8)"""
+
+
+@query(f"WITH {_NEAR} SELECT a, b, jaccard FROM near")
+def near_duplicates(spark, sf_dir):
+    return C.near_pairs(C.task_index(_tasks(spark, sf_dir)).repartition("digest"))
+
+
+@query(f"""WITH {_NEAR}, own AS (SELECT DISTINCT sha256(folded) AS digest, split FROM tasks), both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near)
+SELECT digest, split, 'cross_split_exact_task' AS finding FROM own o WHERE EXISTS (SELECT 1 FROM own p WHERE p.digest = o.digest AND p.split <> o.split)
+UNION ALL SELECT DISTINCT o.digest, o.split, 'cross_split_near_task' FROM own o JOIN both_ways w ON o.digest = w.a JOIN own p ON p.digest = w.b AND p.split <> o.split""")
+def contamination_findings(spark, sf_dir):
+    tasks = _tasks(spark, sf_dir)
+    return C.findings(tasks, C.near_pairs(C.task_index(tasks).repartition("digest")))
+
+
+@query(f"""WITH {_bands_sql()} SELECT (SELECT count(*) FROM idx) AS tasks, (SELECT count(*) FROM bands) AS bands, (SELECT count(*) FROM (SELECT DISTINCT band, value FROM bands)) AS band_values,
+(SELECT count(*) FROM (SELECT DISTINCT sha256(folded), split FROM tasks)) AS task_splits""")
+def contamination_index_stats(spark, sf_dir):
+    tasks = _tasks(spark, sf_dir)
+    found = C.bands(C.task_index(tasks).repartition("digest"))
+    counts = found.agg(F.countDistinct("digest").alias("tasks"), F.count("*").alias("bands"), F.countDistinct("band", "value").alias("band_values"))
+    return counts.crossJoin(F.broadcast(tasks.select("digest", "split").distinct().agg(F.count("*").alias("task_splits"))))  # two single rows
+
+
+@query("""WITH d AS (SELECT conv_id, sha256(string_agg(role || chr(31) || text, chr(30) ORDER BY turn)) AS trace, CASE WHEN conv_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split FROM conversations GROUP BY conv_id)
+SELECT a.conv_id FROM d a WHERE EXISTS (SELECT 1 FROM d b WHERE b.trace = a.trace AND b.split <> a.split)""")
+def cross_split_trace(spark, sf_dir):
+    parts = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws("\x1f", "role", "text").alias("x"))))
+    traces = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["x"]), "\x1e"), 256).alias("trace"))
+    traces = traces.withColumn("split", F.expr("if(conv_id % 10 = 0, 'dev', 'train')"))
+    mixed = traces.groupBy("trace").agg(F.countDistinct("split").alias("n")).where("n > 1")
+    return traces.join(mixed, "trace", "left_semi").select("conv_id")
+
+
+# --- quality and audit ---------------------------------------------------------------------------------------------
+def _sensitive_sql() -> str:
+    q = lambda p: p.replace("'", "''")
+    hits = []
+    for name, p in X.SENSITIVE.items():
+        met = f"regexp_matches(text, '{q(p)}')"
+        if name == "email":
+            domain = "lower(regexp_replace(e, '^.*@', ''))"
+            met = f"len(list_filter(regexp_extract_all(text, '{q(p)}'), lambda e: lower(e) <> '{X.SERVICE_ADDRESS}' AND NOT regexp_matches({domain}, '{X.RESERVED_DOMAIN}'))) > 0"
+        hits.append(f"CASE WHEN {met} THEN '{name}' END")
+    return f"SELECT doc_id, source, list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) AS f FROM documents"
+
+
+def _sensitive(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", X.sensitive_findings(F.col("text")).alias("f"))
+
+
+@query(f"SELECT doc_id, array_to_string(f, ',') AS findings FROM ({_sensitive_sql()}) WHERE len(f) > 0")
+def sensitive_findings(spark, sf_dir):
+    return _sensitive(spark, sf_dir).where(F.size("f") > 0).select("doc_id", F.array_join("f", ",").alias("findings"))
+
+
+@query(f"SELECT rule, count(*) AS documents FROM (SELECT unnest(f) AS rule FROM ({_sensitive_sql()})) GROUP BY rule")
+def sensitive_rule_counts(spark, sf_dir):
+    return _sensitive(spark, sf_dir).select(F.explode("f").alias("rule")).groupBy("rule").agg(F.count("*").alias("documents"))
+
+
+_LICENCE_SQL = """CASE WHEN contains(text, 'MIT License') THEN 'MIT' WHEN contains(text, 'Apache License') THEN 'Apache-2.0' WHEN contains(text, 'CC BY-NC') THEN 'CC-BY-NC-4.0' WHEN contains(text, 'General Public License') THEN 'GPL-3.0' END"""
+
+
+def _licence():
+    hit = lambda part, name, rest: F.when(F.contains("text", F.lit(part)), F.lit(name)).otherwise(rest)
+    return hit("MIT License", "MIT", hit("Apache License", "Apache-2.0", hit("CC BY-NC", "CC-BY-NC-4.0", hit("General Public License", "GPL-3.0", F.lit(None).cast("string")))))
+
+
+@query(f"SELECT doc_id, licence, coalesce(licence IN ('MIT', 'Apache-2.0', 'BSD-2-Clause', 'BSD-3-Clause'), false) AS allowed FROM (SELECT doc_id, {_LICENCE_SQL} AS licence FROM documents)")
+def license_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", _licence().alias("licence"))
+    return docs.withColumn("allowed", F.coalesce(F.col("licence").isin(*X.LICENCES), F.lit(False)))
+
+
+@query(f"SELECT licence, count(*) AS documents FROM (SELECT {_LICENCE_SQL} AS licence FROM documents) GROUP BY licence")
+def license_counts(spark, sf_dir):
+    return license_gate(spark, sf_dir).groupBy("licence").agg(F.count("*").alias("documents"))
+
+
+_AUDIT_SQL = f"""audit AS (SELECT doc_id, source, list_sort(list_distinct(list_concat(f, list_filter([
+  CASE WHEN licence IS NOT NULL AND licence NOT IN ('MIT', 'Apache-2.0', 'BSD-2-Clause', 'BSD-3-Clause') THEN 'unverified_repo_license' END,
+  CASE WHEN quality IS NULL THEN 'unknown_outcome' END, CASE WHEN trim(text) = '' THEN 'missing_task_identity' END], lambda x: x IS NOT NULL)))) AS findings
+FROM ({_sensitive_sql()}) JOIN (SELECT doc_id, text, {_LICENCE_SQL} AS licence FROM documents) USING (doc_id) LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id))"""
+
+
+def _audit(spark, sf_dir) -> DataFrame:
+    outcome = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").withColumn("licence", _licence()).join(outcome, "doc_id", "left")
+    more = [F.when(F.col("licence").isNotNull() & ~F.col("licence").isin(*X.LICENCES), "unverified_repo_license"), F.when(F.col("quality").isNull(), "unknown_outcome"), F.when(F.trim("text") == "", "missing_task_identity")]
+    found = F.array_sort(F.array_distinct(F.concat(X.sensitive_findings(F.col("text")), F.array_compact(F.array(*more)))))
+    return docs.select("doc_id", "source", found.alias("findings"))
+
+
+@query(f"WITH {_AUDIT_SQL} SELECT doc_id, array_to_string(findings, ',') AS findings FROM audit WHERE len(findings) > 0")
+def audit_findings(spark, sf_dir):
+    return _audit(spark, sf_dir).where(F.size("findings") > 0).select("doc_id", F.array_join("findings", ",").alias("findings"))
+
+
+@query(f"WITH {_AUDIT_SQL} SELECT reason, count(*) AS documents FROM (SELECT unnest(findings) AS reason FROM audit) GROUP BY reason")
+def rejection_counts(spark, sf_dir):
+    return _audit(spark, sf_dir).select(F.explode("findings").alias("reason")).groupBy("reason").agg(F.count("*").alias("documents"))
+
+
+@query(f"WITH {_DOCS} SELECT split, lang, count(*) AS documents FROM docs GROUP BY split, lang")
+def stratum_counts(spark, sf_dir):
+    return docs_split(spark, sf_dir).groupBy("split", "lang").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT text, count(*) AS n FROM conversations GROUP BY text HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# --- joins and reconciliations -------------------------------------------------------------------------------------
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def task_join_missing(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id").join(table(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT o_orderkey, o_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal < 0")
+def task_join_conflict(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus").where("o_orderstatus = 'F'")
+    return orders.join(table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal").where("c_acctbal < 0"), F.expr("o_custkey = c_custkey")).select("o_orderkey", "o_custkey", "c_nationkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)")
+def orphan_rows(spark, sf_dir):
+    kept = table(spark, sf_dir, "orders", "o_orderkey").where("o_orderkey % 7 <> 0")
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").join(kept, F.expr("l_orderkey = o_orderkey"), "left_anti")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM docs WHERE split = 'train')")
+def split_semi_join(spark, sf_dir):
+    return table(spark, sf_dir, "labels", "doc_id", "quality").join(docs_split(spark, sf_dir).where("split = 'train'").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("""SELECT CASE WHEN d.doc_id IS NULL THEN 'label_only' WHEN l.doc_id IS NULL THEN 'document_only' ELSE 'both' END AS side, count(*) AS n
+FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
+def coverage_reconciliation(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels", F.col("doc_id").alias("label_id"))
+    side = F.when(F.col("doc_id").isNull(), "label_only").when(F.col("label_id").isNull(), "document_only").otherwise("both")
+    return docs.join(labels, F.expr("doc_id = label_id"), "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars IS DISTINCT FROM length(text)")
+def reconcile_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    stated, counted = docs.select("doc_id", "n_chars"), docs.select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
+    return stated.join(counted, F.expr("doc_id = id")).where(~F.col("n_chars").eqNullSafe(F.col("n"))).select("doc_id")
+
+
+@query("""SELECT d.doc_id, d.source, l.quality, c.conv_id, c.turn FROM documents d JOIN labels l USING (doc_id) JOIN conversations c ON c.conv_id = d.doc_id WHERE c.role = 'assistant'""")
+def source_index(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role").where(ASSISTANT).select("conv_id", "turn")
+    docs = table(spark, sf_dir, "documents", "doc_id", "source").join(table(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id")
+    return docs.join(turns, F.expr("conv_id = doc_id"))
+
+
+@query(f"WITH {_DOCS} SELECT lang AS owner, count(DISTINCT split) AS n_splits FROM docs GROUP BY lang HAVING count(DISTINCT split) > 1")
+def cross_split_owners(spark, sf_dir):
+    return docs_split(spark, sf_dir, F.col("lang").alias("owner"), "split").groupBy("owner").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1")
+def split_overlap(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return labels.where("quality = 1").select("doc_id").intersect(labels.where("toxic = 1").select("doc_id"))
+
+
+@query("""SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS only_left,
+(SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS only_right""")
+def set_equality(spark, sf_dir):
+    left, right = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct(), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).distinct()
+    tagged = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))).groupBy("k").agg(F.sum("side").alias("s"))
+    return tagged.agg(F.count(F.when(F.col("s") == 1, 1)).alias("only_left"), F.count(F.when(F.col("s") == 2, 1)).alias("only_right"))
+
+
+@query(f"""WITH {_DOCS} SELECT 'duplicate_document' AS failed, count(*) AS n FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)
+UNION ALL SELECT 'label_without_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'document_without_split', count(*) FROM docs WHERE split IS NULL
+UNION ALL SELECT 'group_in_two_splits', count(*) FROM (SELECT source FROM docs GROUP BY source HAVING count(DISTINCT split) > 1)""")
+def release_checks(spark, sf_dir):
+    docs = docs_split(spark, sf_dir)
+    named = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("failed"), "n")
+    out = named(docs.groupBy("doc_id").count().where("count > 1"), "duplicate_document")
+    out = out.unionByName(named(table(spark, sf_dir, "labels", "doc_id").join(docs, "doc_id", "left_anti"), "label_without_document"))
+    out = out.unionByName(named(docs.where("split is null"), "document_without_split"))
+    return out.unionByName(named(docs.groupBy("source").agg(F.countDistinct("split").alias("s")).where("s > 1"), "group_in_two_splits"))
+
+
+@query("SELECT lang, source, count(*) AS n_rows, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY lang, source")
+def source_audit(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "lang", "source", "n_chars").groupBy("lang", "source").agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+
+
+# --- orders, samples, quotas ---------------------------------------------------------------------------------------
+@query("SELECT doc_id, sha256('20260905/' || doc_id) AS place FROM documents")
+def seeded_order(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", S.order_key(20260905, F.col("doc_id")).alias("place"))
+
+
+@query("""SELECT doc_id, lang, quality, place FROM (SELECT d.doc_id, lang, quality, row_number() OVER (PARTITION BY lang, quality ORDER BY sha256('7/' || d.doc_id)) AS place
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id) WHERE place <= 8""")
+def stratified_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents", "doc_id", "lang").join(table(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id")
+    return S.top_of_strata(rows, ["lang", "quality"], 8, S.order_key(7, F.col("doc_id")))
+
+
+@query(f"""WITH {_DOCS} SELECT doc_id, split, place FROM (SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY sha256('9/' || doc_id)) AS place FROM docs)
+WHERE place <= CASE split WHEN 'train' THEN 90 ELSE 5 END""")
+def quota_topk(spark, sf_dir):
+    rows = S.top_of_strata(docs_split(spark, sf_dir, "doc_id", "split"), ["split"], 90, S.order_key(9, F.col("doc_id")))
+    return rows.where("place <= if(split = 'train', 90, 5)")
+
+
+_SPREAD = """WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn, rn::INTEGER AS "at" FROM r WHERE CASE WHEN least(3, n) = 1 THEN rn = n - 1 ELSE list_contains(list_transform(range(least(3, n)), lambda i: {}), rn) END"""
+
+
+@query(_SPREAD.format("(i * (n - 1)) // (least(3, n) - 1)"))
+def even_spread_sample(spark, sf_dir):
+    return S.even_spread(table(spark, sf_dir, "conversations", "conv_id", "turn"), "conv_id", "turn", 3)
+
+
+@query(_SPREAD.format("round_even(i * (n - 1) / (least(3, n) - 1), 0)::BIGINT"))
+def even_spread_round(spark, sf_dir):
+    return S.even_spread(table(spark, sf_dir, "conversations", "conv_id", "turn"), "conv_id", "turn", 3, rounded=True)
+
+
+@query()
+def greedy_quota_admission(spark, sf_dir):
+    audit = _audit(spark, sf_dir).select("doc_id", "findings")
+    docs = docs_split(spark, sf_dir, "doc_id", "text", "lang", "split").join(audit, "doc_id")
+    digest = F.sha2(I.folded("text"), 256)
+    rows = docs.select(S.order_key(20260905, F.col("doc_id")).alias("place"), F.col("doc_id").cast("string").alias("candidate"), F.col("doc_id").cast("string").alias("task_id"),
+                       digest.alias("task_digest"), digest.alias("content_digest"), "split", F.col("lang").alias("teacher"), "findings")
+    return S.greedy_admission(rows, {"train": 180, "dev": 10, "test": 10}, {"train": 90, "dev": 5, "test": 5})
+
+
+# --- lengths, packing, metrics -------------------------------------------------------------------------------------
+@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS total, max(n_chars) AS longest, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM documents GROUP BY lang")
+def token_length_distribution(spark, sf_dir):
+    found = M.length_distribution(table(spark, sf_dir, "documents", "lang", "n_chars"), ["lang"], "n_chars")
+    return found.withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
+
+
+@query("""WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT lang, n, min(n_chars) FILTER (WHERE rn = round_even((n - 1) * 0.5, 0)) AS p50, min(n_chars) FILTER (WHERE rn = round_even((n - 1) * 0.95, 0)) AS p95 FROM r GROUP BY lang, n""")
+def nearest_rank_percentile(spark, sf_dir):
+    return M.nearest_rank(table(spark, sf_dir, "documents", "lang", "n_chars"), ["lang"], "n_chars", {"p50": 0.5, "p95": 0.95})
+
+
+@query("""SELECT l_returnflag, round((sum((l_discount * 100)::BIGINT * l_quantity::BIGINT)::DOUBLE / sum(l_quantity::BIGINT)::DOUBLE), 9) AS weighted FROM lineitem GROUP BY l_returnflag""")
+def weighted_mean_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_returnflag", "l_discount", "l_quantity")
+    loss, weight = F.round(F.col("l_discount") * 100).cast("bigint"), F.col("l_quantity").cast("bigint")
+    return rows.groupBy("l_returnflag").agg(F.round(M.weighted_mean(loss, weight), 9).alias("weighted"))
+
+
+@query("SELECT doc_id, n_chars, (n_chars + (16 - n_chars % 16) % 16)::BIGINT AS aligned FROM documents")
+def aligned_lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "n_chars").withColumn("aligned", P.aligned(F.col("n_chars")))
+
+
+@query("SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS cu_seqlen FROM conversations")
+def cu_seqlens(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding)").alias("cu_seqlen"))
+
+
+@query("SELECT conv_id, turn, length(text)::INTEGER AS token, lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS target FROM conversations QUALIFY target IS NOT NULL")
+def causal_shift(spark, sf_dir):
+    lengths = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"])
+    turns = F.array_sort(F.collect_list("turn"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(lengths.alias("ids"), turns.alias("turns"))
+    rows = rows.withColumn("c", P.causal(F.col("ids"), F.transform("ids", lambda x: F.lit(1.0))))
+    each = rows.where("size(ids) > 1").select("conv_id", F.explode(F.arrays_zip(F.expr("slice(turns, 1, size(turns) - 1)").alias("turn"), F.col("c.inputs").alias("token"), F.col("c.targets").alias("target"))).alias("x"))
+    return each.select("conv_id", "x.turn", "x.token", "x.target")
+
+
+def _lengths(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("real_tokens"), F.max(F.length("text")).alias("longest"), F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT conv_id, sum(length(text))::BIGINT AS real_tokens FROM conversations GROUP BY conv_id)
+SELECT conv_id, real_tokens, rn::INTEGER AS row_no, (rn % 3)::INTEGER AS rank, rn >= n - n % 3 AS dropped FROM (SELECT *, row_number() OVER (ORDER BY real_tokens DESC, conv_id) - 1 AS rn, count(*) OVER () AS n FROM p)""")
+def rank_striping(spark, sf_dir):
+    return P.rank_rows(_lengths(spark, sf_dir).select("conv_id", "real_tokens", (-F.col("real_tokens")).alias("o")), ["o", "conv_id"], 3).drop("o")
+
+
+@query("""WITH p AS (SELECT conv_id, sum(length(text))::BIGINT AS r, max(length(text)) AS longest, count(*) AS n FROM conversations GROUP BY conv_id), t AS (
+  SELECT count(*) AS packs, sum(r)::BIGINT AS real_tokens, sum(r + (16 - r % 16) % 16)::BIGINT AS aligned_tokens, sum(n * longest)::BIGINT AS padded_tokens FROM p)
+SELECT *, real_tokens / aligned_tokens AS packed_utilization, real_tokens / padded_tokens AS padded_utilization FROM t""")
+def pack_utilization(spark, sf_dir):
+    return P.utilization(_lengths(spark, sf_dir).withColumn("aligned_tokens", P.aligned(F.col("real_tokens"))))
+
+
+@query("SELECT conv_id, sum(length(text))::BIGINT AS real_tokens FROM conversations GROUP BY conv_id ORDER BY real_tokens DESC, conv_id LIMIT 1")
+def worst_pack(spark, sf_dir):
+    return _lengths(spark, sf_dir).select("conv_id", "real_tokens").orderBy(F.desc("real_tokens"), "conv_id").limit(1)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value FROM events WHERE value IS NOT NULL AND value > 0),
+r AS (SELECT *, value / first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS to_first, value / lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS to_last FROM e)
+SELECT user_id, event_id, coalesce(to_first > 2.0 OR to_last > 2.0, false) AS spike FROM r""")
+def epoch_spike_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", "user_id", "event_id", "value").where("value > 0")
+    return M.spikes(rows, "user_id", "event_id", "value", 2.0, 2.0).select("user_id", "event_id", "spike")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS task, l_linenumber AS test, CASE WHEN l_returnflag = 'N' THEN 'fail_to_pass' ELSE 'pass_to_pass' END AS kind,
+  CASE WHEN l_linestatus = 'F' THEN 'PASSED' WHEN l_linenumber % 5 = 0 THEN NULL ELSE 'FAILED' END AS status
+  FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL))
+SELECT task, count(*) FILTER (WHERE kind = 'fail_to_pass') AS fail_to_pass_total, count(*) FILTER (WHERE kind = 'fail_to_pass' AND status = 'PASSED') AS fail_to_pass_passed,
+  count(*) FILTER (WHERE kind = 'fail_to_pass' AND status = 'FAILED') AS fail_to_pass_failed, count(*) FILTER (WHERE kind = 'pass_to_pass') AS pass_to_pass_total,
+  count(*) FILTER (WHERE kind = 'pass_to_pass' AND status = 'PASSED') AS pass_to_pass_passed, count(*) FILTER (WHERE status IS NULL) AS missing_tests
+FROM x GROUP BY task""")
+def verifier_outcome(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("test"), "l_returnflag", "l_linestatus")
+    rows = rows.groupBy("task", "test").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+    expected = rows.select("task", "test", F.expr("if(l_returnflag = 'N', 'fail_to_pass', 'pass_to_pass')").alias("kind"))
+    parsed = rows.select("task", "test", F.expr("case when l_linestatus = 'F' then 'PASSED' when test % 5 = 0 then null else 'FAILED' end").alias("status")).where("status is not null")
+    return M.verifier_outcome(expected, parsed).select("task", "fail_to_pass_total", "fail_to_pass_passed", "fail_to_pass_failed", "pass_to_pass_total", "pass_to_pass_passed", "missing_tests")
+
+
+@query()
+def token_budget_plan(spark, sf_dir):
+    lengths = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.least(F.greatest(F.col("n_chars"), F.lit(1)), F.lit(16384)).cast("int").alias("length"))
+    return P.token_budget_plan(lengths, 16384)
+
+
+@query()
+def pack_sequences(spark, sf_dir):
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    rows = table(spark, sf_dir, "conversations").where("length(text) > 1").select("conv_id", "turn", ids.alias("ids"))
+    rows = rows.select(F.col("conv_id").alias("pack"), F.col("turn").cast("int").alias("place"), F.concat_ws("/", "conv_id", "turn").alias("sample_id"), "ids", F.transform("ids", lambda _: F.lit(1.0).cast("float")).alias("weights"))
+    return P.pack_sequences(rows)
+
+
+@query("""WITH s AS (SELECT label, vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings)
+SELECT vec_id, round(sqrt(list_aggregate(list_transform(range(1, len(embedding) + 1), lambda i: (other[i]::DOUBLE - embedding[i]::DOUBLE) ** 2), 'sum') / list_aggregate(list_transform(embedding, lambda x: x::DOUBLE ** 2), 'sum')), 6) AS rms
+FROM s WHERE other IS NOT NULL""")
+def vector_relative_rms(spark, sf_dir):
+    pairs = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", "lead(embedding) over (partition by label order by vec_id) as other").where("other is not null")
+    return pairs.select("vec_id", F.round(M.relative_rms(F.col("embedding"), F.col("other")), 6).alias("rms"))
