@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = curriculum_mix.readings(docs).where("words > 0 and 2 * words >= size").select(F.col("id").alias("doc_id"), "pass", "position")
-    rows = docs.join(taken, "doc_id")
+    rows = docs.select(*COLUMNS).join(taken, "doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "position", "doc_id", "pass").sortWithinPartitions("position", "doc_id", "pass").select(*COLUMNS)
 

@@ -16,12 +16,12 @@ import pyarrow as pa
 
 from . import wordhash as W
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: ASCII marks other than the apostrophe, and bytes that can end a word before such marks.
 MARK = np.array([33 <= i < 127 and i != 39 and not chr(i).isalnum() for i in range(256)])
 ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 #: Pieces a worker remembers (about 40 bytes each); beyond it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 
 
 @lru_cache(maxsize=2)
@@ -32,7 +32,7 @@ def encoder(path: str) -> Encoder:
 class _Table:
     """Open addressing over two 64-bit hashes of each piece; begin and length tell where its ids are in ``flat``."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.slot, self.n = np.full(1 << bits, -1, np.int32), 0
         self.key, self.check = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
@@ -91,14 +91,16 @@ class Encoder:
         return begin, length
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of each text, some texts at a time: the library's results are large."""
+        encode = self.tokenizer.encode_batch
+        return [x.ids for i in range(0, len(texts), 16) for x in encode(texts[i : i + 16], add_special_tokens=False)]
 
     def _pieces(self, data, lo, hi) -> tuple[np.ndarray, np.ndarray]:
         """Encode pieces: those that begin with white space many at a time, told apart by the bytes of their tokens."""
         free = W.WHITE[data[lo]] & ~W.WHITE[data[hi - 1]]
         begin, length = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int32)
         for at in (np.flatnonzero(free), np.flatnonzero(~free)):
-            step = 500 if free[at[:1]].any() else 1
+            step = 250 if free[at[:1]].any() else 1
             texts = [b"".join(data[lo[i] : hi[i]].tobytes() for i in at[j : j + step]).decode() for j in range(0, len(at), step)]
             lists = self.whole(texts)
             first, _ = self._keep(lists)

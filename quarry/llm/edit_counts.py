@@ -6,8 +6,8 @@ word).  A document's tree is an array of sums over its leaves, of bytes and of t
 are encoded again, and only the sums above them change.  Counts equal those of the whole new text.
 
 Edits of a document apply one after the other, each to the text the one before left; a range beyond the text's end is cut
-to it.  Texts with white space outside ASCII are one leaf.  A null text counts as empty; no or null edits leave the count; equal ids
-keep their rows; an empty table gives an empty result; further columns are ignored.
+to it.  Texts with white space outside ASCII are one leaf.  A null text counts as empty; no or null edits leave the count; rows without an id are left out; equal
+ids keep their rows; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .token_file import default_tokenizer
 #: Pieces (words with the white space before them) of a leaf.
 LEAF = 32
 TREES = "id long, text string, leaf_bytes array<int>, leaf_tokens array<int>"
+COUNTED = TREES + ", tokens_before long, tokens_after long, n_edits long, bytes_encoded long"
 EDITS = "array<struct<at:int,length:int,text:string>>"
 
 
@@ -116,7 +117,7 @@ def _build(batches, path: str):
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Each document's tree: id, text, bytes and tokens of its leaves (the inner sums follow from them)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     return docs.mapInArrow(partial(_build, path=tokenizer or default_tokenizer()), TREES)
 
 
@@ -147,7 +148,7 @@ def _apply(batches, path: str):
 def apply_edits(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The trees after their column ``edits`` (byte offset, byte length, new text), with counts before and after."""
     return trees.select("id", "text", "leaf_bytes", "leaf_tokens", "edits").mapInArrow(
-        partial(_apply, path=tokenizer or default_tokenizer()), TREES + ", tokens_before long, tokens_after long, n_edits long, bytes_encoded long"
+        partial(_apply, path=tokenizer or default_tokenizer()), COUNTED
     )
 
 
@@ -177,7 +178,12 @@ def _with_redactions(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, edits], names=[*batch.schema.names, "edits"])
 
 
+def _redacted(batches, path: str):
+    # one Python worker runs all three steps
+    yield from _apply(_with_redactions(_build(batches, path)), path)
+
+
 def redacted_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Trees of all documents after e-mail addresses and long numbers were replaced, with counts before and after."""
-    trees = build(docs, id_col, text_col, tokenizer)
-    return apply_edits(trees.mapInArrow(_with_redactions, f"{TREES}, edits {EDITS}"), tokenizer)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    return docs.mapInArrow(partial(_redacted, path=tokenizer or default_tokenizer()), COUNTED)

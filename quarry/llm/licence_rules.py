@@ -6,7 +6,7 @@ sentences.  A rule is a sequence of sentence identifiers; it holds where the rec
 order, contain its sequence on end.  Of the rules of one licence the longest that holds is returned.
 
 Only texts with a word that every known sentence has one of are cut; the table of sentences is a constant of this module.
-Null and empty texts, and texts without known sentences, give no row; equal ids give their rows together; an empty table
+Null and empty texts, and texts without known sentences, give no row; rows without an id are left out; equal ids give their rows together; an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -101,7 +101,7 @@ def rules() -> list[tuple[str, str, str]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and licence: id, licence, rule (the longest that holds), sentences (in that rule)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     docs = docs.where(F.col("text").rlike("(?i)" + "|".join(WORDS)))
     ended = lambda c: F.regexp_replace(c, SENTENCE_END, "$1\n")
     unwrapped = F.regexp_replace(F.regexp_replace("text", r"\r", ""), r"([^\n])\n([^\n])", "$1 $2")

@@ -6,7 +6,7 @@ found earlier (smaller id, or same document, earlier line) marks its three lines
 on the input.  The first occurrence of every window is a grouped minimum (combined before the shuffle), and only
 windows that occur again meet their documents.
 
-Texts with fewer than three lines have no window and stay whole; a null text stays null (kept: empty); repeated ids:
+Texts with fewer than three lines have no window and stay whole; a null text stays null (kept: empty); rows without an id are left out; repeated ids:
 their rows share marks; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -39,7 +39,7 @@ def repeated_positions(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """One row per document: id, n_lines, n_removed, kept (its lines that stay, as they were)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     marks = repeated_positions(docs, span).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
     both = docs.join(marks.hint("shuffle_hash"), "id", "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by a hash set: linear in the lines

@@ -12,8 +12,8 @@ Two documents link when the Jaccard similarity of their sets of distinct 3-word
   costs about its size and not its square, and still no link between components is missed.
 * Candidates are verified on whole sets.
 
-Nulls, empty texts and texts of white space have an empty set and link with nothing; repeated ids are the caller's
-error (the smallest wins); an empty table gives an empty result; further columns are ignored.
+Nulls, empty texts and texts of white space have an empty set and link with nothing; rows of one id with different texts
+each have their own; rows without an id are left out; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ MATCHES, VERIFY_COST = (1, 2, 4, 8), 30
 #: At most so many shingles are ordered as frequent (a broadcast of 16 bytes each); others keep their hash order.
 FREQUENT = 1 << 17
 #: A task sums shingle counts over so many shingles before it passes on those it met twice or more.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -149,7 +149,7 @@ def prefix_rows(reps: DataFrame, percent: int) -> DataFrame:
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id (named ``id``), n_shingles, component_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     top = (
         docs.select("text").mapInArrow(partial(_frequent, k=k), "token long, c long")
         .groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()

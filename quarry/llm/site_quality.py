@@ -8,7 +8,7 @@ A document's score is its own log-odds plus a weighted shift of its path's log-o
 
 The classifier is fitted on at most FIT_ROWS labelled rows, the first by hash of their id; everything else covers all
 documents.  Without both labels in that sample the evidence is 0.5 for all.  Null and empty texts have the features of an
-empty text; null hosts or paths form one group; repeated ids keep their rows; an empty table gives an empty result; further columns
+empty text; null hosts or paths form one group; rows without an id are left out; repeated ids keep their rows; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -151,7 +151,7 @@ def score(
 ) -> DataFrame:
     """One row per document: id, evidence, host_mean, path_mean, score, keep.  host and path are expressions over docs."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.expr(host).alias("host"), F.expr(path).alias("path"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.expr(host).alias("host"), F.expr(path).alias("path")).where("id is not null")
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     model = spark.sparkContext.broadcast(train(docs.select("id", "text"), labels, fit_rows))
     rows = cut(docs.mapInArrow(partial(_evidence, model=model), "id long, host string, path string, odds double").withColumn("p", F.expr("1 / (1 + exp(-odds))")), "op4-evidence")

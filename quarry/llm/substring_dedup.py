@@ -16,8 +16,8 @@ same gram, so paths meet by gram:
 Equality of edges is equality of 104 hash bits (a 64-bit gram and 40 bits of the edge; 64-bit keys and 40 bits for
 edges dealt one by one).  Positions are exact: all words of whole texts count, unchanged.
 
-Null and empty texts have no words; texts under k words stay whole; equal rows with the same id are ordered by
-position alone; an empty table gives an empty result; further columns are ignored.
+Null and empty texts have no words; texts under k words stay whole; rows without an id are left out; rows of one id are one
+document that does not repeat itself at the same position; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from . import wordhash as W
 WINDOW = 20
 GRAM = 5
 #: Bytes of text among which a task looks for repeats before it sends paths on.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: Grams with so many paths or more in a chunk are candidates for the list of branching grams, of bounded length.
 BRANCHING, LISTED = 8, 1 << 17
 EDGE_BYTES = 5
@@ -101,15 +101,24 @@ def _chunk_paths(ids, text, k):
     if not found:
         return None
     row, pos, edge, gram, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(edge, kind="stable")
-    again = np.zeros(len(edge), bool)
-    again[order[1:]] = edge[order[1:]] == edge[order[:-1]]
+    again = _later(edge, ids[row], pos)
     turn = np.ones(len(edge), bool)  # a path ends where row, gram or flag change
     turn[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (again[1:] != again[:-1])
     starts = np.flatnonzero(turn)
     return row, pos, edge, gram, again, starts, np.append(starts[1:], len(edge)) - starts
 
 
+def _later(key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether an equal key stands at an earlier (id, pos); equal keys come in that order."""
+    order = np.argsort(key, kind="stable")
+    opens = np.ones(len(key), bool)
+    opens[1:] = key[order[1:]] != key[order[:-1]]
+    first = order[np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))]
+    later = np.zeros(len(key), bool)
+    later[order] = (ids[order] != ids[first]) | (pos[order] != pos[first])
+    return later
+
+
 def _branching(batches, k: int, chunk: int, least: int):
     for ids, text in _chunks(batches, chunk):
         if (x := _chunk_paths(ids, text, k)) is not None:
@@ -182,10 +191,8 @@ def _marked(t: pa.Table) -> pa.RecordBatch:
         path = np.repeat(np.arange(len(met)), n[met])
         group = np.cumsum(np.concatenate(([0], gram[met][1:] != gram[met][:-1]))).astype(np.uint64)[path]
         key = (group << np.uint64(8 * EDGE_BYTES)) | edge
-        order = np.argsort(key, kind="stable")
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
         at = pos[met][path] + np.arange(len(path)) - np.repeat(np.cumsum(n[met]) - n[met], n[met])
+        again = _later(key, ids[met][path], at)
         turn = np.ones(len(path), bool)
         turn[1:] = (path[1:] != path[:-1]) | (again[1:] != again[:-1])
         s = np.flatnonzero(turn)
@@ -238,7 +245,7 @@ def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, chunk: int = CHUNK_BYTES, branching: int = BRANCHING
 ) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept (its words that stay, joined by a space), removed spans."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     runs = repeated_runs(docs, k, chunk, branching).groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
     return docs.join(runs.hint("shuffle_hash"), "id", "left").select("id", "text", "runs").mapInArrow(
         partial(_kept, k=k), "id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"

@@ -9,7 +9,7 @@ Spark's writer commit it, so tasks that run again leave no second copy.
 ``folder/code``: one row, the bits of each id.  ``folder/blocks``: part, block, tokens before it in its part,
 ids and lengths of its documents, marks, bits; in order of (part, block) documents ascend.
 
-A null or empty text has the end id only; equal ids keep their rows, in no fixed order; an empty table makes a file
+Rows without an id are left out; a null or empty text has the end id only; equal ids keep their rows, in no fixed order; an empty table makes a file
 without blocks; further columns are ignored.
 """
 
@@ -95,7 +95,7 @@ def _blocks(batches, path: str, bits):
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> str:
     """Write the token file of all documents into ``folder`` and return it."""
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     found = token_counts(docs, path).toPandas()  # as many rows as the vocabulary, at most
     counts = np.zeros(int(found["token"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["token"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)

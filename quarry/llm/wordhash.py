@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 U = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True

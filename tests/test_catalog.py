@@ -1,5 +1,5 @@
 import pytest
-from conftest import same_rows
+from compare import same_rows
 
 from quarry import catalog
 
