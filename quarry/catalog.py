@@ -24,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 SALT, BUCKETS = "salt", 10_000
 RANGES = {"test": (0, 2499), "dev": (2500, 4999), "train": (5000, 9999)}
-ASSISTANT = F.col("role") == "assistant"
+ASSISTANT = "role = 'assistant'"
 
 
 def query(sql: str | None = None):
@@ -129,7 +129,7 @@ def explode_messages(spark, sf_dir):
   sha256('decision' || chr(31) || conv_id || chr(31) || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)) AS decision_id
 FROM conversations WHERE role = 'assistant' AND text <> ''""")
 def turn_numbering(spark, sf_dir):
-    rows = E.turn_numbers(table(spark, sf_dir, "conversations"), ASSISTANT & (F.col("text") != ""))
+    rows = E.turn_numbers(table(spark, sf_dir, "conversations"), F.expr(ASSISTANT) & (F.col("text") != ""))
     return rows.select("conv_id", "turn", "turn_id", I.stable_id(F.lit("decision"), "conv_id", "turn_id").alias("decision_id"))
 
 

@@ -1,12 +1,16 @@
 """Comparison of result sets."""
 
+import pandas as pd
+
 
 def _plain(x):
     if hasattr(x, "tolist"):
         x = x.tolist()
+    if x is None or x is pd.NA:
+        return "~"
     if isinstance(x, float):
         return "~" if x != x else repr(x)
-    return "~" if x is None else str(x)
+    return str(x)
 
 
 def same_rows(a, b) -> bool:
