@@ -63,7 +63,7 @@ def windows(df: DataFrame, *keys: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it: id, item, matched and all windows, slots, changed slots."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     items = cut(items.select("item", words_of("text").alias("item_words")).withColumn("tokens", template("item_words")).where(F.size("tokens") >= WINDOW), "op1-items")
     plain = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, WINDOW), lambda t: ~t.isin("<num>", "<name>", "<unit>")))
     asked = windows(items, "item", "tokens").where(plain >= PLAIN).select("item", F.col("pos").alias("item_pos"), "h")
