@@ -1,7 +1,7 @@
 """A training corpus in five stages over ``documents``; each works on all rows its predecessor kept.
 
 quality: documents that the site quality classifier rejects go.  near_duplicates: of each component of similar texts
-the smallest id stays.  decontamination: documents that hold a benchmark item go.  mixing: documents come as often as
+(five-word shingles, Jaccard similarity 0.8 or more) the smallest id stays.  decontamination: documents that hold a benchmark item go.  mixing: documents come as often as
 the curriculum takes them (a reading counts where half of the document or more is taken), in training order.
 tokens: the token file of the rest, read back.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.llm import curriculum_mix, ngram_jaccard_join, site_quality, template_decontam, token_file
 from quarry.llm.common import cut, shared_dir, small_side
 
+SHINGLE, PERCENT = 5, 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -31,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_jaccard_join.link_components(docs)
+    found = ngram_jaccard_join.link_components(docs, k=SHINGLE, percent=PERCENT)
     return _without(docs, found.where("id <> component_id").select(F.col("id").alias("doc_id")), "near")
 
 
