@@ -60,7 +60,7 @@ def _frequent(batches, k: int):
         return pa.RecordBatch.from_arrays([pa.array(values[twice].view(np.int64)), pa.array(counts[twice])], names=["token", "c"])
 
     kept, total, seen = [], 0, set()
-    for batch in batches:
+    for batch in W.slices(batches):
         for _, s in shingle_sets(W.column(batch, "text"), k):
             if len(s) and (sign := (len(s), int(s.sum()))) not in seen:
                 seen.add(sign)
@@ -75,7 +75,7 @@ def _frequent(batches, k: int):
 
 def _prefixes(batches, k: int, percent: int, frequent):
     tokens, counts = frequent.value
-    for batch in batches:
+    for batch in W.slices(batches):
         ids, out = W.column_long(batch, "id"), []
         for row, s in shingle_sets(W.column(batch, "text"), k):
             n = len(s)
@@ -98,33 +98,22 @@ def _prefixes(batches, k: int, percent: int, frequent):
 
 
 def _sets(batches, k: int, keep=()):
-    for batch in batches:
-        items = pa.array([s.tobytes() for _, s in shingle_sets(W.column(batch, "text"), k)], pa.binary())
+    for batch in W.slices(batches):
+        sets = [s for _, s in shingle_sets(W.column(batch, "text"), k)]
+        at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        items = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("id"), items], names=[*keep, "id", "items"])
 
 
-def _verified(batches, percent: int):
-    for batch in batches:
-        x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("items_a", "items_b"))
-        keep = []
-        for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            if len(s) > len(t):
-                s, t = t, s
-            common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-            keep.append(100 * common >= percent * (len(s) + len(t) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b), an already written table, whose whole sets are similar enough."""
     sets = partial(_sets, k=k)
     seconds = docs.join(small_side(pairs.select("a", F.col("b").alias("id"))), "id").select("a", "id", "text")
-    seconds = seconds.mapInArrow(partial(sets, keep=("a",)), "a long, id long, items binary").select("a", F.col("id").alias("b"), F.col("items").alias("items_b"))
+    seconds = seconds.mapInArrow(partial(sets, keep=("a",)), "a long, id long, items array<long>").select("a", F.col("id").alias("b"), F.col("items").alias("items_b"))
     firsts = docs.join(small_side(pairs.select(F.col("a").alias("id")).distinct()), "id").select("id", "text")
-    firsts = firsts.mapInArrow(sets, "id long, items binary").select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    both = seconds.join(firsts, "a").select("a", "b", "items_a", "items_b")
-    return both.mapInArrow(partial(_verified, percent=percent), "a long, b long")
+    firsts = firsts.mapInArrow(sets, "id long, items array<long>").select(F.col("id").alias("a"), F.col("items").alias("items_a"))
+    common = F.size(F.array_intersect("items_a", "items_b")).cast("long")
+    return seconds.join(firsts, "a").where((100 + percent) * common >= percent * (F.size("items_a") + F.size("items_b"))).select("a", "b")
 
 
 def prefix_rows(reps: DataFrame, percent: int) -> DataFrame:

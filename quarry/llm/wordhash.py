@@ -87,6 +87,14 @@ class Block:
         return len(self.bounds) - 1
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is made of one stays small; what Arrow no longer uses goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     x = batch.column(batch.schema.get_field_index(name))
     return x if pa.types.is_string(x.type) or pa.types.is_large_string(x.type) else x.cast(pa.string())
