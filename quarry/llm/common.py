@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow (one or two longs) side that may be broadcast; about 32 MB.  Beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that Python gets at a time; Spark's own bound, kept for values, is too large where all rows hold long texts.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, its session's Arrow batches bounded by BATCH_BYTES unless the session has a bound of its own."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
+    if conf.get(key) == "67108864b":  # Spark's default
+        conf.set(key, f"{BATCH_BYTES}b")
+    return docs
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: ends the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .bpe import Encoder, encoder
+from .common import text_batches
 from .token_file import default_tokenizer
 
 #: Pieces (words with the white space before them) of a leaf.
@@ -109,7 +110,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _build(batches, path: str):
-    for batch in batches:
+    for batch in W.slices(batches):
         text = W.column(batch, "text")
         found = list(leaves(encoder(path), text))
         yield pa.RecordBatch.from_arrays([batch.column("id"), text, _lists([x[1] for x in found]), _lists([x[2] for x in found])], names=["id", "text", "leaf_bytes", "leaf_tokens"])
@@ -117,7 +118,7 @@ def _build(batches, path: str):
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Each document's tree: id, text, bytes and tokens of its leaves (the inner sums follow from them)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     return docs.mapInArrow(partial(_build, path=tokenizer or default_tokenizer()), TREES)
 
 
@@ -185,5 +186,5 @@ def _redacted(batches, path: str):
 
 def redacted_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Trees of all documents after e-mail addresses and long numbers were replaced, with counts before and after."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     return docs.mapInArrow(partial(_redacted, path=tokenizer or default_tokenizer()), COUNTED)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import components, cut, small_side
+from .common import components, cut, small_side, text_batches
 
 SHINGLE = 3
 PERCENT = 90
@@ -138,7 +138,7 @@ def prefix_rows(reps: DataFrame, percent: int) -> DataFrame:
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id (named ``id``), n_shingles, component_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     top = (
         docs.select("text").mapInArrow(partial(_frequent, k=k), "token long, c long")
         .groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()

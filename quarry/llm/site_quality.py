@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import cut, small_side
+from .common import cut, small_side, text_batches
 
 FIT_ROWS = 20_000
 SITE_WEIGHT = 0.5
@@ -151,7 +151,7 @@ def score(
 ) -> DataFrame:
     """One row per document: id, evidence, host_mean, path_mean, score, keep.  host and path are expressions over docs."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.expr(host).alias("host"), F.expr(path).alias("path")).where("id is not null")
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.expr(host).alias("host"), F.expr(path).alias("path")).where("id is not null")
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     model = spark.sparkContext.broadcast(train(docs.select("id", "text"), labels, fit_rows))
     rows = cut(docs.mapInArrow(partial(_evidence, model=model), "id long, host string, path string, odds double").withColumn("p", F.expr("1 / (1 + exp(-odds))")), "op4-evidence")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import huffman
 from . import wordhash as W
 from .bpe import encoder
-from .common import shared_dir
+from .common import shared_dir, text_batches
 
 END_ID = 0
 BLOCK_IDS = 1 << 19
@@ -43,7 +43,7 @@ def default_tokenizer() -> str:
 
 def _counts(batches, path: str):
     total = np.zeros(1, np.int64)
-    for batch in batches:
+    for batch in W.slices(batches):
         for _, ids, lengths in encoder(path).encode(W.column(batch, "text")):
             more = np.bincount(ids, minlength=len(total))
             more[: len(total)] += total
@@ -69,7 +69,7 @@ def _blocks(batches, path: str, bits):
             schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("marks", pa.binary()), ("bits", pa.binary())]),
         )
 
-    for batch in batches:
+    for batch in W.slices(batches):
         names = W.column_long(batch, "id")
         for first, ids, lengths in encoder(path).encode(W.column(batch, "text")):
             ends = np.cumsum(lengths)
@@ -95,7 +95,7 @@ def _blocks(batches, path: str, bits):
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> str:
     """Write the token file of all documents into ``folder`` and return it."""
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     found = token_counts(docs, path).toPandas()  # as many rows as the vocabulary, at most
     counts = np.zeros(int(found["token"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["token"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)

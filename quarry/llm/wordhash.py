@@ -7,6 +7,7 @@ per word.  Two independent bases give 128 bits where equality must be certain.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,12 +88,22 @@ class Block:
         return len(self.bounds) - 1
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def release() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what is made of one stays small; what Arrow no longer uses goes back."""
+    """The same rows in small batches, so that what is made of one stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
