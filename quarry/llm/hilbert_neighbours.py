@@ -1,14 +1,18 @@
-"""Operator 5: approximate nearest neighbours on shifted space-filling curves.
+"""Operator 5: nearest neighbours on shifted space-filling curves, completed to the exact answer.
 
 Equal vectors form one entry (with its smallest ids, as many as an answer can hold).  Each of ``curves`` curves
 projects all entries to a few random orthogonal directions, shifts them and orders them by their Hilbert key.  Spark range-partitions
 (curve, key) and numbers the entries of each curve in order.  An entry's number gives its block of the curve;
 a query goes to the blocks that its window of 2 * reach + 1 neighbours touches, and keeps the nearest of them by
-8-bit copies of the vectors.  The windows of all curves merge, and the exact distance on the original vectors ranks them.
+8-bit copies of the vectors.  The windows of all curves merge, and the exact distance of the k-th best of them bounds the query's
+answer: nothing farther can belong to it.
 
-Numbers, not keys, cut the blocks, so they all have the same size whatever the keys are.  Recall depends on
-reach * curves against the number of entries: vectors without structure (independent directions in 64 dimensions) need windows
-that reach a large part of a small table; vectors with structure need far less.
+Then all entries, in the order of one finer curve, are read in runs.  A query leaves out a run only where the ball around the run
+lies wholly beyond its bound; in the others every entry within the bound is ranked by its original components.  The answer is
+exact whatever the table's size and groups; windows and 8-bit copies only decide how much is left out.  Vectors with
+structure leave out most runs; for vectors without (independent directions in 64 dimensions) every query meets every entry.
+
+Numbers, not keys, cut the blocks, so they all have the same size whatever the keys are.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; repeated ids
 are the caller's error; an empty table, or one without queries, gives an empty result; further columns are ignored.
@@ -31,6 +35,10 @@ BLOCK = 4096
 NEAREST = 10
 #: Neighbours of a query that a curve passes on, and that are ranked exactly, by distance of the 8-bit copies.
 PASSED, RANKED = 24, 40
+#: Bits of the curve that orders the entries for the exact pass, entries of a run, bytes of query vectors that one pass holds.
+FINE_BITS, RUN, ROUND_BYTES = 6, 256, 8 << 20
+#: Pairs whose components are compared at a time.
+PAIRS = 16_384
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,6 +71,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _curve_keys(full: np.ndarray, rng: np.random.Generator, dims: int, bits: int, centre, spread) -> np.ndarray:
+    """The entries' keys on the next curve of rng."""
+    axes = np.linalg.qr(rng.standard_normal((full.shape[1], full.shape[1])))[0][:, :dims]
+    shift = rng.uniform(-0.5, 0.5, axes.shape[1])  # in cells
+    y = (full - centre) @ axes / spread  # about one standard deviation is one
+    cells = np.clip(np.floor((y + 2) / 4 * (1 << bits) + shift), 0, (1 << bits) - 1)
+    return hilbert_keys(cells, bits).astype(np.int64)
+
+
 def _keys(batches, curves: int, dims: int, bits: int, seed: int, centre, spread):
     """(curve, key, id, code, scale) of each entry on each curve; the code has a byte for each component."""
     for batch in batches:
@@ -75,14 +92,19 @@ def _keys(batches, curves: int, dims: int, bits: int, seed: int, centre, spread)
         codes = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(code))])
         rng = np.random.Generator(np.random.PCG64(seed))
         for curve in range(curves):
-            axes = np.linalg.qr(rng.standard_normal((full.shape[1], full.shape[1])))[0][:, :dims]
-            shift = rng.uniform(-0.5, 0.5, axes.shape[1])  # in cells
-            y = (full - centre) @ axes / spread  # about one standard deviation is one
-            cells = np.clip(np.floor((y + 2) / 4 * (1 << bits) + shift), 0, (1 << bits) - 1)
-            key = hilbert_keys(cells, bits).astype(np.int64)
+            key = _curve_keys(full, rng, dims, bits, centre, spread)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), curve, np.int32)), pa.array(key), ids, codes, pa.array(scale)], names=["curve", "key", "id", "code", "scale"])
 
 
+def _fine_keys(batches, dims: int, seed: int, centre, spread):
+    """(key, id, v) of each entry on one curve of FINE_BITS bits."""
+    for batch in batches:
+        full = _matrix(batch.column("v"))
+        if len(full):
+            key = _curve_keys(full, np.random.Generator(np.random.PCG64(seed)), dims, FINE_BITS, centre, spread)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id"), batch.column("v")], names=["key", "id", "v"])
+
+
 def _numbered(batches):
     """Adds (part, number of the row within its part)."""
     part, n = TaskContext.get().partitionId(), 0
@@ -114,11 +136,56 @@ def _near(table: pa.Table, reach: int, passed: int) -> pa.Table:
     return pa.table({"query": join(out_q, np.int64), "id": join(out_c, np.int64), "d": join(out_d, np.float64)})
 
 
+def _complete(batches, asked, k: int):
+    """(query, id, score) of the entries that may be among the k nearest of each query of ``asked`` (ids, vectors, bounds).
+
+    Products find the pairs within a bound, with a margin for their rounding; these are compared component by component
+    in order, as Spark's sum would."""
+    queries, q, limit = asked.value
+    limit = limit.copy()
+    for batch in batches:
+        ids, full = batch.column("id").to_numpy(), _matrix(batch.column("v"))
+        rounding = 4 * (full.shape[1] + 4) * 2.0**-53
+        for start in range(0, len(ids), RUN):
+            v, own = full[start : start + RUN], ids[start : start + RUN]
+            middle = v.mean(axis=0)
+            near, at = v - middle, q - middle
+            size, far = (near * near).sum(axis=1), (at * at).sum(axis=1)
+            # beyond the ball: left out; the comparisons are so that a NaN (overflow) is not
+            met = np.flatnonzero(~(np.sqrt(far) * (1 - rounding) - np.sqrt(size.max()) * (1 + rounding) > limit * (1 + 1e-12)))
+            for some in np.array_split(met, max(1, -(-len(met) * len(v) // (1 << 21)))):
+                if not len(some):
+                    continue
+                d = size + far[some, None] - 2 * (at[some] @ near.T)
+                margin = rounding * (np.sqrt(size.max()) + np.sqrt(far[some])) ** 2
+                d[own == queries[some, None]] = np.inf  # itself
+                most = limit[some] ** 2 * (1 + 1e-12)
+                if len(v) > k:
+                    most = np.fmin(most, np.partition(d, k - 1, axis=1)[:, k - 1] + margin)
+                row, col = np.nonzero(~(d > (most + margin)[:, None]) & (own != queries[some, None]))
+                score = np.zeros(len(row))
+                for i in range(0, len(row), PAIRS):
+                    apart = v[col[i : i + PAIRS]] - q[some[row[i : i + PAIRS]]]
+                    apart *= apart
+                    for j in range(apart.shape[1]):
+                        score[i : i + PAIRS] += apart[:, j]
+                score = np.sqrt(score)
+                order = np.lexsort((own[col], score, row))
+                row, col, score = row[order], col[order], score[order]
+                first = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1)) if len(row) else np.zeros(0, int)
+                place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+                last = place == k - 1
+                limit[some[row[last]]] = np.fmin(limit[some[row[last]]], score[last])
+                keep = (place < k) & ~(score > limit[some[row]])
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(queries[some[row[keep]]]), pa.array(own[col[keep]]), pa.array(score[keep])], names=["query", "id", "score"])
+
+
 def nearest(
     vectors: DataFrame, queries: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST,
     curves: int = CURVES, reach: int = REACH, dims: int = DIMENSIONS, bits: int = BITS, seed: int = SEED,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest by Euclidean distance found for each row that satisfies ``queries``
+    """(query_id, rank, vec_id, score): the k nearest by Euclidean distance of each row that satisfies ``queries``
     (an expression over ``id``), itself left out, ties to the smaller id."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -165,11 +232,31 @@ def nearest(
     found = _first(found.groupBy("query", "id").agg(F.min("d").alias("d")), "query", ("d", "id"), RANKED)
     found = cut(found.select("query", "id"), "op5-found")
 
-    # exact distances of entries, then the ids that carry them
+    # the exact distance of the k-th best found bounds each query's answer
     wanted = small_side(cut(found.select("id").union(found.select("query")).distinct(), "op5-wanted"))
     originals = cut(entries.join(wanted, "id", "left_semi"), "op5-originals")
     pairs = found.join(originals, "id").join(originals.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
     pairs = pairs.select("query", "id", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
+    bounds = _first(pairs, "query", ("score", "id"), k).groupBy("query").agg(F.count("*").alias("c"), F.max("score").alias("bound")).where(f"c = {k}")
+    bounded = entries.join(small_side(asked), "id", "left_semi").withColumnRenamed("id", "query").join(bounds, "query", "left")
+    bounded = cut(bounded.select("query", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), "op5-bounded")
+
+    # every entry within the bound, then the ids that carry them
+    ordered = entries.mapInArrow(partial(_fine_keys, dims=min(dims, width), seed=seed, centre=centre, spread=spread), "key long, id long, v array<double>")
+    ordered = ordered.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").select("id", "v")
+    ordered, exact = cut(ordered, "op5-ordered"), []
+    rounds = max(1, -(-bounded.count() * 8 * width // ROUND_BYTES))
+    for i in range(rounds):
+        some = bounded.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == i).toArrow()
+        if not len(some):
+            continue
+        held = spark.sparkContext.broadcast((some["query"].to_numpy(), np.array(some["v"].to_pylist()), some["bound"].to_numpy()))
+        exact.append(cut(ordered.mapInArrow(partial(_complete, asked=held, k=k), "query long, id long, score double"), "op5-exact"))
+        held.unpersist()
+    pairs = asked.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score")).limit(0)
+    for part in exact:
+        pairs = pairs.unionByName(part)
+    pairs = _first(pairs, "query", ("score", "id"), k)
     pairs = pairs.unionByName(asked.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score")))  # copies of the query
     ids = pairs.select("query", F.col("id").alias("entry"), "score").withColumn("vec_id", F.col("entry"))
     more = pairs.select("query", F.col("id").alias("entry"), "score").join(copies.select("entry", F.col("id").alias("vec_id")), "entry")

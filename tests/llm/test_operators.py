@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -168,6 +169,17 @@ def test_neighbours_recall(spark):
     assert _recall(spark, e, "id % 100 = 0")[0] >= 0.95
 
 
+def test_neighbours_exact_beyond_the_windows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x[:1300] = x[0] + 0.02 * x[:1300]  # a tight group
+    # windows a twentieth of the table, as at 20,000 entries and more
+    narrow = functools.partial(hilbert_neighbours.nearest, curves=4, reach=32)
+    monkeypatch.setattr(hilbert_neighbours, "nearest", narrow)
+    monkeypatch.setattr(hilbert_neighbours, "ROUND_BYTES", 4096, raising=False)  # several rounds of queries
+    assert _recall(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id % 50 = 0") == (1.0, 80)
+
+
 def test_hilbert_keys_are_a_walk():
     cells = np.stack(np.meshgrid(*[np.arange(4)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     order = cells[np.argsort(hilbert_neighbours.hilbert_keys(cells, 2))]
