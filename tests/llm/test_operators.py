@@ -180,6 +180,13 @@ def test_neighbours_exact_beyond_the_windows(spark, monkeypatch):
     assert _recall(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id % 50 = 0") == (1.0, 80)
 
 
+def test_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 32)).astype(np.float32)
+    x[:500] = x[0] + rng.normal(size=(500, 32)).astype(np.float32) * np.float32(0.05 * np.abs(x[0]).max() / 127)  # a twentieth of an 8-bit step
+    assert _recall(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id % 50 = 0") == (1.0, 20)
+
+
 def test_hilbert_keys_are_a_walk():
     cells = np.stack(np.meshgrid(*[np.arange(4)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     order = cells[np.argsort(hilbert_neighbours.hilbert_keys(cells, 2))]
