@@ -583,8 +583,8 @@ def verifier_outcome(spark, sf_dir):
 
 @query()
 def token_budget_plan(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.least(F.greatest(F.col("n_chars"), F.lit(1)), F.lit(16384)).cast("int").alias("length"))
-    return P.token_budget_plan(lengths, 16384)
+    rows = table(spark, sf_dir, "documents", F.col("doc_id").cast("string").alias("sample_id"), F.col("n_chars").alias("length"))
+    return P.token_budget_plan(P.chunked(rows, 16384), 16384)
 
 
 @query()

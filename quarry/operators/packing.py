@@ -35,6 +35,17 @@ def best_fit(lengths: list[int], room: int) -> list[int]:
     return out
 
 
+def chunked(samples: DataFrame, size: int) -> DataFrame:
+    """Samples (sample_id, length) longer than ``size`` as numbered chunks ``sample_id/0``, ``sample_id/1``, ... of at most that
+    length; empty ones and ones without a length are left out."""
+    n = F.ceil(F.col("length") / size)
+    rows = samples.where("length > 0").select("sample_id", "length", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
+    return rows.select(
+        F.when(F.col("n") == 1, F.col("sample_id")).otherwise(F.concat_ws("/", "sample_id", "chunk")).alias("sample_id"),
+        F.least(F.col("length") - F.col("chunk") * size, F.lit(size)).cast("int").alias("length"),
+    )
+
+
 def token_budget_plan(samples: DataFrame, max_tokens: int, align: int = ALIGN, seed: int = 20260904, epoch: int = 0, bucket_size: int = 2048) -> DataFrame:
     """Packs of samples (sample_id, length) within max_tokens.
 

@@ -26,6 +26,15 @@ def test_budget_plan_places_each_sample_once(spark, sf):
     assert (plan["real_tokens"] > 0).all() and (plan["aligned_tokens"] % 16 == 0).all()
 
 
+def test_budget_plan_places_every_character(spark):
+    sf = "/root/testdata/sf0.01"
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 0").select("doc_id", "n_chars").toPandas()
+    assert (sizes["n_chars"] > 16384).any()
+    plan = catalog.token_budget_plan(spark, sf).toPandas()
+    placed = plan.groupby(plan["sample_id"].str.split("/").str[0].astype(int))["length"].sum()
+    assert placed.to_dict() == sizes.set_index("doc_id")["n_chars"].to_dict()
+
+
 def test_greedy_admission_counts(spark, sf):
     rows = catalog.greedy_quota_admission(spark, sf).toPandas()
     assert rows["accepted"].sum() <= 200 and (rows["accepted"] == (rows["reasons"].map(len) == 0)).all()
