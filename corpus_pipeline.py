@@ -1,6 +1,6 @@
 """A training corpus in five stages over ``documents``; each works on all rows its predecessor kept.
 
-quality: documents that the site quality classifier rejects go.  near_duplicates: of each component of similar texts
+quality: documents that the site quality classifier rejects or finds toxic go.  near_duplicates: of each component of similar texts
 (five-word shingles, Jaccard similarity 0.8 or more) the smallest id stays.  decontamination: documents that hold a benchmark item go.  mixing: documents come as often as
 the curriculum takes them (a reading counts where half of the document or more is taken), in training order.
 tokens: the token file of the rest, read back.
@@ -28,7 +28,7 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = site_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("not keep").select(F.col("id").alias("doc_id")), "quality")
+    return _without(docs, scored.where("not keep or toxic").select(F.col("id").alias("doc_id")), "quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

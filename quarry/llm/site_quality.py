@@ -6,6 +6,9 @@ posterior means: a host's shrinks to the global mean, a path's to its host's, ea
 variance between and within the groups estimates, so sparse sites follow their prior and large ones their own record.
 A document's score is its own log-odds plus a weighted shift of its path's log-odds from the global.
 
+A second evidence, of toxicity, is naive Bayes on presence of hashed words, fitted on the toxic labels in the same way where the
+labels have them, with host and path posteriors of its own; it gives the column toxic, and ``keep`` stays the decision on quality.
+
 The classifier is fitted on at most FIT_ROWS labelled rows, the first by hash of their id; everything else covers all
 documents.  Without both labels in that sample the evidence is 0.5 for all.  Null and empty texts have the features of an
 empty text; null hosts or paths form one group; rows without an id are left out; repeated ids keep their rows; an empty table gives an empty result; further columns
@@ -14,6 +17,7 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -27,6 +31,9 @@ from .common import cut, small_side, text_batches
 FIT_ROWS = 20_000
 SITE_WEIGHT = 0.5
 KEEP_FROM = 0.5
+REJECT_FROM = 0.95
+#: Hashed word counters of the toxic model, and the log-likelihood a word needs against chance to count.
+WORD_SLOTS, WORD_SURE = 1 << 18, 15.0
 FEATURES = ("words", "word_length", "capitals", "digits", "stops", "marks", "wide", "lines", "distinct", "top", "marked", "shouted")
 
 _KIND = np.full(256, 5, np.uint8)  # 0 capital, 1 digit, 2 full stop or comma, 3 other mark, 4 byte outside ASCII, 5 else, 6 line feed
@@ -107,6 +114,32 @@ def log_odds(x: np.ndarray, model) -> np.ndarray:
     return np.clip(np.clip(z, -8, 8) @ w[:-1] + w[-1], -12, 12)
 
 
+def word_slots(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct slots of each text's words in small letters, without the marks around them."""
+    strip = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    out = []
+    for text in texts.to_pylist():
+        words = {w.strip(strip) for w in (text or "").lower().split()}
+        out.append(np.unique(np.fromiter((zlib.crc32(w.encode()) % WORD_SLOTS for w in words if w), np.int32)))
+    return out
+
+
+def fit_words(slots: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each slot, prior log-odds) by naive Bayes on the slots that are surely more frequent with label 1."""
+    hit, other = np.zeros(WORD_SLOTS), np.zeros(WORD_SLOTS)
+    for at, toxic in zip(slots, y, strict=True):
+        (hit if toxic else other)[at] += 1
+    yes, no = y.sum(), len(y) - y.sum()
+    weight = np.log((hit + 0.5) / (yes + 1)) - np.log((other + 0.5) / (no + 1))
+    sure = hit * np.log(np.maximum(hit, 1) * len(y) / np.maximum((hit + other) * yes, 1))
+    return np.where((sure >= WORD_SURE) & (weight > 0), weight, 0.0), float(np.log(yes / no))
+
+
+def _word_rows(batches):
+    for batch in W.slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(word_slots(W.column(batch, "text")), pa.list_(pa.int32()))], names=["y", "x"])
+
+
 def _feature_rows(batches):
     for batch in W.slices(batches):
         x = features(W.column(batch, "text"))
@@ -114,16 +147,36 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel()))], names=["y", "x"])
 
 
+def word_odds(slots: list[np.ndarray], model) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(slots))
+    weight, prior = model
+    return np.clip([prior + weight[at].sum() for at in slots], -12, 12)
+
+
 def _evidence(batches, model):
+    quality, words = model.value
     for batch in W.slices(batches):
-        odds = log_odds(features(W.column(batch, "text")), model.value)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), pa.array(odds)], names=["id", "host", "path", "odds"])
+        texts = W.column(batch, "text")
+        odds = log_odds(features(texts), quality)
+        toxic = word_odds(word_slots(texts), words) if words else np.full(len(odds), -12.0)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), pa.array(odds), pa.array(toxic)], names=["id", "host", "path", "odds", "toxic_odds"])
+
+
+def _first_labels(labels: DataFrame, fit_rows: int) -> DataFrame:
+    return F.broadcast(labels.where("id is not null and y is not null").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows))
+
+
+def train_words(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
+    """The word model from the same sample of labels (id, y); None if it holds one class only."""
+    rows = docs.join(_first_labels(labels, fit_rows), "id").select("y", "text").mapInArrow(_word_rows, "y int, x array<int>").toPandas()
+    y = rows["y"].to_numpy(np.float64)
+    return fit_words(list(rows["x"]), y) if len(set(y)) == 2 else None
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     """The model from the first ``fit_rows`` labels (id, y) by hash of the id; None if they hold one class only."""
-    labels = labels.where("id is not null and y is not null").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows)
-    rows = docs.join(F.broadcast(labels), "id").select("y", "text").mapInArrow(_feature_rows, "y int, x array<double>").toPandas()
+    rows = docs.join(_first_labels(labels, fit_rows), "id").select("y", "text").mapInArrow(_feature_rows, "y int, x array<double>").toPandas()
     y = rows["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return None
@@ -145,17 +198,11 @@ def _strength(groups: DataFrame, own_mean: str) -> float:
     return float(min(max(within / spread, 1.0), 1e6)) if spread > 0 else 1e6
 
 
-def score(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "concat_ws('/', source, lang)",
-    label: str = "quality", fit_rows: int = FIT_ROWS, site_weight: float = SITE_WEIGHT, keep_from: float = KEEP_FROM,
-) -> DataFrame:
-    """One row per document: id, evidence, host_mean, path_mean, score, keep.  host and path are expressions over docs."""
-    spark = docs.sparkSession
-    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.expr(host).alias("host"), F.expr(path).alias("path")).where("id is not null")
-    labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    model = spark.sparkContext.broadcast(train(docs.select("id", "text"), labels, fit_rows))
-    rows = cut(docs.mapInArrow(partial(_evidence, model=model), "id long, host string, path string, odds double").withColumn("p", F.expr("1 / (1 + exp(-odds))")), "op4-evidence")
-    sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.expr("p * p")).alias("q")]
+def _with_sites(rows: DataFrame, odds: str, site_weight: float, names: tuple[str, str, str]) -> DataFrame:
+    """``rows`` with the posterior means of host and path and the score that the column ``odds`` gives, under ``names``."""
+    host_mean, path_mean, name = names
+    p = F.expr(f"1 / (1 + exp(-{odds}))")
+    sums = [F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")]
     paths = cut(rows.groupBy("host", "path").agg(*sums), "op4-paths")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -164,8 +211,30 @@ def score(
     hosts = hosts.select(F.col("host").alias("h"), F.expr(f"(s + {k_host}d * {middle}d) / (n + {k_host}d)").alias("host_mean"))
     paths = cut(paths.join(hosts, F.expr("host <=> h")).drop("h"), "op4-path-means")
     k_path = _strength(paths, "host_mean")
-    sites = paths.select(F.col("host").alias("h"), F.col("path").alias("t"), "host_mean", F.expr(f"(s + {k_path}d * host_mean) / (n + {k_path}d)").alias("path_mean"))
-    scored = rows.join(small_side(sites, 100_000), F.expr("host <=> h and path <=> t"))
-    shift = f"ln(path_mean / (1 - path_mean)) - ln({middle}d / (1 - {middle}d))"
-    scored = scored.withColumn("score", F.expr(f"1 / (1 + exp(-(odds + {site_weight}d * ({shift}))))"))
-    return scored.select("id", F.col("p").alias("evidence"), "host_mean", "path_mean", "score", (F.col("score") >= keep_from).alias("keep"))
+    sites = paths.select(F.col("host").alias("h"), F.col("path").alias("t"), F.col("host_mean").alias(host_mean), F.expr(f"(s + {k_path}d * host_mean) / (n + {k_path}d)").alias(path_mean))
+    scored = rows.join(small_side(sites, 100_000), F.expr("host <=> h and path <=> t")).drop("h", "t")
+    shift = f"ln({path_mean} / (1 - {path_mean})) - ln({middle}d / (1 - {middle}d))"
+    return scored.withColumn(name, F.expr(f"1 / (1 + exp(-({odds} + {site_weight}d * ({shift}))))"))
+
+
+def score(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "concat_ws('/', source, lang)",
+    label: str = "quality", fit_rows: int = FIT_ROWS, site_weight: float = SITE_WEIGHT, keep_from: float = KEEP_FROM, toxic_label: str = "toxic", reject_from: float = REJECT_FROM,
+) -> DataFrame:
+    """One row per document: id, evidence, host_mean, path_mean, score, keep, toxic_score, toxic.  host and path are expressions over docs."""
+    spark = docs.sparkSession
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.expr(host).alias("host"), F.expr(path).alias("path")).where("id is not null")
+    of = lambda c: labels.select(F.col(id_col).cast("long").alias("id"), F.col(c).cast("int").alias("y")).where("y in (0, 1)")
+    texts = docs.select("id", "text")
+    words = train_words(texts, of(toxic_label), fit_rows) if toxic_label in labels.columns else None
+    model = spark.sparkContext.broadcast((train(texts, of(label), fit_rows), words))
+    rows = docs.mapInArrow(partial(_evidence, model=model), "id long, host string, path string, odds double, toxic_odds double")
+    rows = cut(rows.withColumn("p", F.expr("1 / (1 + exp(-odds))")), "op4-evidence")
+    scored = _with_sites(rows, "odds", site_weight, ("host_mean", "path_mean", "score"))
+    toxic = F.lit(0.0)
+    if words:
+        scored, toxic = _with_sites(scored, "toxic_odds", site_weight, ("toxic_host", "toxic_path", "toxic_score")), F.col("toxic_score")
+    return scored.select(
+        "id", F.col("p").alias("evidence"), "host_mean", "path_mean", "score", (F.col("score") >= keep_from).alias("keep"),
+        toxic.alias("toxic_score"), (toxic >= reject_from).alias("toxic"),
+    )

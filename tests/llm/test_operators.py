@@ -8,6 +8,7 @@ import pytest
 from compare import same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import bpe, curriculum_mix, edit_counts, hilbert_neighbours, huffman, ngram_jaccard_join, queries, site_quality, substring_dedup, template_decontam, token_file, wordhash
@@ -225,6 +226,16 @@ def test_quality_held_out(spark):
     assert ((scored["keep"]) == (scored["quality"] == 1)).mean() > 0.99
 
 
+def test_quality_stage_drops_toxic(spark, tmp_path):
+    sf = "/root/testdata/sf0.1"
+    labels, docs = queries.table(spark, sf, "labels"), queries.table(spark, sf, "documents")
+    labels.where("doc_id % 2 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    held = labels.where("doc_id % 2 = 1 and quality = 1")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path)).select("doc_id", F.lit(1).alias("kept"))
+    share = {r.toxic: r.share for r in held.join(kept, "doc_id", "left").groupBy("toxic").agg(F.avg(F.coalesce("kept", F.lit(0))).alias("share")).collect()}
+    assert share[1] < 0.25 and share[0] > 0.98
+
+
 def test_sparse_site_follows_its_host(spark):
     rows = [(i, "Some plain words. " * 5, "host", "a" if i < 200 else "b") for i in range(201)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
