@@ -124,14 +124,11 @@ def word_slots(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def fit_words(slots: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of each slot, prior log-odds) by naive Bayes on the slots that are surely more frequent with label 1."""
-    hit, other = np.zeros(WORD_SLOTS), np.zeros(WORD_SLOTS)
-    for at, toxic in zip(slots, y, strict=True):
-        (hit if toxic else other)[at] += 1
-    yes, no = y.sum(), len(y) - y.sum()
+def fit_words(hit: np.ndarray, other: np.ndarray, yes: int, no: int) -> tuple[np.ndarray, float]:
+    """(weight of each slot, prior log-odds) by naive Bayes on the slots that are surely more frequent with label 1, from
+    each slot's documents and all documents of either label."""
     weight = np.log((hit + 0.5) / (yes + 1)) - np.log((other + 0.5) / (no + 1))
-    sure = hit * np.log(np.maximum(hit, 1) * len(y) / np.maximum((hit + other) * yes, 1))
+    sure = hit * np.log(np.maximum(hit, 1) * (yes + no) / np.maximum((hit + other) * yes, 1))
     return np.where((sure >= WORD_SURE) & (weight > 0), weight, 0.0), float(np.log(yes / no))
 
 
@@ -169,9 +166,15 @@ def _first_labels(labels: DataFrame, fit_rows: int) -> DataFrame:
 
 def train_words(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     """The word model from the same sample of labels (id, y); None if it holds one class only."""
-    rows = docs.join(_first_labels(labels, fit_rows), "id").select("y", "text").mapInArrow(_word_rows, "y int, x array<int>").toPandas()
-    y = rows["y"].to_numpy(np.float64)
-    return fit_words(list(rows["x"]), y) if len(set(y)) == 2 else None
+    rows = docs.join(_first_labels(labels, fit_rows), "id").select("y", "text")
+    of = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(of) < 2:
+        return None
+    slots = rows.mapInArrow(_word_rows, "y int, x array<int>").select("y", F.explode("x").alias("slot"))
+    counts = slots.groupBy("slot").agg(F.sum("y").alias("hit"), F.count("*").alias("n")).where("hit > 1").toPandas()  # one document is never sure
+    hit, other = np.zeros(WORD_SLOTS), np.zeros(WORD_SLOTS)
+    hit[counts["slot"]], other[counts["slot"]] = counts["hit"], counts["n"] - counts["hit"]
+    return fit_words(hit, other, of[1], of[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
