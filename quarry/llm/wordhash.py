@@ -1,8 +1,8 @@
 """Vectorised word hashing of Arrow text columns.
 
-A word is a run of bytes other than space and \\x09-\\x0D.  Hashes of all words of a block come from one prefix sum
-over its bytes (a random value per byte times a power of an odd base, modulo 2**64), so no Python object is made
-per word.  Two independent bases give 128 bits where equality must be certain.
+A word is a run of bytes other than space and \\x09-\\x0D.  The words of a block are hashed eight bytes a step, all at
+once, so no Python object is made per word (but of words over 64 bytes).  FIRST and SECOND differ in their seeds; the two
+together are 128 bits, each alone 64.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 19
 U = np.uint64
@@ -33,43 +34,55 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Base:
-    """One hash function: a value for each byte, an odd base, and growing tables of its powers and inverses."""
+    """One hash function of byte runs: eight bytes at a time go through a multiplicative scramble, longer runs through
+    xxh3.  Both depend on the seed, and neither has collisions by structure (as polynomials modulo 2**64 have)."""
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.byte = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.lower = self.byte[_LOWER]
-        self.odd = int(rng.integers(0, 1 << 63, dtype=np.uint64)) * 2 + 1
-        self.power = self.inverse = np.ones(0, U)
-
-    def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.power) < n:
-            size = max(n, BLOCK_BYTES + 1)
-            steps = np.full(size, self.odd % (1 << 64), U)
-            steps[0] = 1
-            back = np.full(size, pow(self.odd, -1, 1 << 64), U)
-            back[0] = 1
-            self.power, self.inverse = np.cumprod(steps), np.cumprod(back)
-        return self.power[:n], self.inverse[:n]
+        self.seed = seed
+        self.start, self.size, self.odd = (U(int(x) | 1) for x in rng.integers(0, 1 << 64, 3, dtype=np.uint64))
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
         """Hashes of data[start:end]."""
-        power, inverse = self.tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum((self.lower if lower else self.byte)[data] * power[:-1], out=total[1:])
-        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = _LOWER[data] if lower else data
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+        left = (ends - starts).astype(np.int64)
+        h = self.start + left.astype(U) * self.size
+        at, which = starts, np.arange(len(left))
+        for step in range(LONG // 8):
+            h[which] = mix(h[which] * self.odd ^ (eight[at] & _FIRST_BYTES[np.minimum(left[which] - 8 * step, 8)]))
+            stay = left[which] > 8 * (step + 1)
+            which, at = which[stay], at[stay] + 8
+            if not len(which):
+                return h
+        for i in which:
+            h[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]], self.seed)
+        return h
 
     def grams(self, words: np.ndarray, k: int) -> np.ndarray:
         """Hash of each k consecutive values, len(words) - k + 1 of them (none if that is negative)."""
         n = len(words) - k + 1
-        if n <= 0:
+        if n <= 0 or k <= 0:
             return np.zeros(0, U)
-        power, inverse = self.tables(len(words) + 1)
-        total = np.zeros(len(words) + 1, U)
-        np.cumsum(words * power[:-1], out=total[1:])
-        return mix((total[k:] - total[:n]) * inverse[:n])
-
-
+        # runs of 1, 2, 4, .. values; those that make up k are joined from left to right
+        run, width, found, done = words, 1, None, 0
+        while True:
+            if k & width:
+                part = run[done : done + n]
+                found = part if found is None else self._pair(found, part)
+                done += width
+            if 2 * width > k:
+                return mix(found ^ self.start) if k == 1 else found
+            run, width = self._pair(run[:-width], run[width:]), 2 * width
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * self.odd + b + self.size)
+
+
+#: Words over so many bytes are hashed one by one.
+LONG = 64
+_FIRST_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 FIRST, SECOND = Base(11), Base(12)
 
 
