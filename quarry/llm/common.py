@@ -8,21 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow (one or two longs) side that may be broadcast; about 32 MB.  Beyond it the join shuffles.
+#: Rows of a narrow (one or two longs) side that may be broadcast; about 16 MB.  Beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that Python gets at a time; Spark's own bound, kept for values, is too large where all rows hold long texts.
 BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a session on one machine (master local) gets a temporary folder; on a cluster that is an error,
+    for each machine would write to a disk of its own."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         folder = sc.getCheckpointDir()
-        if not folder:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-            folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -41,22 +44,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow, already written side for broadcast if it has at most ``rows`` rows; else leave it to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (id, component) per linked id, component its smallest id.
 
-    Alternates large-star and small-star steps; every step is a map-side combined minimum and an equi-join, so a
-    node with very many links costs no more than its links.  Each round is written to the shared folder.
+    Alternates large-star and small-star steps, of which a component of n ids needs about log(n); every step is a map-side
+    combined minimum and an equi-join, so a node with very many links costs no more than its links.  Each round is
+    written to the shared folder, and the round before it deleted.
     """
     edges = cut(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u links to u's minimum
@@ -67,12 +79,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")
         )
-        edges = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
+        last, edges = edges, cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
+        discard(last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
