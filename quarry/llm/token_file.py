@@ -1,16 +1,17 @@
 """Operator 2: token ids in a binary file format with canonical Huffman coding.
 
-A first pass counts all ids of the corpus; their length-limited canonical code makes one small table.  A second pass range
-partitions the documents by id and writes each partition's ids as blocks of whole documents, each a row of a Parquet
-folder: document ids, lengths, the packed bits, and a bit offset for each 256 ids.  Blocks decode independently, from all
-their checkpoints at once, by one look-up table.  Parquet is only the container: it lets any store hold the file and
-Spark's writer commit it, so tasks that run again leave no second copy.
+A first pass encodes every text once, writes the plain ids of each document to a scratch table and counts them; the
+length-limited canonical code of the counts makes one small table.  A second pass range partitions the scratch table by id
+and writes each partition's ids as blocks of whole documents, each a row of a Parquet folder: document ids, lengths,
+the packed bits, and a bit offset for each 256 ids.  The scratch table goes when the file is there.  Blocks decode
+independently, from all their checkpoints at once, by one look-up table.  Parquet is only the container: it lets any
+store hold the file and Spark's writer commit it, so tasks that run again leave no second copy.
 
 ``folder/code``: one row, the bits of each id.  ``folder/blocks``: part, block, tokens before it in its part,
 ids and lengths of its documents, marks, bits; in order of (part, block) documents ascend.
 
-Rows without an id are left out; a null or empty text has the end id only; equal ids keep their rows, in no fixed order; an empty table makes a file
-without blocks; further columns are ignored.
+Rows without an id are left out; a null or empty text has the end id only; equal ids keep their rows, in order of their
+token bytes; an empty table makes a file without blocks; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from . import huffman
 from . import wordhash as W
 from .bpe import encoder
-from .common import shared_dir, text_batches
+from .common import cut, discard, shared_dir, text_batches
 
 END_ID = 0
 BLOCK_IDS = 1 << 19
+ENCODED = "id long, width int, tokens binary, counted array<long>, counts array<long>"
 BLOCKS = "part int, block int, before long, ids array<long>, lengths array<int>, marks binary, bits binary"
 
 
@@ -41,24 +43,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _counts(batches, path: str):
+def _encoded(batches, path: str):
+    """Rows (id, width, tokens) of each document, tokens as little-endian numbers of width bytes; then the task's counts."""
     total = np.zeros(1, np.int64)
+
+    def batch_of(names, width, tokens, values, counts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array(width, pa.int32()), tokens, pa.array(values, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
+            names=["id", "width", "tokens", "counted", "counts"],
+        )
+
     for batch in W.slices(batches):
-        for _, ids, lengths in encoder(path).encode(W.column(batch, "text")):
+        names = W.column_long(batch, "id")
+        for first, ids, lengths in encoder(path).encode(W.column(batch, "text")):
             more = np.bincount(ids, minlength=len(total))
             more[: len(total)] += total
-            total = more
-            total[END_ID] += len(lengths)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["token", "c"])
+            total, n = more, len(lengths)
+            total[END_ID] += n
+            ids, lengths = np.insert(ids, np.cumsum(lengths), END_ID), lengths + 1
+            width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
+            at = np.concatenate(([0], np.cumsum(lengths * width))).astype(np.int32)
+            tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(ids.astype(f"<u{width}"))])
+            yield batch_of(names[first : first + n], [width] * n, tokens, [None] * n, [None] * n)
+    seen = np.flatnonzero(total)
+    yield batch_of([None], [0], pa.array([None], pa.binary()), [seen], [total[seen]])
 
 
-def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(token, c) over all texts, with one end id for each document."""
-    return docs.select("text").mapInArrow(partial(_counts, path=path), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """The scratch table of documents (id, text): each one's tokens with the end id, and a row of counts from each task."""
+    return cut(docs.mapInArrow(partial(_encoded, path=path), ENCODED), "tokens-plain")
 
 
-def _blocks(batches, path: str, bits):
+def token_counts(encoded: DataFrame) -> DataFrame:
+    """(token, c) over all documents, with one end id for each."""
+    each = encoded.where("counted is not null").select(F.explode(F.arrays_zip("counted", "counts")).alias("x"))
+    return each.groupBy(F.col("x.counted").alias("token")).agg(F.sum("x.counts").alias("c"))
+
+
+def _blocks(batches, bits):
+    encoder.cache_clear()  # a worker that encoded before would keep its pieces
+    W.release()
     code, part, block, before = huffman.Code(bits.value), TaskContext.get().partitionId(), 0, 0
     kept_ids, kept_lengths, kept, size = [], [], [], 0
 
@@ -70,24 +94,17 @@ def _blocks(batches, path: str, bits):
         )
 
     for batch in W.slices(batches):
-        names = W.column_long(batch, "id")
-        for first, ids, lengths in encoder(path).encode(W.column(batch, "text")):
-            ends = np.cumsum(lengths)
-            ids = np.insert(ids, ends, END_ID)
-            lengths = lengths + 1
-            at = np.concatenate(([0], np.cumsum(lengths)))
-            lo = 0
-            while lo < len(lengths):
-                hi = min(len(lengths), lo + 1 + int(np.searchsorted(at[lo + 1 :] - at[lo], BLOCK_IDS - size)))
-                kept.append(ids[at[lo] : at[hi]])
-                kept_ids += names[first + lo : first + hi]
-                kept_lengths += lengths[lo:hi].tolist()
-                size += int(at[hi] - at[lo])
-                lo = hi
-                if size >= BLOCK_IDS:
-                    yield row()
-                    block, before = block + 1, before + size
-                    kept_ids, kept_lengths, kept, size = [], [], [], 0
+        names, width, tokens = W.column_long(batch, "id"), W.column_long(batch, "width"), batch.column("tokens")
+        for name, w, x in zip(names, width, tokens, strict=True):
+            ids = np.frombuffer(x.as_buffer(), f"<u{w}").astype(np.uint32)
+            kept_ids.append(name)
+            kept_lengths.append(len(ids))
+            kept.append(ids)
+            size += len(ids)
+            if size >= BLOCK_IDS:
+                yield row()
+                block, before = block + 1, before + size
+                kept_ids, kept_lengths, kept, size = [], [], [], 0
     if kept:
         yield row()
 
@@ -96,15 +113,17 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Write the token file of all documents into ``folder`` and return it."""
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    found = token_counts(docs, path).toPandas()  # as many rows as the vocabulary, at most
+    encoded = encode_documents(docs, path)
+    found = token_counts(encoded).toPandas()  # as many rows as the vocabulary, at most
     counts = np.zeros(int(found["token"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["token"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
     bits = huffman.code_lengths(counts)
     spark.createDataFrame([(bytearray(bits.tobytes()),)], "bits binary").coalesce(1).write.parquet(f"{folder}/code")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    ordered = encoded.where("id is not null").select("id", "width", "tokens").repartitionByRange(parts, "id").sortWithinPartitions("id", "tokens")
     sent = spark.sparkContext.broadcast(bits)
-    ordered.mapInArrow(partial(_blocks, path=path, bits=sent), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(partial(_blocks, bits=sent), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    discard(encoded)
     return folder
 
 
