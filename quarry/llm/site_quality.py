@@ -6,8 +6,10 @@ posterior means: a host's shrinks to the global mean, a path's to its host's, ea
 variance between and within the groups estimates, so sparse sites follow their prior and large ones their own record.
 A document's score is its own log-odds plus a weighted shift of its path's log-odds from the global.
 
-A second evidence, of toxicity, is naive Bayes on presence of hashed words, fitted on the toxic labels in the same way where the
-labels have them, with host and path posteriors of its own; it gives the column toxic, and ``keep`` stays the decision on quality.
+A second evidence, of toxicity, is a logistic regression on the presence of hashed words, fitted on the toxic labels in the
+same way where the labels have them, with host and path posteriors of its own; it gives the column toxic, and ``keep`` stays the
+decision on quality.  Its candidates are the words that are surely more frequent in toxic texts; fitted together,
+words that only occur beside the telling ones (in copies of one text) get no weight.
 
 The classifier is fitted on at most FIT_ROWS labelled rows, the first by hash of their id; everything else covers all
 documents.  Without both labels in that sample the evidence is 0.5 for all.  Null and empty texts have the features of an
@@ -31,9 +33,10 @@ from .common import cut, small_side, text_batches
 FIT_ROWS = 20_000
 SITE_WEIGHT = 0.5
 KEEP_FROM = 0.5
-REJECT_FROM = 0.95
-#: Hashed word counters of the toxic model, and the log-likelihood a word needs against chance to count.
-WORD_SLOTS, WORD_SURE = 1 << 18, 15.0
+REJECT_FROM = 0.5
+#: Hashed word counters of the toxic model, the log-likelihood a word needs against chance to be a candidate, and how many
+#: candidates are fitted, the surest first.
+WORD_SLOTS, WORD_SURE, WORDS_FITTED = 1 << 18, 15.0, 4096
 FEATURES = ("words", "word_length", "capitals", "digits", "stops", "marks", "wide", "lines", "distinct", "top", "marked", "shouted")
 
 _KIND = np.full(256, 5, np.uint8)  # 0 capital, 1 digit, 2 full stop or comma, 3 other mark, 4 byte outside ASCII, 5 else, 6 line feed
@@ -124,12 +127,34 @@ def word_slots(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def fit_words(hit: np.ndarray, other: np.ndarray, yes: int, no: int) -> tuple[np.ndarray, float]:
-    """(weight of each slot, prior log-odds) by naive Bayes on the slots that are surely more frequent with label 1, from
-    each slot's documents and all documents of either label."""
-    weight = np.log((hit + 0.5) / (yes + 1)) - np.log((other + 0.5) / (no + 1))
+def candidate_slots(hit: np.ndarray, other: np.ndarray, yes: int, no: int) -> np.ndarray:
+    """The slots that are surely more frequent with label 1, from each slot's documents and all documents of either label."""
+    more = (hit + 0.5) / (yes + 1) > (other + 0.5) / (no + 1)
     sure = hit * np.log(np.maximum(hit, 1) * (yes + no) / np.maximum((hit + other) * yes, 1))
-    return np.where((sure >= WORD_SURE) & (weight > 0), weight, 0.0), float(np.log(yes / no))
+    found = np.flatnonzero(more & (sure >= WORD_SURE))
+    return np.sort(found[np.lexsort((found, -sure[found]))[:WORDS_FITTED]])
+
+
+def fit_words(slots: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, ridge: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
+    """(weight of each slot, bias): logistic regression on presence of the candidates, by accelerated descent with steps
+    scaled to each candidate's frequency.  Only what speaks for label 1 counts: weights are not negative."""
+    row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+    at = np.searchsorted(candidates, np.concatenate(slots)) if len(slots) else np.zeros(0, int)
+    n, m = len(y), len(candidates)
+    scale = 0.25 * (np.bincount(at, minlength=m) / n + 1e-3) * max(1.0, np.bincount(row, minlength=n).mean()) + ridge
+    rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    w, bias = np.zeros(m), float(np.log(rate / (1 - rate)))
+    last_w, last_bias = w, bias
+    for step in range(1, steps + 1):
+        push = (step - 1) / (step + 2)
+        v, c = w + push * (w - last_w), bias + push * (bias - last_bias)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v[at], n) + c, -30, 30)))
+        last_w, last_bias = w, bias
+        w = np.maximum(v - (np.bincount(at, (p - y)[row], m) / n + ridge * v) / scale, 0)
+        bias = c - 2 * float((p - y).mean())
+    weight = np.zeros(WORD_SLOTS)
+    weight[candidates] = w
+    return weight, bias
 
 
 def _word_rows(batches):
@@ -147,8 +172,8 @@ def _feature_rows(batches):
 def word_odds(slots: list[np.ndarray], model) -> np.ndarray:
     if model is None:
         return np.zeros(len(slots))
-    weight, prior = model
-    return np.clip([prior + weight[at].sum() for at in slots], -12, 12)
+    weight, bias = model
+    return np.clip([bias + weight[at].sum() for at in slots], -12, 12)
 
 
 def _evidence(batches, model):
@@ -164,17 +189,28 @@ def _first_labels(labels: DataFrame, fit_rows: int) -> DataFrame:
     return F.broadcast(labels.where("id is not null and y is not null").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows))
 
 
+def _only(batches, candidates):
+    for batch in batches:
+        found = [x[np.isin(x, candidates.value)] for x in (np.asarray(r, np.int32) for r in batch.column("x").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "x"])
+
+
 def train_words(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     """The word model from the same sample of labels (id, y); None if it holds one class only."""
-    rows = docs.join(_first_labels(labels, fit_rows), "id").select("y", "text")
+    rows = docs.join(_first_labels(labels, fit_rows), "id").select("y", "text").mapInArrow(_word_rows, "y int, x array<int>")
+    rows = cut(rows, "op4-words")
     of = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(of) < 2:
         return None
-    slots = rows.mapInArrow(_word_rows, "y int, x array<int>").select("y", F.explode("x").alias("slot"))
-    counts = slots.groupBy("slot").agg(F.sum("y").alias("hit"), F.count("*").alias("n")).where("hit > 1").toPandas()  # one document is never sure
+    counts = rows.select("y", F.explode("x").alias("slot")).groupBy("slot").agg(F.sum("y").alias("hit"), F.count("*").alias("n")).where("hit > 1").toPandas()  # one document is never sure
     hit, other = np.zeros(WORD_SLOTS), np.zeros(WORD_SLOTS)
     hit[counts["slot"]], other[counts["slot"]] = counts["hit"], counts["n"] - counts["hit"]
-    return fit_words(hit, other, of[1], of[0])
+    candidates = candidate_slots(hit, other, of[1], of[0])
+    sent = docs.sparkSession.sparkContext.broadcast(candidates)
+    found = rows.mapInArrow(partial(_only, candidates=sent), "y int, x array<int>").toPandas()
+    slots, y = [np.asarray(x, np.int32) for x in found["x"]], found["y"].to_numpy(np.float64)
+    order = sorted(range(len(y)), key=lambda i: (y[i], slots[i].tobytes()))  # the sums then don't depend on the order of arrival
+    return fit_words([slots[i] for i in order], y[order], candidates)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
