@@ -10,8 +10,9 @@ reached; the last is cut there.  A running sum gives each reading its place in t
 the integrated schedule the training position.  The sum is taken in two steps, over parts of the hash order and
 within them, so the largest source needs no task of its own.
 
-A null text has size 0; null sources are one source; rows without an id are left out; equal ids keep their own rows, in no fixed order between
-them; an empty table gives an empty result; further columns are ignored.
+A null text has size 0; null sources are one source; rows without an id are left out; rows of one id and source are
+documents of their own, told apart by ``copy`` (0, 1, .. by size); an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -31,7 +32,7 @@ PART_ROWS = 20_000
 
 
 def source_plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per source: source, source_size, target, slope."""
+    """One row per source: source, source_size, target, slope.  Its windows see one row per source, and so are one task."""
     every = Window.orderBy(F.col("source").isNull(), "source")
     n = len(weights)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.row_number().over(every) - 1) % n + 1)
@@ -48,7 +49,7 @@ def source_plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float =
 
 
 def readings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, **plan) -> DataFrame:
-    """Each reading of each document: id, pass, size, source_size, target, words (taken in this pass) and position.
+    """Each reading of each document: id, source, copy, pass, size, source_size, target, words (taken in this pass) and position.
 
     A document that is not taken keeps its first row, with no words and no position."""
     sizes = cut(
@@ -69,21 +70,38 @@ def readings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sums = sums.select("source", "part", F.coalesce(before, F.lit(0)).alias("part_start"))
     sums = sums.alias("s").join(source_plan(sizes, most=most, **plan).alias("p"), F.expr("s.source <=> p.source"))
     sums = sums.select(F.col("s.source").alias("src"), F.col("part").alias("p"), "part_start", "source_size", "slope", "target")
-    within = Window.partitionBy("source", "part").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    same = Window.partitionBy("source", "part").orderBy("place", "id", "size")
+    within = same.rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.row_number().over(same)
+    placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("nth", nth)
+    # the first row of an id within its part; several rows of one id stand together
+    opens = F.when(F.coalesce(F.lag("id").over(same) != F.col("id"), F.lit(True)), F.col("nth"))
+    placed = placed.withColumn("opens", opens).withColumn("copy", (F.col("nth") - F.max("opens").over(same.rowsBetween(Window.unboundedPreceding, 0))).cast("int"))
     placed = placed.join(sums, F.expr("source <=> src and part = p")).withColumn("begin", F.expr("part_start + inside"))
     placed = placed.withColumn("demand", F.floor("target").cast("long")).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     placed = placed.withColumn("words", F.expr("greatest(0L, least(size, demand - pass * source_size - begin))"))
     placed = placed.where("words > 0 or pass = 0")
     q = "(pass * source_size + begin + words / 2.0d) / demand"
     inverse = f"if(slope = 0, {q}, (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * {q})) / (2 * slope))"
-    return placed.select("id", F.col("pass").cast("int").alias("pass"), "size", "source_size", "target", "words", F.expr(f"if(words > 0, {inverse}, null)").alias("position"))
+    return placed.select("id", "source", "copy", F.col("pass").cast("int").alias("pass"), "size", "source_size", "target", "words", F.expr(f"if(words > 0, {inverse}, null)").alias("position"))
 
 
-def in_training_order(taken: DataFrame) -> DataFrame:
-    """Readings with words, range-sorted by position (ties: id, pass)."""
-    parts = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return taken.where("words > 0").repartitionByRange(parts, "position", "id", "pass").sortWithinPartitions("position", "id", "pass")
+def in_training_order(rows: DataFrame, *ties: str) -> DataFrame:
+    """Rows range-sorted by their column ``position`` and then by ``ties``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "position", *ties).sortWithinPartitions("position", *ties)
+
+
+def documents_with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with the column ``copy`` of their readings.  Only rows of repeated ids are numbered."""
+    several = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("several")).count().where("count > 1").select("several"), "op7-several")
+    if several.isEmpty():
+        return docs.withColumn("copy", F.lit(0))
+    mark = docs.join(small_side(several), F.col(id_col) == F.col("several"), "left")
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("several", source_col).orderBy(size, text_col)) - 1
+    numbered = mark.where("several is not null").withColumn("copy", nth)
+    return mark.where("several is null").withColumn("copy", F.lit(0)).unionByName(numbered).drop("several")
 
 
 ORACLE_SQL = r"""

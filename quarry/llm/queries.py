@@ -44,7 +44,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = curriculum_mix.readings(table(spark, sf_dir, "documents"))
     same = [F.first(c).alias(c) for c in ("size", "source_size", "target")]
-    return taken.groupBy(F.col("id").alias("doc_id")).agg(*same, F.sum("words").alias("taken"), F.min("position").alias("position"))
+    taken = taken.groupBy(F.col("id").alias("doc_id"), "source", "copy").agg(*same, F.sum("words").alias("taken"), F.min("position").alias("position"))
+    return curriculum_mix.in_training_order(taken.drop("source", "copy"), "doc_id")
 
 
 def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
