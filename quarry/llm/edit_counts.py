@@ -1,13 +1,16 @@
 """Operator 9: edit-aware token counts on segment trees.
 
-A text is cut into leaves of some pieces each, at places where the pre-tokenizer always cuts (white space after a
-word).  A document's tree is an array of sums over its leaves, of bytes and of tokens; the leaves are the second half.  An edit
-(byte range, new text) finds its leaves by descending the byte sums; they, and the neighbour whose border the edit touches,
-are encoded again, and only the sums above them change.  Counts equal those of the whole new text.
-
-Edits of a document apply one after the other, each to the text the one before left; a range beyond the text's end is cut
-to it.  Texts with white space outside ASCII are one leaf.  A null text counts as empty; no or null edits leave the count; rows without an id are left out; equal
-ids keep their rows; an empty table gives an empty result; further columns are ignored.
+A text is cut into leaves of some pieces each, at places where the pre-tokenizer always cuts (ASCII white space behind a
+character that is none).  A document's tree is an array of sums over its leaves, of bytes and of tokens; the leaves are the
+second half.  Trees are a table that is built once and kept; edits are another, and only documents with edits are opened
+again.  An edit (byte range, new text) finds its leaves by descending the byte sums; they, and the neighbour whose border
+the edit touches, are encoded again, and only the sums above them change.  A leaf that edits made too long is cut anew.
+Counts equal those of the whole new text.
+
+Edits of a document apply one after the other in order of ``nth``, each to the text the one before left; a range beyond the
+text's end is cut to it.  A null text counts as empty; no edits or edits of unknown documents leave the counts, null members of an edit are 0 or empty;
+rows without an id are left out; equal ids keep their rows, and edits of an id apply to each of them; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,32 +25,36 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .bpe import Encoder, encoder
-from .common import text_batches
+from .common import cut, small_side, text_batches
 from .token_file import default_tokenizer
 
 #: Pieces (words with the white space before them) of a leaf.
 LEAF = 32
+#: Bytes of a leaf beyond which an edited one is cut anew, if it can be.
+LEAF_BYTES = 2048
 TREES = "id long, text string, leaf_bytes array<int>, leaf_tokens array<int>"
 COUNTED = TREES + ", tokens_before long, tokens_after long, n_edits long, bytes_encoded long"
-EDITS = "array<struct<at:int,length:int,text:string>>"
 
 
 class Tree:
     """Sums of (bytes, tokens) over leaves, in a binary heap: node i has children 2i and 2i + 1."""
 
     def __init__(self, data: bytes, sizes, counts, encode: Encoder):
-        self.encode, self.half = encode, 1 << max(0, int(max(len(sizes), 1) - 1).bit_length())
-        self.texts = [b""] * self.half
-        self.bytes, self.tokens = [0] * (2 * self.half), [0] * (2 * self.half)
-        at = 0
-        for i, (n, c) in enumerate(zip(sizes, counts, strict=True)):
-            self.texts[i] = data[at : at + n]
-            self.bytes[self.half + i], self.tokens[self.half + i] = int(n), int(c)
+        self.encode, self.encoded, at, texts = encode, 0, 0, []
+        for n in sizes:
+            texts.append(data[at : at + n])
             at += n
+        self._grow(texts, [int(c) for c in counts])
+
+    def _grow(self, texts: list[bytes], counts: list[int]) -> None:
+        self.half = 1 << max(0, int(max(len(texts), 1) - 1).bit_length())
+        rest = self.half - len(texts)
+        self.texts = [*texts, *[b""] * rest]
+        self.bytes = [*[0] * self.half, *map(len, self.texts)]
+        self.tokens = [*[0] * self.half, *counts, *[0] * rest]
         for i in range(self.half - 1, 0, -1):
             self.bytes[i] = self.bytes[2 * i] + self.bytes[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.encoded = 0
 
     def leaf_at(self, at: int) -> tuple[int, int]:
         """(leaf that holds byte ``at``, its first byte)."""
@@ -76,26 +83,46 @@ class Tree:
         first, start = self.leaf_at(max(at - 1, 0)) if total else (0, 0)
         last, _ = self.leaf_at(min(end, total - 1)) if total else (0, 0)
         old = b"".join(self.texts[first : last + 1])
-        new = old[: at - start] + text + old[end - start :]
-        ids = self.encode.whole([new.decode("utf-8", "replace")])[0]
+        new = (old[: at - start] + text + old[end - start :]).decode("utf-8", "replace").encode()
         self.encoded += len(new)
-        self._set(first, new, len(ids))
-        for leaf in range(first + 1, last + 1):
-            if self.texts[leaf]:
-                self._set(leaf, b"", 0)
+        parts = cut_leaves(new) if len(new) > LEAF_BYTES else [new]
+        counts = [len(x) for x in self.encode.whole([p.decode() for p in parts])]
+        if len(parts) > last - first + 1:  # more leaves than there are: all sums are made anew, nothing else is encoded
+            return self._grow([*self.texts[:first], *parts, *self.texts[last + 1 :]], [*self.tokens[self.half :][:first], *counts, *self.tokens[self.half + last + 1 :]])
+        for i in range(first, last + 1):
+            k = i - first
+            if k < len(parts):
+                self._set(i, parts[k], counts[k])
+            elif self.texts[i]:
+                self._set(i, b"", 0)
 
     def text(self) -> bytes:
         return b"".join(self.texts)
 
 
+def cut_leaves(data: bytes, leaf: int = LEAF) -> list[bytes]:
+    """A text's leaves: each border follows an ASCII character that is no white space or control, and precedes ASCII white space."""
+    x = np.frombuffer(data, np.uint8)
+    if len(x) < 2:
+        return [data]
+    at = np.flatnonzero(W.WHITE[x[1:]] & (x[:-1] > 32) & (x[:-1] < 127)) + 1
+    bounds = [0, *at[leaf - 1 :: leaf].tolist(), len(data)]
+    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+
+
 def leaves(encode: Encoder, texts: pa.Array, leaf: int = LEAF):
-    """(row, bytes of its leaves, tokens of its leaves); a border follows a word and precedes white space."""
+    """(row, bytes of its leaves, tokens of its leaves)."""
     for b, row, lo, counts in encode.pieces(texts):
         opens = W.WHITE[b.data[lo]] if len(lo) else np.zeros(0, bool)
         nth = np.cumsum(opens)
         bounds = np.searchsorted(row, np.arange(len(b) + 1))
         total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        odd = set(encode._odd(b).tolist())
         for i in range(len(b)):
+            if i in odd:  # white space outside ASCII: the pieces are not known, the leaves are encoded one by one
+                parts = cut_leaves(b.data[b.bounds[i] : b.bounds[i + 1]].tobytes(), leaf)
+                yield b.row + i, np.array([len(x) for x in parts], np.int32), np.array([len(x) for x in encode.whole([x.decode() for x in parts])], np.int32)
+                continue
             p, q = bounds[i], bounds[i + 1]
             cut = np.flatnonzero(opens[p:q] & (nth[p:q] % leaf == 0)) + p
             cut = cut[cut > p]
@@ -124,67 +151,76 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
 def _apply(batches, path: str):
     for batch in batches:
-        out, texts = [], []
-        columns = {c: batch.column(c) for c in ("text", "leaf_bytes", "leaf_tokens", "edits")}
-        before = [int(x.values.to_numpy().sum()) if x.is_valid else 0 for x in columns["leaf_tokens"]]
-        for i in range(batch.num_rows):
-            edits = columns["edits"][i].as_py() or ()
-            if not edits:
-                texts.append((columns["text"][i].as_py(), columns["leaf_bytes"][i].as_py(), columns["leaf_tokens"][i].as_py()))
-                out.append((before[i], before[i], 0, 0))
-                continue
-            tree = Tree(columns["text"][i].as_py().encode(), columns["leaf_bytes"][i].as_py(), columns["leaf_tokens"][i].as_py(), encoder(path))
-            for e in edits:
+        out = []
+        for r in batch.to_pylist():
+            tree = Tree(r["text"].encode(), r["leaf_bytes"], r["leaf_tokens"], encoder(path))
+            before = tree.tokens[1]
+            for e in r["edits"]:
                 tree.edit(e["at"] or 0, e["length"] or 0, (e["text"] or "").encode())
             sizes = [(len(t), c) for t, c in zip(tree.texts, tree.tokens[tree.half :], strict=True) if t] or [(0, 0)]
-            texts.append((tree.text().decode("utf-8", "replace"), [s for s, _ in sizes], [c for _, c in sizes]))
-            out.append((before[i], tree.tokens[1], len(edits), tree.encoded))
-        n = [pa.array([x[j] for x in out], pa.int64()) for j in range(4)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([t[0] for t in texts], pa.string()), pa.array([t[1] for t in texts], pa.list_(pa.int32())), pa.array([t[2] for t in texts], pa.list_(pa.int32())), *n],
-            names=["id", "text", "leaf_bytes", "leaf_tokens", "tokens_before", "tokens_after", "n_edits", "bytes_encoded"],
-        )
-
-
-def apply_edits(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The trees after their column ``edits`` (byte offset, byte length, new text), with counts before and after."""
-    return trees.select("id", "text", "leaf_bytes", "leaf_tokens", "edits").mapInArrow(
-        partial(_apply, path=tokenizer or default_tokenizer()), COUNTED
-    )
-
-
+            out.append((r["id"], tree.text().decode("utf-8", "replace"), [n for n, _ in sizes], [c for _, c in sizes], before, tree.tokens[1], len(r["edits"]), tree.encoded))
+        kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4]
+        names = ["id", "text", "leaf_bytes", "leaf_tokens", "tokens_before", "tokens_after", "n_edits", "bytes_encoded"]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None, key: str = "id") -> DataFrame:
+    """The trees after the edits (id, nth, at: byte offset, length: in bytes, text), with counts before and after.  An edit's
+    id names a tree by the column ``key``.
+
+    Trees without edits pass as they are, their counts summed from their leaves; only the others reach Python."""
+    step = F.struct("nth", "at", "length", "text")
+    each = edits.where("id is not null").groupBy(F.col("id").alias("edited")).agg(F.transform(F.sort_array(F.collect_list(step)), lambda x: F.struct(x["at"], x["length"], x["text"])).alias("edits"))
+    each = small_side(cut(each, "op9-edits"), EDITED_ROWS)
+    mine = F.col(key) == F.col("edited")
+    opened = text_batches(trees).join(each, mine).select("id", "text", "leaf_bytes", "leaf_tokens", "edits").mapInArrow(partial(_apply, path=tokenizer or default_tokenizer()), COUNTED)
+    whole = F.aggregate("leaf_tokens", F.lit(0).cast("long"), lambda s, x: s + x)
+    none = F.lit(0).cast("long")
+    rest = trees.join(each.select("edited"), mine, "left_anti").select("id", "text", "leaf_bytes", "leaf_tokens", whole.alias("tokens_before"), whole.alias("tokens_after"), none.alias("n_edits"), none.alias("bytes_encoded"))
+    return rest.unionByName(opened)
+
+
+#: Rows of grouped edits that may be broadcast, some hundred bytes each.
+EDITED_ROWS = 50_000
 EMAIL = re.compile(rb"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 NUMBER = re.compile(rb"\+?[0-9](?:[ ().-]?[0-9]){6,18}")
 _HAS_DIGITS = re.compile(rb"[0-9][^A-Za-z]{0,2}[0-9]")
 
 
-def redactions(texts: pa.Array) -> list[list[dict]]:
-    """Edits that replace e-mail addresses and long numbers, from the text's end on so that offsets hold."""
-    out = []
-    for x in texts:
-        data, found = x.as_buffer().to_pybytes() if x.is_valid else b"", []
-        if b"@" in data:
-            found += [(m.start(), m.end(), "<email>") for m in EMAIL.finditer(data)]
-        if _HAS_DIGITS.search(data):
-            taken = [(a, b) for a, b, _ in found]
-            found += [(m.start(), m.end(), "<number>") for m in NUMBER.finditer(data) if not any(a < m.end() and m.start() < b for a, b in taken)]
-        out.append([{"at": a, "length": b - a, "text": t} for a, b, t in sorted(found, reverse=True)])
-    return out
+def redactions(data: bytes) -> list[tuple[int, int, str]]:
+    """(at, length, new text): replacements of e-mail addresses and of long numbers outside them, from the text's end on, so that
+    offsets hold."""
+    found = [(m.start(), m.end(), "<email>") for m in EMAIL.finditer(data)] if b"@" in data else []
+    if _HAS_DIGITS.search(data):
+        mails, i = list(found), 0
+        for m in NUMBER.finditer(data):
+            while i < len(mails) and mails[i][1] <= m.start():
+                i += 1
+            if i == len(mails) or mails[i][0] >= m.end():
+                found.append((m.start(), m.end(), "<number>"))
+    return [(a, b - a, t) for a, b, t in sorted(found, reverse=True)]
 
 
-def _with_redactions(batches):
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("text", pa.string())]))
+def _redactions(batches):
     for batch in batches:
-        edits = pa.array(redactions(W.column(batch, "text")), kind)
-        yield pa.RecordBatch.from_arrays([*batch.columns, edits], names=[*batch.schema.names, "edits"])
+        ids, out = batch.column("id").to_pylist(), []
+        for i, x in enumerate(W.column(batch, "text")):
+            out += [(ids[i], nth, *e) for nth, e in enumerate(redactions(x.as_buffer().to_pybytes() if x.is_valid else b""))]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["id", "nth", "at", "length", "text"])
 
 
-def _redacted(batches, path: str):
-    # one Python worker runs all three steps
-    yield from _apply(_with_redactions(_build(batches, path)), path)
+def redaction_edits(trees: DataFrame) -> DataFrame:
+    """Edits (id, nth, at, length, text) that replace e-mail addresses and long numbers of the trees' texts."""
+    return text_batches(trees).select("id", "text").mapInArrow(_redactions, "id long, nth int, at int, length int, text string")
 
 
 def redacted_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Trees of all documents after e-mail addresses and long numbers were replaced, with counts before and after."""
-    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    return docs.mapInArrow(partial(_redacted, path=tokenizer or default_tokenizer()), COUNTED)
+    """Trees of all documents after e-mail addresses and long numbers were replaced, with counts before and after.
+
+    The trees are written first and edited from there.  Rows of one id with different texts have edits of their own, so each
+    row goes under a hash of id and text meanwhile."""
+    trees = cut(build(docs, id_col, text_col, tokenizer), "op9-trees")
+    named = trees.withColumn("row", F.xxhash64("id", "text"))
+    edits = redaction_edits(named.select(F.col("row").alias("id"), "text")).distinct()  # equal rows have equal edits
+    return apply_edits(named, edits, tokenizer, "row")
