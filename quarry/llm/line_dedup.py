@@ -34,6 +34,7 @@ def repeated_positions(docs: DataFrame, span: int = SPAN) -> DataFrame:
     )
     rows = cut(rows.select("h", "g", "id", F.col("lines")[0].alias("at"), F.array_max("lines").alias("last"), "lines"), "op10-windows")
     first = rows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("first")).where("c > 1").select("h", "g", "first")
+    first = cut(first, "op10-first")  # a table of its own, so that Spark can split a window that very many lines share
     return rows.join(first, ["h", "g"]).where("struct(id, at) <> first").select("id", "lines")
 
 
@@ -41,7 +42,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, n_lines, n_removed, kept (its lines that stay, as they were)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     marks = repeated_positions(docs, span).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
-    both = docs.join(marks.hint("shuffle_hash"), "id", "left").withColumn("lines", F.split("text", "\n"))
+    both = docs.join(marks, "id", "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by a hash set: linear in the lines
     kept = F.transform(stay, lambda i: F.get("lines", i))
     return both.select(

@@ -247,7 +247,7 @@ def dedup_substrings(
     """One row per document: id, n_words, n_removed, kept (its words that stay, joined by a space), removed spans."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     runs = repeated_runs(docs, k, chunk, branching).groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    return docs.join(runs.hint("shuffle_hash"), "id", "left").select("id", "text", "runs").mapInArrow(
+    return docs.join(runs, "id", "left").select("id", "text", "runs").mapInArrow(
         partial(_kept, k=k), "id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
     )
 
