@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import bpe, curriculum_mix, edit_counts, hilbert_neighbours, huffman, ngram_jaccard_join, queries, site_quality, substring_dedup, template_decontam, token_file, wordhash
+from quarry.llm import bpe, curriculum_mix, edit_counts, hilbert_neighbours, huffman, licence_rules, ngram_jaccard_join, queries, site_quality, substring_dedup, template_decontam, token_file, wordhash
 
 SPACE = b" \t\n\x0b\f\r"
 
@@ -200,7 +200,8 @@ def test_mix_shares(spark, sf):
     source = {r.doc_id: str(r.source) for r in queries.table(spark, sf, "documents").select("doc_id", "source").collect()}
     per = rows.assign(source=rows["id"].map(source)).groupby("source").agg({"words": "sum", "target": "first"})
     assert (np.abs(per["words"] - per["target"]) < 1).all()
-    order = curriculum_mix.in_training_order(curriculum_mix.readings(queries.table(spark, sf, "documents"))).toPandas()["position"]
+    taken = curriculum_mix.readings(queries.table(spark, sf, "documents")).where("words > 0")
+    order = curriculum_mix.in_training_order(taken, "id", "pass").toPandas()["position"]
     assert order.is_monotonic_increasing and order.between(0, 1).all()
 
 
@@ -243,28 +244,154 @@ def test_sparse_site_follows_its_host(spark):
     assert site_quality.score(docs, labels).where("keep").count() == 201
 
 
-def test_edits_against_whole_texts():
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD2 = """Copyright (c) 2019, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+APACHE_BODY = """                                 Apache License
+                           Version 2.0, January 2004
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License."""
+
+
+def comment(text, open_, mark, close):
+    return "\n".join([open_, *[f"{mark} {x}".rstrip() for x in text.split("\n")], close, "int main() { return 0; }"])
+
+
+LICENSED = [
+    (MIT, {"MIT"}), (comment(MIT, "/*", " *", " */"), {"MIT"}), (comment("The MIT License (MIT)\n\n" + MIT, "#", "#", "#"), {"MIT"}), (BSD2, {"BSD-2-Clause"}), (BSD3, {"BSD-3-Clause"}),
+    (comment(BSD3, "//", "//", "//"), {"BSD-3-Clause"}), (BSD3 + "\n\nThe other part:\n\n" + BSD2, {"BSD-2-Clause", "BSD-3-Clause"}), (GPL2, {"GPL-2.0"}), (comment(GPL2, "--", "--", "--"), {"GPL-2.0"}),
+    (GPL2.replace("General", "Affero General", 1).replace("software; you", "software: you").replace("Foundation; either version 2", "Foundation, either version 3"), {"AGPL-3.0"}),
+    (GPL2.replace("General", "Lesser General", 1).replace("program is free", "library is free", 1).replace("version 2", "version 2.1"), {"LGPL-2.1"}),
+    (comment(APACHE, "/*", " *", " */"), {"Apache-2.0"}), (APACHE_BODY, {"Apache-2.0"}), ("# SPDX-License-Identifier: GPL-3.0-or-later\nimport os", {"GPL-3.0"}), ("// SPDX-License-Identifier: CC-BY-SA-4.0", {"CC-BY-SA-4.0"}),
+    ("Our shop. All rights reserved.", {"all-rights-reserved"}), ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", {"CC-BY-NC-SA-4.0"}),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free", {"Unlicense"}), ("We talk about the license of a film and permission to park.", set()), ("", set()), (None, set()),
+]
+
+
+def test_licences_in_real_texts(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENSED)], "doc_id long, text string")
+    found = {}
+    for r in licence_rules.scan(docs).collect():
+        found.setdefault(r.id, set()).add(r.licence)
+    assert [found.get(i, set()) for i in range(len(LICENSED))] == [x for _, x in LICENSED]
+
+
+def test_edits_against_whole_texts(monkeypatch):
     e, rng = bpe.encoder(token_file.default_tokenizer()), random.Random(3)
+    monkeypatch.setattr(edit_counts, "LEAF_BYTES", 100)
     parts = "the of Thandion ti, er. 12 don't  \n \t é ñó,  “q” ![] ' 's".split(" ")
-    text_of = lambda n: "".join(rng.choice(parts) + rng.choice([" ", " ", "\n", "  ", "", "\t"]) for _ in range(n))
-    for t in range(80):
+    for t in range(120):
+        spaces = [" ", " ", "\n", "  ", "", "\t", *["\u00a0", "\u2003", " \u00a0 "] * (t % 2)]
+        text_of = lambda n: "".join(rng.choice(parts) + rng.choice(spaces) for _ in range(n))  # noqa: B023, E731
         text = text_of(rng.choice([0, 1, 5, 200])) + " " * (t % 10 == 0)
         ((_, sizes, counts),) = list(edit_counts.leaves(e, pa.array([text]), rng.choice([1, 2, 8])))
+        assert sizes.sum() == len(text.encode()) and counts.sum() == len(e.whole([text])[0])
         tree = edit_counts.Tree(text.encode(), sizes.tolist(), counts.tolist(), e)
-        for _ in range(5):
-            at, length, new = rng.randint(0, len(text) + 2), rng.choice([0, 1, 3, 20, 500]), text_of(rng.choice([0, 1, 3]))
+        for _ in range(6):
+            at, length, new = rng.randint(0, len(text) + 2), rng.choice([0, 1, 3, 20, 500]), text_of(rng.choice([0, 1, 3, 60]))
             tree.edit(len(text[:at].encode()), len(text[at : at + length].encode()), new.encode())
             text = text[:at] + new + text[at + length :]
             assert tree.text().decode() == text and tree.tokens[1] == len(e.whole([text])[0])
 
 
+def test_odd_white_space_is_no_single_leaf():
+    e = bpe.encoder(token_file.default_tokenizer())
+    text = "some words and a\u00a0space " * 400
+    ((_, sizes, counts),) = list(edit_counts.leaves(e, pa.array([text])))
+    assert len(sizes) > 40
+    tree = edit_counts.Tree(text.encode(), sizes.tolist(), counts.tolist(), e)
+    tree.edit(5000, 3, b"abc")
+    assert tree.encoded < 1000 and tree.tokens[1] == len(e.whole([tree.text().decode()])[0])
+
+
+def _redacted(text):
+    data = text.encode()
+    mails = [m.span() for m in edit_counts.EMAIL.finditer(data)]
+    spans = [(a, b, b"<email>") for a, b in mails] + [(*m.span(), b"<number>") for m in edit_counts.NUMBER.finditer(data) if all(m.end() <= a or b <= m.start() for a, b in mails)]
+    out, at = b"", 0
+    for a, b, new in sorted(spans):
+        out, at = out + data[at:a] + new, b
+    return (out + data[at:]).decode(), len(spans)
+
+
 def test_edited_counts(spark, sf):
-    rows = edit_counts.redacted_counts(queries.table(spark, sf, "documents")).collect()
+    docs = queries.table(spark, sf, "documents")
+    more = spark.createDataFrame([(10**6, "call +49 30 123456 7 or a.b@c.de."), (10**6, "other text of one id"), (10**6, "other text of one id"), (10**6 + 1, None), (10**6 + 2, "id\u00a012345678\u00a0end")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    rows = edit_counts.redacted_counts(docs).collect()
     e = bpe.encoder(token_file.default_tokenizer())
-    assert any(r.n_edits for r in rows)
+    expected = []
+    for r in docs.collect():
+        after, n = _redacted(r.text or "")
+        expected.append((r.doc_id, after, len(e.whole([r.text or ""])[0]), len(e.whole([after])[0]), n))
+    assert sorted((r.id, r.text, r.tokens_before, r.tokens_after, r.n_edits) for r in rows) == sorted(expected) and sum(r.n_edits > 0 for r in rows) > 2
     for r in rows:
-        if r.n_edits:
-            assert r.tokens_after == len(e.whole([r.text])[0]) and "@" not in r.text.replace("<email>", "") or r.tokens_after
+        assert sum(r.leaf_bytes) == len(r.text.encode()) and sum(r.leaf_tokens) == r.tokens_after and (r.bytes_encoded == 0) == (r.n_edits == 0)
+
+
+def test_kept_trees_take_edits_of_a_table(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, None)], "doc_id long, text string")
+    trees = edit_counts.build(docs)
+    edits = spark.createDataFrame([(1, 1, 0, 3, "seven"), (1, 0, 4, 3, "six"), (3, 0, 99, 1, "new"), (2, 0, None, None, None), (9, 0, 0, 1, "x"), (None, 0, 0, 1, "x")], "id long, nth int, at int, length int, text string")
+    found = edit_counts.apply_edits(trees, edits)
+    assert {(r.id, r.text, r.n_edits) for r in found.collect()} == {(1, "seven six three", 2), (2, "four five", 1), (3, "new", 1)}
+    again = edit_counts.apply_edits(found.select("id", "text", "leaf_bytes", "leaf_tokens"), edits.where("id = 2"))
+    assert {r.id: r.tokens_after for r in again.collect()} == {r.id: r.tokens_after for r in found.collect()}
 
 
 def test_pipeline(spark, sf):
