@@ -26,9 +26,10 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
-def folded_native(text: Column) -> Column:
-    """What ``folded`` gives for text in composed form whose only special folding is sharp s; stays in the JVM."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+def folded_text(text: Column) -> Column:
+    """What ``folded`` gives; texts of ASCII characters, which need small letters and single spaces only, stay in the JVM."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[ \t-\r\x1c-\x1f]+", " "))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), folded(F.when(text.rlike(r"[^\x00-\x7f]"), text))).otherwise(plain)
 
 
 def repository(value: Column) -> Column:

@@ -98,6 +98,7 @@ def normalize_success(value: Column, numeric: bool = False) -> Column:
     if numeric:
         return F.when(value != -1, value != 0)
     v = F.lower(F.trim(value))
+    # Words of the two outcomes.
     good, bad = ("1", "true", "success", "succeeded", "resolved", "passed", "pass"), ("0", "false", "failure", "failed", "unresolved", "error")
     return F.when(v.isin(*good), True).when(v.isin(*bad), False)
 
@@ -107,13 +108,18 @@ def canonical_json(value: Column) -> Column:
     return F.to_json(F.try_parse_json(value))
 
 
+def canonical(value) -> str:
+    """Sorted, compact JSON."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 @F.pandas_udf(StringType())
 def canonical_json_exact(value: pd.Series) -> pd.Series:
     """Sorted, compact JSON with the number forms of Python's json; null where it does not parse."""
 
     def one(x):
         try:
-            return None if x is None else json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            return None if x is None else canonical(json.loads(x))
         except ValueError:
             return None
 
@@ -132,6 +138,7 @@ def split_think(text: Column) -> Column:
     )
 
 
+# Fixed value: how a fenced block is written.
 _FENCE = re.compile(r"```(?:[A-Za-z0-9_+.-]+)?\s*\n?(.*?)```", re.DOTALL)
 
 

@@ -16,6 +16,7 @@ LABELS = {
     "termination": ("finish", "submit"),
 }
 DEFAULT_LABEL = "mechanical_action"
+# Fixed value: the sentence behind a rendered tool schema.
 TOOL_HELP = "Use <tool_call>{...}</tool_call> for actions. Tool results use <tool_response>{...}</tool_response>."
 
 
@@ -97,23 +98,26 @@ def rendered_episodes(messages: DataFrame, episode: str = "conv_id", position: s
     return messages.groupBy(episode).agg(F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rendered"))
 
 
-def removable_groups(messages: DataFrame, episode: str = "conv_id", position: str = "turn") -> DataFrame:
-    """Message groups before each episode's last assistant message that a window may drop, with their sizes.
+def history_groups(prefix: DataFrame, keys: list[str], position: str = "turn") -> DataFrame:
+    """(keys, grp, protected, n_messages, first, last): message groups of the prefixes (keys, position, role).
 
     A group opens at the first message and at every assistant message.  System and developer messages, the first and last user
     message and everything from the last assistant message of the prefix on are protected, and so is a group that holds one of them."""
     assistant = (F.col("role") == "assistant").cast("int")
-    every = Window.partitionBy(episode)
-    target = F.max(F.when(assistant == 1, F.col(position))).over(every)
-    prefix = messages.withColumn("target", target).where(F.col(position) < F.col("target"))
-    order = Window.partitionBy(episode).orderBy(position)
+    every, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(position)
     prefix = prefix.withColumn("grp", F.sum(F.when(F.row_number().over(order) == 1, 1).otherwise(assistant)).over(order))
     at_user, at_assistant = F.when(F.col("role") == "user", F.col(position)), F.when(assistant == 1, F.col(position))
     edges = F.col("role").isin("system", "developer") | (F.col(position) == F.min(at_user).over(every)) | (F.col(position) == F.max(at_user).over(every))
     latest = F.coalesce(F.max(at_assistant).over(every), F.min(position).over(every))
     prefix = prefix.withColumn("protected", F.coalesce(edges, F.lit(False)) | (F.col(position) >= latest))
-    groups = prefix.groupBy(episode, "target", "grp").agg(F.bool_or("protected").alias("protected"), F.count("*").alias("n_messages"))
-    return groups.where("not protected").drop("protected")
+    return prefix.groupBy(*keys, "grp").agg(F.bool_or("protected").alias("protected"), F.count("*").alias("n_messages"), F.min(position).alias("first"), F.max(position).alias("last"))
+
+
+def removable_groups(messages: DataFrame, episode: str = "conv_id", position: str = "turn") -> DataFrame:
+    """Message groups before each episode's last assistant message that a window may drop, with their sizes."""
+    target = F.max(F.when(F.col("role") == "assistant", F.col(position))).over(Window.partitionBy(episode))
+    prefix = messages.withColumn("target", target).where(F.col(position) < F.col("target"))
+    return history_groups(prefix, [episode, "target"], position).where("not protected").drop("protected", "first", "last")
 
 
 def content_digests(messages: DataFrame, episode: str = "conv_id", position: str = "turn", content: str = "text") -> DataFrame:

@@ -6,9 +6,11 @@ import hashlib
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import numbered
+
 ALIGN = 16
 PLAN = "bucket long, pack long, place int, sample_id string, length int, real_tokens int, aligned_tokens int"
 
@@ -49,16 +51,16 @@ def chunked(samples: DataFrame, size: int) -> DataFrame:
 def token_budget_plan(samples: DataFrame, max_tokens: int, align: int = ALIGN, seed: int = 20260904, epoch: int = 0, bucket_size: int = 2048) -> DataFrame:
     """Packs of samples (sample_id, length) within max_tokens.
 
-    A seeded hash order deals the samples into buckets of about bucket_size; each bucket is packed by itself, longest
+    A seeded hash order deals the samples into buckets of bucket_size; each bucket is packed by itself, longest
     first (ties: sample_id).  Buckets are independent tasks; the order of packs and members is a seeded hash order too.
     A length outside 1 .. max_tokens raises."""
     if max_tokens <= 0 or max_tokens % align:
         raise ValueError("max_tokens must be a positive multiple of the alignment")
-    n = samples.count()
-    buckets = max(1, -(-n // bucket_size))
     salt = epoch_seed("quarry-token-budget", seed, epoch)
     fits = F.when(F.col("length").between(1, max_tokens), F.col("length")).otherwise(F.raise_error(F.lit("a length is outside 1 .. max_tokens")).cast("int"))
-    dealt = samples.select("sample_id", fits.cast("int").alias("length"), F.pmod(F.xxhash64("sample_id", F.lit(salt % (1 << 62))), F.lit(buckets)).alias("bucket"))
+    order = F.xxhash64("sample_id", F.lit(salt % (1 << 62)))
+    dealt, _ = numbered(samples.select("sample_id", fits.cast("int").alias("length"), order.alias("order")), ["order", "sample_id"])
+    dealt = dealt.select("sample_id", "length", F.floor(F.col("row_no") / bucket_size).alias("bucket"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "sample_id"], ascending=[False, True], ignore_index=True)
@@ -75,9 +77,8 @@ def token_budget_plan(samples: DataFrame, max_tokens: int, align: int = ALIGN, s
 
 def rank_rows(packs: DataFrame, order: list[str], world: int) -> DataFrame:
     """Numbered packs with their rank; the last packs that do not fill a round are marked dropped."""
-    every = Window.orderBy(*order)
-    rows = packs.withColumn("row_no", F.row_number().over(every) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return rows.withColumn("rank", F.col("row_no") % world).withColumn("dropped", F.col("row_no") >= F.col("n") - F.col("n") % world).drop("n")
+    rows, n = numbered(packs, order)
+    return rows.withColumn("rank", F.col("row_no") % world).withColumn("dropped", F.col("row_no") >= n - n % world)
 
 
 def causal(ids: Column, weights: Column) -> Column:
@@ -130,3 +131,16 @@ def utilization(packs: DataFrame) -> DataFrame:
         F.count("*").alias("packs"), F.sum("real_tokens").alias("real_tokens"), F.sum("aligned_tokens").alias("aligned_tokens"), F.sum(F.col("n") * F.col("longest")).alias("padded_tokens")
     )
     return total.withColumn("packed_utilization", F.col("real_tokens") / F.col("aligned_tokens")).withColumn("padded_utilization", F.col("real_tokens") / F.col("padded_tokens"))
+
+
+def padded_rows(rows: DataFrame, width: int, pad: int = 0) -> DataFrame:
+    """Causal sequences (sample_id, ids, weights), each padded on its own to ``width``; a longer one has no row of its own and is
+    marked: input_ids, target_ids (-100 in the padding), loss_weights, real_tokens, fits."""
+    c = causal(F.col("ids"), F.col("weights"))
+    rows = rows.select("sample_id", c.alias("c")).withColumn("n", F.size("c.inputs"))
+    fits, rest = F.col("n") <= width, F.greatest(F.lit(width) - F.col("n"), F.lit(0))
+    filled = lambda x, v, kind: F.when(fits, F.concat(F.col(x), F.array_repeat(F.lit(v).cast(kind), rest)))
+    return rows.select(
+        "sample_id", filled("c.inputs", pad, "int").alias("input_ids"), filled("c.targets", -100, "int").alias("target_ids"), filled("c.weights", 0, "float").alias("loss_weights"),
+        F.col("n").alias("real_tokens"), fits.alias("fits"),
+    )

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import numbered, small_side, written
+
 
 def order_key(seed: int | str, value: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}/"), value.cast("string")), 256)
@@ -31,33 +30,105 @@ def even_spread(rows: DataFrame, group: str, order: str, n: int, rounded: bool =
     return rows.where(F.array_contains(places, F.col("at"))).drop("size")
 
 
+#: Stands for every teacher of a split.
+EVERY = object()
+#: Reasons that the admission itself adds.
+DUPLICATE_TASK, DUPLICATE_CONTENT, SPLIT_FULL, TEACHER_FULL = "duplicate_task", "duplicate_content", "split_quota_reached", "teacher_quota_reached"
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(at, kind, key): the values by which rows exclude each other; a task id and a task digest share one name space."""
+    kind = lambda k, c: F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("key"))
+    each = F.array_distinct(F.array(kind("task", "task_id"), kind("task", "task_digest"), kind("content", "content_digest")))
+    return rows.select("at", F.explode(each).alias("k")).select("at", "k.kind", "k.key").where("key is not null")
+
+
+def first_of_all(rows: DataFrame) -> DataFrame:
+    """The rows that an ordered pass would take if each excludes all later ones that share a key with it.
+
+    In rounds: a row that is the first undecided of all its keys is taken, and those that share a key with it leave.  A
+    round is two grouped minima, and as many rounds are needed as exclusions follow one from another."""
+    undecided, taken = rows, None
+    while True:
+        keys = _keyed(undecided)
+        least = keys.groupBy("kind", "key").agg(F.min("at").alias("least"))
+        blocked = keys.join(least, ["kind", "key"]).groupBy("at").agg(F.bool_or(F.col("at") != F.col("least")).alias("blocked"))
+        now = written(undecided.join(blocked, "at", "left").where("not coalesce(blocked, false)").drop("blocked"), "admission-first")
+        taken = now if taken is None else taken.unionByName(now)
+        gone = _keyed(now).select("kind", "key").distinct()
+        rest = keys.join(small_side(written(gone, "admission-keys")), ["kind", "key"], "left_semi").select("at").distinct()
+        undecided = written(undecided.join(rest, "at", "left_anti").join(now.select("at"), "at", "left_anti"), "admission-rest")
+        if undecided.isEmpty():
+            return taken
+
+
+def admitted(clean: DataFrame, split_quota: dict[str, int], teacher_quota: dict[str, int]) -> DataFrame:
+    """The rows that an ordered pass takes under quotas for each split and each teacher of a split.
+
+    As long as no quota is full the pass takes what ``first_of_all`` takes.  The first quota to fill ends this: what was
+    taken up to there stays, its group leaves, and the rest goes on from there; so there are at most as many passes
+    as quotas.  Without a row of a group nothing of it is full."""
+    fixed = None
+    used: dict[tuple, int] = {}
+    limits = {(s, EVERY): n for s, n in split_quota.items()}
+    teachers = [(r["split"], r["teacher"]) for r in clean.select("split", "teacher").distinct().collect()]  # as many as there are groups
+    limits |= {(s, t): teacher_quota.get(s, 0) for s, t in teachers}
+    inside = lambda s, t: F.col("split").eqNullSafe(F.lit(s)) & (F.lit(True) if t is EVERY else F.col("teacher").eqNullSafe(F.lit(t)))
+    known = F.col("split").isin(*split_quota) if split_quota else F.lit(False)
+    rest = clean.where(known)
+    for (s, t), n in limits.items():
+        if n <= 0:
+            rest = rest.where(~inside(s, t))
+    limits = {g: n for g, n in limits.items() if n > 0}
+    while True:
+        took = first_of_all(rest)
+        ends = []
+        for (s, t), n in limits.items():
+            last = took.where(inside(s, t)).select("at").orderBy("at").offset(n - used.get((s, t), 0) - 1).limit(1).collect()
+            ends += [last[0]["at"]] if last else []
+        if not ends:
+            return took if fixed is None else fixed.unionByName(took)
+        end = min(ends)
+        stay = written(took.where(F.col("at") <= F.lit(end)), "admission-fixed")
+        fixed = stay if fixed is None else fixed.unionByName(stay)
+        for r in stay.groupBy("split", "teacher").count().collect():
+            for g in ((r["split"], EVERY), (r["split"], r["teacher"])):
+                used[g] = used.get(g, 0) + r["count"]
+        taken_keys = small_side(written(_keyed(stay).select("kind", "key").distinct(), "admission-keys"))
+        later = rest.where(F.col("at") > F.lit(end))
+        for group in [g for g, n in limits.items() if used.get(g, 0) >= n]:  # one row may fill a split and its teacher
+            later = later.where(~inside(*group))
+            limits.pop(group)
+        met = _keyed(later).join(taken_keys, ["kind", "key"], "left_semi").select("at").distinct()
+        rest = written(later.join(met, "at", "left_anti"), "admission-later")
+
+
 def greedy_admission(candidates: DataFrame, split_quota: dict[str, int], teacher_quota: dict[str, int]) -> DataFrame:
-    """(candidate, accepted, reasons) of candidates in order of ``place``.
+    """(candidate, accepted, reasons) of candidates in order of ``place`` and ``candidate``.
 
     A candidate without findings is taken unless its task id, task digest or content was already taken, or its split's or its
-    (split, teacher) quota is full.  Each step depends on all before, so narrow rows (ids, digests, findings) pass one task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tasks, contents, splits, teachers = set(), set(), {}, {}
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                reasons = list(r.findings)
-                if r.task_id in tasks or r.task_digest in tasks:
-                    reasons.append("duplicate_task")
-                if r.content_digest in contents:
-                    reasons.append("duplicate_content")
-                if splits.get(r.split, 0) >= split_quota.get(r.split, 0):
-                    reasons.append("split_quota_reached")
-                if teachers.get((r.split, r.teacher), 0) >= teacher_quota.get(r.split, 0):
-                    reasons.append("teacher_quota_reached")
-                if not reasons:
-                    tasks |= {r.task_id, r.task_digest}
-                    contents.add(r.content_digest)
-                    splits[r.split] = splits.get(r.split, 0) + 1
-                    teachers[r.split, r.teacher] = teachers.get((r.split, r.teacher), 0) + 1
-                out.append((r.candidate, not reasons, reasons))
-            yield pd.DataFrame(out, columns=["candidate", "accepted", "reasons"])
-
-    narrow = candidates.select("place", "candidate", "task_id", "task_digest", "content_digest", "split", "teacher", "findings")
-    return narrow.repartition(1).sortWithinPartitions("place", "candidate").mapInPandas(run, "candidate string, accepted boolean, reasons array<string>")
+    (split, teacher) quota is full.  The reasons of the others follow from what was taken before them, all at once."""
+    rows = candidates.select("place", "candidate", "task_id", "task_digest", "content_digest", "split", "teacher", "findings")
+    rows, _ = numbered(rows, ["place", "candidate"], "at")
+    rows = written(rows, "admission-candidates")
+    took = written(admitted(rows.where(F.size("findings") == 0).drop("findings"), split_quota, teacher_quota), "admission-taken")
+    before = _keyed(took).withColumnRenamed("at", "earlier")
+    first = small_side(written(before.groupBy("kind", "key").agg(F.min("earlier").alias("earlier")), "admission-first-keys"))
+    again = _keyed(rows).join(first, ["kind", "key"]).where("earlier < at").groupBy("at").agg(F.collect_set("kind").alias("again"))
+    # where each quota fills: the place of the taken row that fills it, for splits and their teachers
+    full_at = lambda quota, *by: took.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).join(F.broadcast(quota), "split").where("n = q").select(*by, F.col("at").alias("full"))
+    spark = rows.sparkSession
+    quota = lambda x: spark.createDataFrame(list(x.items()) or [(None, 0)], "split string, q int")
+    splits = full_at(quota(split_quota), "split").withColumnRenamed("full", "split_full")
+    teachers = full_at(quota(teacher_quota), "split", "teacher").select(F.col("split").alias("s"), F.col("teacher").alias("t"), F.col("full").alias("teacher_full"))
+    out = rows.join(again, "at", "left").join(F.broadcast(splits), "split", "left").join(F.broadcast(teachers), F.expr("split <=> s and teacher <=> t"), "left")
+    out = out.join(took.select("at", F.lit(True).alias("taken")), "at", "left")
+    none = lambda q: ~F.coalesce(F.col("split").isin(*[s for s, n in q.items() if n > 0]), F.lit(False)) if any(n > 0 for n in q.values()) else F.lit(True)
+    more = F.array_compact(
+        F.array(
+            F.when(F.array_contains("again", "task"), F.lit(DUPLICATE_TASK)), F.when(F.array_contains("again", "content"), F.lit(DUPLICATE_CONTENT)),
+            F.when(none(split_quota) | F.coalesce(F.col("split_full") < F.col("at"), F.lit(False)), F.lit(SPLIT_FULL)),
+            F.when(none(teacher_quota) | F.coalesce(F.col("teacher_full") < F.col("at"), F.lit(False)), F.lit(TEACHER_FULL)),
+        )
+    )
+    return out.select("candidate", F.coalesce("taken", F.lit(False)).alias("accepted"), F.concat(F.coalesce("findings", F.array().cast("array<string>")), more).alias("reasons"))
