@@ -59,3 +59,68 @@ def relative_rms(expected: Column, actual: Column) -> Column:
     square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
     difference = F.zip_with(actual, expected, lambda x, y: x.cast("double") - y.cast("double"))
     return F.sqrt(square(difference) / square(F.transform(expected, lambda x: x.cast("double"))))
+
+
+def region_counts(records: DataFrame, by: list[str]) -> DataFrame:
+    """(by, region, tokens, weighted, weight): tokens of each region of token records, those that learn, and their weight."""
+    each = records.select(*by, F.explode(F.arrays_zip("token_regions", "token_loss_weights")).alias("x"))
+    w = F.col("x.token_loss_weights").cast("double")
+    return each.groupBy(*by, F.col("x.token_regions").alias("region")).agg(F.count("*").alias("tokens"), F.sum((w > 0).cast("bigint")).alias("weighted"), F.sum(w).alias("weight"))
+
+
+def weighted_losses(rows: DataFrame, by: list[str], loss: str, weight: str, shares: tuple[float, ...] = (0.0, 0.5, 0.9, 1.0)) -> DataFrame:
+    """(by, n, weighted, quantiles, fault): the weighted mean of rows' losses and quantiles of the losses.  A group that holds a
+    loss or weight that is null, negative or no number, or no weight at all, has a fault instead."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) | (F.col(c) < 0)
+    found = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.bool_or(bad(loss) | bad(weight)).alias("bad"), F.sum(weight).alias("w"), weighted_mean(F.col(loss), F.col(weight)).alias("m"),
+        F.percentile(loss, F.array(*map(F.lit, shares))).alias("q"),
+    )
+    fault = F.when(F.col("bad"), "bad_value").when(F.coalesce("w", F.lit(0)) <= 0, "no_weight")
+    return found.select(*by, "n", F.when(fault.isNull(), F.col("m")).alias("weighted"), F.when(fault.isNull(), F.col("q")).alias("quantiles"), fault.alias("fault"))
+
+
+def gates(epochs: DataFrame, by: str, epoch: str, loss: str, denominator: str, first_limit: float, last_limit: float) -> DataFrame:
+    """``spikes`` with two more flags: whether an epoch covers as much (denominator) as the first one, and whether it passes all."""
+    rows = spikes(epochs, by, epoch, loss, first_limit, last_limit)
+    covers = F.col(denominator).eqNullSafe(F.first(denominator).over(Window.partitionBy(by).orderBy(epoch)))
+    return rows.withColumn("covers", covers).withColumn("passed", F.col("covers") & ~F.col("spike"))
+
+
+def _log_softmax(logits: Column) -> Column:
+    """Logarithms of the softmax of a vector."""
+    top = F.array_max(logits)
+    total = lambda m: F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - m))) + m
+    return F.element_at(F.transform(F.array(total(top)), lambda t: F.transform(logits, lambda x: x - t)), 1)
+
+
+def divergence(expected: Column, actual: Column) -> Column:
+    """struct(kl, agrees, margin): Kullback-Leibler divergence of two vectors of logits, whether their largest member is the same,
+    and by how much the expected one's leads its second."""
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    p, q = _log_softmax(double(expected)), _log_softmax(double(actual))
+    kl = F.aggregate(F.zip_with(p, q, lambda a, b: F.exp(a) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = lambda c: F.array_position(c, F.array_max(c))
+    ranked = F.sort_array(double(expected), asc=False)
+    return F.struct(kl.alias("kl"), (best(double(expected)) == best(double(actual))).alias("agrees"), (F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))).alias("margin"))
+
+
+def agreement(rows: DataFrame, by: list[str], found: str, confident: float) -> DataFrame:
+    """Per group of ``divergence`` results: rows, mean and 95th percentile of kl, share that agrees, and changed leaders of a margin
+    of ``confident`` or more."""
+    x = lambda name: F.col(f"{found}.{name}")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(x("kl")).alias("mean_kl"), F.percentile(x("kl"), 0.95).alias("p95_kl"), F.avg(x("agrees").cast("double")).alias("agreement"),
+        F.count(F.when(~x("agrees") & (x("margin") >= confident), 1)).alias("confident_changes"),
+    )
+
+
+def vector_differences(expected: Column, actual: Column) -> Column:
+    """struct(different, max_abs, relative_l2, scaled_max) of two vectors: unequal members, largest difference, the differences' norm
+    over the expected one's, and the largest difference over 1 + the expected member's size."""
+    pairs = F.zip_with(expected, actual, lambda a, b: F.struct(a.cast("double").alias("a"), (b.cast("double") - a.cast("double")).alias("d")))
+    size = lambda f: F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p) * f(p)))
+    return F.struct(
+        F.size(F.filter(pairs, lambda p: p["d"] != 0)).alias("different"), F.array_max(F.transform(pairs, lambda p: F.abs(p["d"]))).alias("max_abs"),
+        (size(lambda p: p["d"]) / size(lambda p: p["a"])).alias("relative_l2"), F.array_max(F.transform(pairs, lambda p: F.abs(p["d"]) / (1 + F.abs(p["a"])))).alias("scaled_max"),
+    )
