@@ -1,6 +1,8 @@
 """Exact and near contamination between splits: digests, LSH bands over MinHash, exact Jaccard.
 
-Everything works on distinct digests, so repeated texts cost one row.  Near candidates meet by (band, value).
+Everything works on distinct digests, so repeated texts cost one row, and the index of their shingles and bands is written
+once.  Only texts of different splits are compared.  In a bucket of a band each text first meets one text of each other
+split; only those without a finding then meet the others, so a group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import minhash_bands, shingles, words
+from ..scratch import written
 
 THRESHOLD = 0.8
 
@@ -20,38 +23,74 @@ def task_index(tasks: DataFrame) -> DataFrame:
     return cut.select("digest", shingles(F.col("folded"), "words").alias("shingles"))
 
 
+def written_index(tasks: DataFrame) -> DataFrame:
+    """``task_index`` with its ``bands``, as a written table."""
+    index = written(task_index(tasks), "contamination-shingles")
+    return written(index.withColumn("bands", minhash_bands("shingles")), "contamination-index")
+
+
 def bands(index: DataFrame) -> DataFrame:
     """(digest, band, value) rows."""
-    signed = index.select("digest", minhash_bands("shingles").alias("bands"))
+    signed = index if "bands" in index.columns else index.select("digest", minhash_bands("shingles").alias("bands"))
     return signed.select("digest", F.posexplode_outer("bands").alias("band", "value"))  # outer: no second signature for a filter
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a of left and b of right, that share a band."""
-    pairs = left.select(F.col("digest").alias("a"), "band", "value").join(right.select(F.col("digest").alias("b"), "band", "value"), ["band", "value"])
-    return pairs.where("a <> b").select("a", "b").distinct()
+def bucket_links(found: DataFrame) -> DataFrame:
+    """Distinct (a, b): each digest b of a bucket with the bucket's smallest digest a; they span all that share buckets."""
+    least = found.groupBy("band", "value").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return found.join(least, ["band", "value"]).where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
 
 
-def near_pairs(index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) for candidate pairs a < b at the threshold or above."""
-    found = bands(index)
-    pairs = candidates(found, found).where("a < b")
+def similar(pairs: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard) of the pairs at the threshold or above."""
     sets = index.select("digest", "shingles")
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _mixed_buckets(index: DataFrame, own: DataFrame) -> DataFrame:
+    """(band, value, digest, split) of the buckets with texts of several splits."""
+    rows = bands(index).join(own, "digest")
+    mixed = rows.groupBy("band", "value").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("band", "value")
+    return written(rows.join(mixed, ["band", "value"]), "contamination-buckets")
+
+
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a row of left and one of right that share a bucket and not a split."""
+    met = left.select("band", "value", F.col("digest").alias("a"), F.col("split").alias("s")).join(right.select("band", "value", F.col("digest").alias("b"), F.col("split").alias("t")), ["band", "value"])
+    return met.where("s <> t and a <> b").select("a", "b").distinct()
+
+
+def near_pairs(tasks: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard), a < b: candidate pairs of texts of different splits, at the threshold or above.  ``tasks``: digest, split."""
+    rows = _mixed_buckets(index, tasks.select("digest", "split").distinct())
+    pairs = _across(rows, rows).where("a < b")
+    return similar(pairs, index, threshold)
+
+
 def exact_cross_split(tasks: DataFrame) -> DataFrame:
     """Digests that occur in more than one split.  ``tasks``: digest, split."""
     return tasks.groupBy("digest").agg(F.countDistinct("split").alias("n_splits"), F.count("*").alias("n_rows")).where("n_splits > 1")
 
 
-def findings(tasks: DataFrame, pairs: DataFrame) -> DataFrame:
+def findings(tasks: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(digest, split, finding): exact where the same digest is in another split, near where a similar one is."""
-    own = tasks.select("digest", "split").distinct()
-    other = own.select(F.col("digest").alias("d"), F.col("split").alias("s"))
-    exact = own.join(other, (F.col("digest") == F.col("d")) & (F.col("split") != F.col("s")), "left_semi").withColumn("finding", F.lit("cross_split_exact_task"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = own.join(both, F.col("digest") == F.col("a")).join(other, (F.col("b") == F.col("d")) & (F.col("split") != F.col("s"))).select("digest", "split").distinct()
-    return exact.unionByName(near.withColumn("finding", F.lit("cross_split_near_task")))
+    own = written(tasks.select("digest", "split").distinct(), "contamination-tasks")
+    in_several = own.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    exact = own.join(in_several, "digest", "left_semi").withColumn("finding", F.lit("cross_split_exact_task"))
+    rows = _mixed_buckets(index, own)
+
+    def found_by(pairs: DataFrame) -> DataFrame:
+        met = similar(pairs, index, threshold).select("a", "b")
+        both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        mine = own.select(F.col("digest").alias("a"), "split")
+        other = own.select(F.col("digest").alias("b"), F.col("split").alias("t"))
+        return mine.join(both, "a").join(other, "b").where("split <> t").select(F.col("a").alias("digest"), "split").distinct()
+
+    first = rows.groupBy("band", "value", "split").agg(F.min("digest").alias("digest"))
+    near = written(found_by(written(_across(rows, first), "contamination-first")), "contamination-near")
+    left = rows.join(near, ["digest", "split"], "left_anti")
+    more = written(found_by(written(_across(left, rows), "contamination-rest")), "contamination-near")
+    near = near.unionByName(more).distinct().withColumn("finding", F.lit("cross_split_near_task"))
+    return exact.unionByName(near)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..scratch import written
 from ..sources import blobs
 from . import canonical
 
@@ -29,22 +30,30 @@ def content_digest(df: DataFrame) -> tuple[int, str]:
     return r["n"], "-".join(str(r[f"p{i}"] or 0) for i in range(4))
 
 
-def build(episodes: DataFrame, splits: DataFrame, folder: str) -> dict:
-    """Write the release of normalized episodes (splits: source_record_id, split) to folder; it must not exist."""
+def build(episodes: DataFrame, splits: DataFrame, folder: str, chosen: DataFrame | None = None, provenance: dict | None = None) -> dict:
+    """Write the release of normalized episodes (splits: source_record_id, split) to folder; it must not exist.
+
+    ``chosen`` (episode_id, message_index) are the decisions to hold, all of them by default; provenance goes into the manifest."""
     spark = episodes.sparkSession
     temporary = f"{folder.rstrip('/')}.building"
     for path in (folder, temporary):
         fs, p = _fs(spark, path)
         if fs.exists(p):
             raise FileExistsError(path)
-    df = canonical.with_ids(episodes.join(splits, "source_record_id"))
+    df = written(canonical.with_ids(episodes.join(splits, "source_record_id")), "release-episodes")  # the adapters run once
     blobs.put(df, f"{temporary}/traces")
-    tables = {"episodes": canonical.episode_table(df), "decisions": canonical.decision_table(df)}
+    tables = {"episodes": canonical.episode_table(df), "decisions": canonical.decision_table(df, chosen)}
     for name, schema in HASHED.items():
         table = tables[name] if name in tables else spark.createDataFrame([], schema)
         table.write.option("compression", "zstd").parquet(f"{temporary}/{name}")
     df.select("episode_id", "split").write.partitionBy("split").parquet(f"{temporary}/splits")
-    manifest = {"schema_version": schemas.VERSION, "tables": {n: content_digest(spark.read.schema(s).parquet(f"{temporary}/{n}")) for n, s in HASHED.items()}}
+    owned = spark.read.parquet(f"{temporary}/splits")
+    for name in SPLITS:  # sorted lists, one id a line
+        owned.where(F.col("split") == name).select("episode_id").orderBy("episode_id").write.text(f"{temporary}/lists/{name}")
+    manifest = {
+        "schema_version": schemas.VERSION, "tables": {n: content_digest(spark.read.schema(s).parquet(f"{temporary}/{n}")) for n, s in HASHED.items()},
+        "splits": {r["split"]: r["count"] for r in owned.groupBy("split").count().collect()}, "provenance": provenance or {},
+    }
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{temporary}/manifest")
     faults = verify(spark, temporary)
     if faults:
@@ -63,7 +72,9 @@ def verify(spark: SparkSession, folder: str) -> list[str]:
     some = lambda df: bool(df.limit(1).count())
     twice = lambda df, c: some(df.groupBy(c).count().where("count > 1"))
     checks = {f"content of {n}": list(content_digest(df)) != list(manifest["tables"][n]) for n, df in t.items()}
+    counts = {r["split"]: r["count"] for r in splits.groupBy("split").count().collect()}
     checks |= {
+        "split counts": counts != manifest["splits"],
         "schema": any(schemas.shape(spark.read.parquet(f"{folder}/{n}").schema) != schemas.shape(s) for n, s in HASHED.items()),
         "unique episodes": twice(t["episodes"], "episode_id"),
         "unique decisions": twice(t["decisions"], "decision_id"),
