@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from compare import same_rows
 
@@ -35,6 +37,18 @@ def test_budget_plan_places_every_character(spark):
     assert placed.to_dict() == sizes.set_index("doc_id")["n_chars"].to_dict()
 
 
+def test_packs_of_a_realistic_plan_are_nearly_full(spark):
+    from quarry.operators import packing
+
+    rng = random.Random(4)
+    rows = [(f"s{i}", min(16384, max(200, int(rng.lognormvariate(8.2, 0.9))))) for i in range(6000)]
+    plan = packing.token_budget_plan(spark.createDataFrame(rows, "sample_id string, length int"), 16384).toPandas()
+    assert plan.groupby("bucket").size().tolist() == [2048, 2048, 1904]
+    packs = plan.drop_duplicates(["bucket", "pack"])
+    assert packs["real_tokens"].sum() / packs["aligned_tokens"].sum() > 0.999  # tails of the alignment
+    assert plan["length"].sum() / (16384 * len(packs)) > 0.98
+
+
 def test_greedy_admission_counts(spark, sf):
     rows = catalog.greedy_quota_admission(spark, sf).toPandas()
     assert rows["accepted"].sum() <= 200 and (rows["accepted"] == (rows["reasons"].map(len) == 0)).all()
