@@ -537,7 +537,7 @@ def _lengths(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT conv_id, sum(length(text))::BIGINT AS real_tokens FROM conversations GROUP BY conv_id)
-SELECT conv_id, real_tokens, rn::INTEGER AS row_no, (rn % 3)::INTEGER AS rank, rn >= n - n % 3 AS dropped FROM (SELECT *, row_number() OVER (ORDER BY real_tokens DESC, conv_id) - 1 AS rn, count(*) OVER () AS n FROM p)""")
+SELECT conv_id, real_tokens, rn::BIGINT AS row_no, (rn % 3)::BIGINT AS rank, rn >= n - n % 3 AS dropped FROM (SELECT *, row_number() OVER (ORDER BY real_tokens DESC, conv_id) - 1 AS rn, count(*) OVER () AS n FROM p)""")
 def rank_striping(spark, sf_dir):
     return P.rank_rows(_lengths(spark, sf_dir).select("conv_id", "real_tokens", (-F.col("real_tokens")).alias("o")), ["o", "conv_id"], 3).drop("o")
 
