@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir  # noqa: F401
+from ..scratch import written as cut
+
 #: Rows of a narrow (one or two longs) side that may be broadcast; about 16 MB.  Beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that Python gets at a time; Spark's own bound, kept for values, is too large where all rows hold long texts.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the session's checkpoint folder.
-
-    Where neither is set, a session on one machine (master local) gets a temporary folder; on a cluster that is an error,
-    for each machine would write to a disk of its own."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def text_batches(docs: DataFrame) -> DataFrame:
     """``docs``, its session's Arrow batches bounded by BATCH_BYTES unless the session has a bound of its own."""
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
@@ -37,13 +22,6 @@ def text_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: ends the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote, once nothing reads it any more."""
     spark = df.sparkSession
