@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, edit_counts, hilbert_neighbours, licence_rules, line_dedup, ngram_jaccard_join, site_quality, substring_dedup, template_decontam, token_file
+from . import curriculum_mix, edit_counts, filter_audit, hilbert_neighbours, licence_rules, line_dedup, ngram_jaccard_join, periodic_runs, site_quality, substring_dedup, template_decontam, token_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.runs(table(spark, sf_dir, "documents"), placed=periodic_runs.repeating_ends)
+    return periodic_runs.digests(found).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontam": op1_template_decontam,
     "op2_token_file": op2_token_file,
@@ -73,10 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_rules": op8_licence_rules,
     "op9_edit_counts": op9_edit_counts,
     "op10_line_dedup": op10_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_template_decontam": template_decontam.ORACLE_SQL,
     "op7_curriculum_mix": curriculum_mix.ORACLE_SQL,
     "op8_licence_rules": licence_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
