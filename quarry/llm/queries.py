@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, edit_counts, filter_audit, hilbert_neighbours, licence_rules, line_dedup, ngram_jaccard_join, periodic_runs, site_quality, substring_dedup, template_decontam, token_file
+from . import curriculum_mix, edit_counts, filter_audit, hilbert_neighbours, lexicon_toxicity, licence_rules, line_dedup, ngram_jaccard_join, periodic_runs, site_quality, substring_dedup, template_decontam, token_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fuzzy_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexicon_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train_on=lexicon_toxicity.fold() != 0)
+    return found.select(F.col("id").alias("doc_id"), (lexicon_toxicity.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_rules": op8_licence_rules,
     "op9_edit_counts": op9_edit_counts,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fuzzy_lexicon": op11_fuzzy_lexicon,
     "op12_filter_audit": op12_filter_audit,
     "op13_periodic_runs": op13_periodic_runs,
 }
