@@ -6,6 +6,8 @@ turn's number decides whether a call or an answer is broken, and how.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,18 +113,70 @@ def chosen_decisions(spark, sf_dir):
     return rows.select("conv_id", F.array_join(F.transform(admission.spread(F.col("p"), 2), lambda x: x.cast("string")), ",").alias("chosen"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER w - 1 AS pos, sum(octet_length(encode(text)) + CASE role WHEN 'assistant' THEN 13 WHEN 'system' THEN 10 ELSE 8 END) OVER w AS n
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, pos::INTEGER AS message_index, n::INTEGER + 2 AS tokens, (octet_length(encode(text)) + 3)::DOUBLE AS weight, 0 AS dropped FROM m WHERE role = 'assistant' AND text <> ''""")
-def decision_tokens(spark, sf_dir):
+#: Tokens of several bytes; some reach from one region of the training text into the next.
+MERGED = (
+    "the", " the", "the ", "th", "er", "in", "on", "an", "tion", "ing", " and", " to", " of ", "ou", "ent", "ea", "ha", "he", "sh", "ly", "ed", "ble", "é", "è", "ion", "eau", "ment", "que", "ü", "ö", "ung", "sch", "ein", "ich",
+    "ñ", "ó", "ción", "mente", "ado", ", ", ". ", ".\n", ".\n\n", "\n\nUser: ", "\n\nAssistant: ", ".\n\nUser: T", "nt: T", "nt: E", "User: ", "System: ", "Assistant",
+)
+VOCABULARY = [f"{b + 1} {bytes([b])!r} 1" for b in range(256)] + [f"{i + 300} {t!r} {len(t.encode())}" for i, t in enumerate(MERGED)]
+WINDOW_TOKENS = 4000
+
+
+def _sessions(spark, sf_dir) -> DataFrame:
+    """Episodes of ten conversations each; every other one's task is what its first user says, the rest state it nowhere."""
     none = F.lit(None).cast("string")
     m = F.struct("role", F.col("text").alias("content"), F.lit("").alias("reasoning"), none.alias("action"), none.alias("tool_call_id"), F.lit(None).cast("boolean").alias("loss_mask"), none.alias("metadata"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", m.alias("m")))), lambda x: x["m"]).alias("messages"))
-    own = F.col("conv_id").cast("string")
-    rows = rows.select(own.alias("episode_id"), own.alias("source_dataset"), own.alias("source_record_id"), F.lit("train").alias("split"), own.alias("split_group"), own.alias("teacher_model"), F.lit(True).alias("success"), F.lit("").alias("task_text"), none.alias("tools"), "messages")
-    found = windows.token_records(rows, [f"{b + 1} {bytes([b])!r} 1" for b in range(256)], 10_000_000)
+    rows = table(spark, sf_dir, "conversations").withColumn("session", F.expr("conv_id div 10")).groupBy("session")
+    rows = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "turn", m.alias("m")))), lambda x: x["m"]).alias("messages"))
+    own, said = F.col("session").cast("string"), F.element_at(F.filter("messages", lambda x: x["role"] == "user"), 1)["content"]
+    task = F.when(F.col("session") % 2 == 0, F.coalesce(said, F.lit(""))).otherwise(F.concat(F.lit("work "), own, F.lit(" at the harbour")))
+    return rows.select(own.alias("episode_id"), own.alias("source_dataset"), own.alias("source_record_id"), F.lit("train").alias("split"), own.alias("split_group"), own.alias("teacher_model"), F.lit(True).alias("success"), task.alias("task_text"), none.alias("tools"), "messages")
+
+
+_MERGED_RE = "|".join(re.escape(t) for t in sorted(MERGED, key=lambda t: -len(t.encode()))).replace("\\\n", "\\n").replace("\\ ", " ")
+
+
+@query(rf"""WITH m AS (SELECT conv_id // 10 AS ep, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn) - 1 AS pos FROM conversations),
+g AS (SELECT *, sum((pos = 0 OR role = 'assistant')::INT) OVER w AS grp, max(CASE WHEN role = 'user' THEN pos END) OVER p AS lu, max(CASE WHEN role = 'assistant' THEN pos END) OVER p AS la, min(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY ep) AS u0
+  FROM m WINDOW w AS (PARTITION BY ep ORDER BY pos), p AS (PARTITION BY ep ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tasks AS (SELECT ep, CASE WHEN ep % 2 = 0 THEN coalesce(max(text) FILTER (WHERE pos = u0), '') ELSE 'work ' || ep || ' at the harbour' END AS task FROM g GROUP BY ep),
+pieces AS (
+  SELECT ep, pos, 0 AS part, CASE role WHEN 'assistant' THEN 'assistant_prefix' WHEN 'system' THEN 'system' ELSE 'user' END AS region, CASE role WHEN 'assistant' THEN 'Assistant: ' WHEN 'system' THEN 'System: ' || text || chr(10) || chr(10) ELSE 'User: ' || text || chr(10) || chr(10) END AS x FROM g
+  UNION ALL SELECT ep, pos, 1, 'assistant_final', text FROM g WHERE role = 'assistant' UNION ALL SELECT ep, pos, 2, 'assistant_turn_end', chr(10) || chr(10) FROM g WHERE role = 'assistant'),
+grps AS (SELECT ep, grp, min(pos) AS f, max(pos) AS l FROM g GROUP BY ep, grp HAVING NOT bool_or(role = 'system' OR pos = u0)),
+targets AS (SELECT ep, pos AS target, lu, la FROM g WHERE role = 'assistant' AND text <> ''),
+loose AS (SELECT ep, target, f, l, row_number() OVER (PARTITION BY ep, target ORDER BY f) AS i FROM targets JOIN grps USING (ep) WHERE l < la AND NOT coalesce(lu BETWEEN f AND l, false)),
+tries AS (SELECT t.ep, t.target, unnest(range(0, coalesce(max(i), 0) + 1)) AS k FROM targets t LEFT JOIN loose o ON t.ep = o.ep AND t.target = o.target GROUP BY t.ep, t.target),
+texts AS (SELECT ep, pos, string_agg(x, '' ORDER BY part) AS x FROM pieces GROUP BY ep, pos),
+windows AS (
+  SELECT t.ep, t.target, t.k, string_agg(x.x, '' ORDER BY x.pos) AS w, count(*) AS messages FROM tries t JOIN texts x ON x.ep = t.ep AND x.pos <= t.target
+  LEFT JOIN loose o ON o.ep = t.ep AND o.target = t.target AND o.i <= t.k AND x.pos BETWEEN o.f AND o.l WHERE o.i IS NULL GROUP BY t.ep, t.target, t.k),
+full_ AS (SELECT ep, target, k, messages, CASE WHEN ep % 2 = 0 THEN '' ELSE 'User: Task contract:' || chr(10) || task || chr(10) || chr(10) END AS contract, w FROM windows JOIN tasks USING (ep)),
+cut AS (SELECT ep, target, k, messages, contract, regexp_extract_all(contract || w, '(?s){_MERGED_RE}|.') AS t FROM full_),
+sized AS (SELECT ep, target, k, messages, contract, t, list_sum(list_transform(t, lambda c: CASE WHEN len(c) = 1 AND NOT list_contains(['é', 'è', 'ü', 'ö', 'ñ', 'ó'], c) THEN octet_length(encode(c)) ELSE 1 END)) AS n FROM cut),
+best AS (SELECT * FROM sized WHERE n + 1 <= {WINDOW_TOKENS} QUALIFY k = min(k) OVER (PARTITION BY ep, target)),
+tokens AS (
+  SELECT ep, target, c, CASE WHEN len(c) = 1 AND NOT list_contains(['é', 'è', 'ü', 'ö', 'ñ', 'ó'], c) THEN octet_length(encode(c)) ELSE 1 END AS n, sum(len(c)) OVER (PARTITION BY ep, target ORDER BY i) - len(c) AS a, sum(len(c)) OVER (PARTITION BY ep, target ORDER BY i) AS b
+  FROM (SELECT ep, target, unnest(t) AS c, generate_subscripts(t, 1) AS i FROM best)),
+shown AS (
+  SELECT b.ep, b.target, -1 AS pos, 0 AS part, 'user' AS region, contract AS x FROM best b WHERE contract <> '' UNION ALL
+  SELECT b.ep, b.target, p.pos, p.part, p.region, p.x FROM best b JOIN pieces p ON p.ep = b.ep AND p.pos <= b.target AND p.x <> ''
+  LEFT JOIN loose o ON o.ep = b.ep AND o.target = b.target AND o.i <= b.k AND p.pos BETWEEN o.f AND o.l WHERE o.i IS NULL),
+changed AS (SELECT *, lag(region) OVER w IS DISTINCT FROM region AS turn, sum(len(x)) OVER w - len(x) AS start FROM shown WINDOW w AS (PARTITION BY ep, target ORDER BY pos, part)),
+kinds AS (SELECT ep, target, pos, region, start, sum(turn::INT) OVER (PARTITION BY ep, target ORDER BY start) AS kind FROM changed),
+met AS (
+  SELECT t.ep, t.target, t.n, x.kind <> y.kind AS mixed, x.pos = t.target AND x.region IN ('assistant_final', 'assistant_turn_end') AS learns
+  FROM tokens t ASOF JOIN kinds x ON t.ep = x.ep AND t.target = x.target AND t.a >= x.start ASOF JOIN kinds y ON t.ep = y.ep AND t.target = y.target AND t.b - 1 >= y.start),
+summed AS (SELECT ep, target, sum(n) AS n, coalesce(sum(n) FILTER (WHERE mixed), 0) AS mixed, coalesce(sum(n) FILTER (WHERE learns AND NOT mixed), 0) AS learned FROM met GROUP BY ep, target)
+SELECT t.ep::BIGINT AS session, t.target::INTEGER AS message_index, coalesce(s.n + 2, 0)::INTEGER AS tokens, coalesce(s.learned + 1, 0)::DOUBLE AS weight, coalesce(s.mixed, 0)::INTEGER AS mixed, coalesce(t.target + 1 - b.messages, 0)::INTEGER AS dropped, s.n IS NULL AS overflows
+FROM targets t LEFT JOIN summed s ON s.ep = t.ep AND s.target = t.target LEFT JOIN best b ON b.ep = t.ep AND b.target = t.target""")
+def decision_tokens(spark, sf_dir):
+    found = windows.token_records(_sessions(spark, sf_dir), VOCABULARY, WINDOW_TOKENS)
     weight = F.aggregate("token_loss_weights", F.lit(0.0), lambda s, w: s + w)
-    return found.select(F.col("episode_id").cast("long").alias("conv_id"), "message_index", F.size("token_ids").alias("tokens"), weight.alias("weight"), F.col("dropped_messages").alias("dropped"))
+    return found.select(
+        F.col("episode_id").cast("long").alias("session"), "message_index", F.size("token_ids").alias("tokens"), weight.alias("weight"), F.col("mixed_boundary_count").alias("mixed"),
+        F.col("dropped_messages").alias("dropped"), F.col("excluded").isNotNull().alias("overflows"),
+    )
 
 
 # --- raw rows, identities and policies -----------------------------------------------------------------------------

@@ -103,8 +103,7 @@ def admit(
 
     fit = audited.where("size(findings) = 0 and message_indices is not null")
     wanted = fit.select("episode_id", F.explode("message_indices").alias("message_index"))
-    decisions = windows.decisions_of(fit.select("episode_id", "messages", "tools", "task_text"), wanted)
-    sizes = windows.first_fits(decisions, vocabulary, config["max_tokens"], sizes=True)
+    sizes = windows.fitted(fit.select("episode_id", "messages", "tools", "task_text"), vocabulary, config["max_tokens"], wanted)
     sizes = sizes.groupBy("episode_id").agg(F.bool_or(F.col("dropped").isNull()).alias("over"), F.sort_array(F.collect_list(F.struct("at", "tokens", "messages"))).alias("w"))
     audited = written(audited.join(sizes, "episode_id", "left"), "admission-sized")
     withheld = F.when(F.col("message_indices").isNull(), TOO_FEW).when(F.coalesce("over", F.lit(False)), OVERFLOW)
