@@ -129,8 +129,8 @@ RULES = (
 #: Holds only where no licence does: licences often follow a line of reserved rights.
 RESERVED = "all-rights-reserved"
 CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
-#: Every rule has a sentence that contains one of these.
-WORDS = ("licen", "permission", "redistribut", "warrant", "rights reserved", "public domain")
+#: Every rule has a sentence that contains one of these; each is part of one word, which no line break divides.
+WORDS = ("licen", "permission", "redistribut", "warrant", "rights", "domain")
 SENTENCE_END = r"([.!?;:])[ \t\r]+"
 BLANK_LINE = r"(?m)^[^A-Za-z0-9\n]+$"
 

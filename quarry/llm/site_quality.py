@@ -6,7 +6,7 @@ posterior means: a host's shrinks to the global mean, a path's to its host's, ea
 variance between and within the groups estimates, so sparse sites follow their prior and large ones their own record.
 A document's score is its own log-odds plus a weighted shift of its path's log-odds from the global.
 
-A second evidence, of toxicity, is a logistic regression on the presence of hashed words, fitted on the toxic labels in the
+A second evidence, of toxicity, is a logistic regression on the presence of words (by 64-bit hashes), fitted on the toxic labels in the
 same way where the labels have them, with host and path posteriors of its own; it gives the column toxic, and ``keep`` stays the
 decision on quality.  Its candidates are the words that are surely more frequent in toxic texts; fitted together,
 words that only occur beside the telling ones (in copies of one text) get no weight.
@@ -19,7 +19,6 @@ are ignored.
 
 from __future__ import annotations
 
-import zlib
 from functools import partial
 
 import numpy as np
@@ -34,9 +33,8 @@ FIT_ROWS = 20_000
 SITE_WEIGHT = 0.5
 KEEP_FROM = 0.5
 REJECT_FROM = 0.5
-#: Hashed word counters of the toxic model, the log-likelihood a word needs against chance to be a candidate, and how many
-#: candidates are fitted, the surest first.
-WORD_SLOTS, WORD_SURE, WORDS_FITTED = 1 << 18, 15.0, 4096
+#: Log-likelihood against chance that a word of the toxic model needs; all that have it are fitted.
+WORD_SURE = 15.0
 FEATURES = ("words", "word_length", "capitals", "digits", "stops", "marks", "wide", "lines", "distinct", "top", "marked", "shouted")
 
 _KIND = np.full(256, 5, np.uint8)  # 0 capital, 1 digit, 2 full stop or comma, 3 other mark, 4 byte outside ASCII, 5 else, 6 line feed
@@ -117,30 +115,46 @@ def log_odds(x: np.ndarray, model) -> np.ndarray:
     return np.clip(np.clip(z, -8, 8) @ w[:-1] + w[-1], -12, 12)
 
 
-def word_slots(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct slots of each text's words in small letters, without the marks around them."""
-    strip = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-    out = []
-    for text in texts.to_pylist():
-        words = {w.strip(strip) for w in (text or "").lower().split()}
-        out.append(np.unique(np.fromiter((zlib.crc32(w.encode()) % WORD_SLOTS for w in words if w), np.int32)))
-    return out
-
-
-def candidate_slots(hit: np.ndarray, other: np.ndarray, yes: int, no: int) -> np.ndarray:
-    """The slots that are surely more frequent with label 1, from each slot's documents and all documents of either label."""
-    more = (hit + 0.5) / (yes + 1) > (other + 0.5) / (no + 1)
-    sure = hit * np.log(np.maximum(hit, 1) * (yes + no) / np.maximum((hit + other) * yes, 1))
-    found = np.flatnonzero(more & (sure >= WORD_SURE))
-    return np.sort(found[np.lexsort((found, -sure[found]))[:WORDS_FITTED]])
+_OUTER = np.zeros(257, bool)  # marks that are cut from both ends of a word; 256 lies outside all texts
+_OUTER[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def fit_words(slots: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, ridge: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """(weight of each slot, bias): logistic regression on presence of the candidates, by accelerated descent with steps
-    scaled to each candidate's frequency.  Only what speaks for label 1 counts: weights are not negative."""
-    row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    at = np.searchsorted(candidates, np.concatenate(slots)) if len(slots) else np.zeros(0, int)
-    n, m = len(y), len(candidates)
+def word_hashes(texts: pa.Array):
+    """(row, hashes of its words, one after the other) for each block of texts, as (rows, hashes): words in small ASCII letters, without
+    the marks around them, by 64 bits."""
+    for b in W.blocks(texts):
+        starts, ends = b.starts.copy(), b.ends.copy()
+        for edge, step in ((starts, 1), (ends, -1)):
+            left = np.arange(len(starts))
+            while len(left):
+                left = left[(starts[left] < ends[left]) & _OUTER[b.data[np.minimum(edge[left] - (step < 0), len(b.data) - 1)]]]
+                edge[left] += step
+        some = np.flatnonzero(starts < ends)
+        rows = b.row + np.repeat(np.arange(len(b)), np.diff(b.first))
+        yield rows[some], W.FIRST.spans(b.data, starts[some], ends[some], True).view(np.int64)
+
+
+def held_words(texts: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, places in the sorted hashes ``words``): each once for a text that holds the word."""
+    found = [np.zeros(0, np.int64)]
+    for rows, hashes in word_hashes(texts) if len(words) else ():
+        at = np.searchsorted(words, hashes)
+        ok = words[np.minimum(at, len(words) - 1)] == hashes
+        found.append(np.unique(rows[ok] * len(words) + at[ok]))
+    found = np.concatenate(found)
+    return np.divmod(found, max(len(words), 1))
+
+
+def surely_toxic(hit: np.ndarray, n: np.ndarray, yes: int, no: int) -> np.ndarray:
+    """Whether words that ``hit`` toxic and ``n`` labelled texts hold are surely more frequent in toxic ones."""
+    more = (hit + 0.5) / (yes + 1) > (n - hit + 0.5) / (no + 1)
+    return more & (hit * np.log(np.maximum(hit, 1) * (yes + no) / np.maximum(n * yes, 1)) >= WORD_SURE)
+
+
+def fit_words(row: np.ndarray, at: np.ndarray, y: np.ndarray, m: int, ridge: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
+    """(weight of each of m words, bias): logistic regression on the words ``at`` that texts ``row`` hold, by accelerated descent with steps
+    scaled to each word's frequency.  Only what speaks for label 1 counts: weights are not negative."""
+    n = len(y)
     scale = 0.25 * (np.bincount(at, minlength=m) / n + 1e-3) * max(1.0, np.bincount(row, minlength=n).mean()) + ridge
     rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     w, bias = np.zeros(m), float(np.log(rate / (1 - rate)))
@@ -152,14 +166,21 @@ def fit_words(slots: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, ri
         last_w, last_bias = w, bias
         w = np.maximum(v - (np.bincount(at, (p - y)[row], m) / n + ridge * v) / scale, 0)
         bias = c - 2 * float((p - y).mean())
-    weight = np.zeros(WORD_SLOTS)
-    weight[candidates] = w
-    return weight, bias
+    return w, bias
 
 
 def _word_rows(batches):
+    """Of each hash the batch's toxic and all texts that hold it."""
     for batch in W.slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(word_slots(W.column(batch, "text")), pa.list_(pa.int32()))], names=["y", "x"])
+        y = np.asarray(batch.column("y"), np.int64)
+        for rows, hashes in word_hashes(W.column(batch, "text")):
+            order = np.lexsort((hashes, rows))
+            rows, hashes = rows[order], hashes[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+            words, of = np.unique(hashes[new], return_inverse=True)
+            hit = np.bincount(of, y[rows[new]], len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(hit), pa.array(np.bincount(of, minlength=len(words)).astype(np.int64))], names=["word", "hit", "n"])
 
 
 def _feature_rows(batches):
@@ -169,11 +190,10 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel()))], names=["y", "x"])
 
 
-def word_odds(slots: list[np.ndarray], model) -> np.ndarray:
-    if model is None:
-        return np.zeros(len(slots))
-    weight, bias = model
-    return np.clip([bias + weight[at].sum() for at in slots], -12, 12)
+def word_odds(texts: pa.Array, model) -> np.ndarray:
+    words, weight, bias = model
+    rows, at = held_words(texts, words)
+    return np.clip(bias + np.bincount(rows, weight[at], len(texts)), -12, 12)
 
 
 def _evidence(batches, model):
@@ -181,7 +201,7 @@ def _evidence(batches, model):
     for batch in W.slices(batches):
         texts = W.column(batch, "text")
         odds = log_odds(features(texts), quality)
-        toxic = word_odds(word_slots(texts), words) if words else np.full(len(odds), -12.0)
+        toxic = word_odds(texts, words) if words else np.full(len(odds), -12.0)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), pa.array(odds), pa.array(toxic)], names=["id", "host", "path", "odds", "toxic_odds"])
 
 
@@ -189,28 +209,29 @@ def _first_labels(labels: DataFrame, fit_rows: int) -> DataFrame:
     return F.broadcast(labels.where("id is not null and y is not null").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows))
 
 
-def _only(batches, candidates):
-    for batch in batches:
-        found = [x[np.isin(x, candidates.value)] for x in (np.asarray(r, np.int32) for r in batch.column("x").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "x"])
+def _held(batches, words):
+    for batch in W.slices(batches):
+        rows, at = held_words(W.column(batch, "text"), words.value)
+        bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at.astype(np.int32)))], names=["y", "x"])
 
 
 def train_words(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
-    """The word model from the same sample of labels (id, y); None if it holds one class only."""
-    rows = docs.join(_first_labels(labels, fit_rows), "id").select("y", "text").mapInArrow(_word_rows, "y int, x array<int>")
-    rows = cut(rows, "op4-words")
+    """(sorted hashes of words, their weights, bias) from the same sample of labels (id, y); None if it holds one class only."""
+    rows = cut(docs.join(_first_labels(labels, fit_rows), "id").select("y", "text"), "op4-labelled")
     of = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(of) < 2:
         return None
-    counts = rows.select("y", F.explode("x").alias("slot")).groupBy("slot").agg(F.sum("y").alias("hit"), F.count("*").alias("n")).where("hit > 1").toPandas()  # one document is never sure
-    hit, other = np.zeros(WORD_SLOTS), np.zeros(WORD_SLOTS)
-    hit[counts["slot"]], other[counts["slot"]] = counts["hit"], counts["n"] - counts["hit"]
-    candidates = candidate_slots(hit, other, of[1], of[0])
-    sent = docs.sparkSession.sparkContext.broadcast(candidates)
-    found = rows.mapInArrow(partial(_only, candidates=sent), "y int, x array<int>").toPandas()
-    slots, y = [np.asarray(x, np.int32) for x in found["x"]], found["y"].to_numpy(np.float64)
-    order = sorted(range(len(y)), key=lambda i: (y[i], slots[i].tobytes()))  # the sums then don't depend on the order of arrival
-    return fit_words([slots[i] for i in order], y[order], candidates)
+    counts = rows.mapInArrow(_word_rows, "word long, hit long, n long").groupBy("word").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    counts = counts.where(f"hit > 1 and hit * ln(hit * {of[0] + of[1]} / (n * {of[1]})) >= {WORD_SURE} - 1").toPandas()  # one document is never sure
+    counts = counts[surely_toxic(counts["hit"].to_numpy(np.float64), counts["n"].to_numpy(np.float64), of[1], of[0])]
+    words = np.sort(counts["word"].to_numpy(np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    found = rows.mapInArrow(partial(_held, words=sent), "y int, x array<int>").toPandas()
+    held, y = [np.asarray(x, np.int64) for x in found["x"]], found["y"].to_numpy(np.float64)
+    order = sorted(range(len(y)), key=lambda i: (y[i], held[i].tobytes()))  # the sums then don't depend on the order of arrival
+    held = [held[i] for i in order]
+    return words, *fit_words(np.repeat(np.arange(len(y)), [len(x) for x in held]), np.concatenate(held), y[order], len(words))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):

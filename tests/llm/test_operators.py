@@ -2,10 +2,12 @@ import functools
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from compare import same_rows
+from conftest import make
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -408,3 +410,43 @@ def test_pipeline(spark, sf):
             assert kept == {i for i, (_, c) in _components(_sets(before, 5), 80).items() if c == i}
     last = corpus_pipeline.tokens(spark, docs, sf)
     assert last.count() == docs.count()
+
+
+def test_licences_wrapped_at_any_word(spark):
+    """Every rule, its sentences wrapped, double-spaced or commented between all words, as its SQL finds it."""
+    sentences, every = licence_rules.table()
+    rows = []
+    for between, start, apart in (("\n", "", "\n\n"), ("  ", "", ".\n"), ("\n# ", "# ", "\n#\n# "), (" \t\n", "", "\n\n"), ("\r\n", "", "\r\n\r\n")):
+        for _, names in every:
+            rows.append((len(rows), start + apart.join(between.join(sentences[n].split(" ")) for n in names)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licence_rules.scan(docs).withColumnRenamed("id", "doc_id").toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert same_rows(found, con.execute(licence_rules.ORACLE_SQL).df())
+    assert found["doc_id"].nunique() > 0.9 * len(rows)
+
+
+def test_unrelated_words_are_never_toxic(spark):
+    """A million words that the labels don't hold add nothing to a text's toxic score; telling words do, beside any number of others."""
+    texts = [f"{'vile' if i % 3 == 0 else 'mild'} words here {i} in text" for i in range(300)]
+    train_on = make(spark, texts).selectExpr("doc_id as id", "text")
+    model = site_quality.train_words(train_on, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "id long, y int"))
+    many = [" ".join(f"w{j}x{i}" for j in range(i * 1000, i * 1000 + 1000)) for i in range(1000)]
+    odds = site_quality.word_odds(pa.array([*many, many[0] + " (Vile!) ", None, ""]), model)
+    assert len(set(odds[:1000])) == 1 and odds[0] == odds[-1] == odds[-2] < 0 < odds[1000]
+
+
+def test_held_words_equal_brute_force(spark):
+    rng = random.Random(8)
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    texts = [None if rng.random() < 0.05 else "".join(rng.choice(["Ab", "b", "C", "é", "*", "'", " ", "\n", ".", "(", "1"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    plain = [{w.strip(marks).translate({c: c + 32 for c in range(65, 91)}) for w in (t or "").split()} - {""} for t in texts]
+    known = sorted({w for p in plain for w in p})[::3]
+    by_hash = {int(site_quality.word_hashes(pa.array([w])).__next__()[1][0]): w for w in known}
+    words = np.array(sorted(by_hash), np.int64)
+    rows, at = site_quality.held_words(pa.array(texts), words)
+    got = [set() for _ in texts]
+    for r, a in zip(rows.tolist(), at.tolist(), strict=True):
+        got[r].add(by_hash[int(words[a])])
+    assert len(by_hash) == len(known) and got == [p & set(known) for p in plain]
