@@ -20,7 +20,7 @@ from .operators import reconcile as R
 from .operators import selection as S
 from .operators import subsets as B
 from .plans import admission, windows
-from .sources import catalogue
+from .sources import catalogue, traces
 
 # --- episodes with tools -------------------------------------------------------------------------------------------
 SCHEMA = '{"additionalProperties":false,"properties":{"n":{"type":"integer"}},"required":["n"],"type":"object"}'
@@ -202,6 +202,14 @@ def locator_rows(spark, sf_dir):
     return R.located(rows, named).select("event_id", "user_id")
 
 
+@query("""SELECT doc_id, 'documents.parquet' AS source_file, doc_id AS row_index, md5(text) AS digest, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def located_documents(spark, sf_dir):
+    """A document's id is the number of its row in its file."""
+    named = table(spark, sf_dir, "labels").where("quality = 0").select(F.lit("documents.parquet").alias("source_file"), F.col("doc_id").alias("row_index"))
+    rows = traces.located(spark, sf_dir, named, ["doc_id", "text", "n_chars"])
+    return rows.select("doc_id", "source_file", "row_index", F.md5("text").alias("digest"), "n_chars")
+
+
 @query("""SELECT source_file, row_index, row_number() OVER (ORDER BY sha256('11/' || source_file), source_file, row_index) - 1 AS place FROM (SELECT source AS source_file, doc_id AS row_index FROM documents) QUALIFY place < 400""")
 def scan_order(spark, sf_dir):
     rows = table(spark, sf_dir, "documents", F.col("source").alias("source_file"), F.col("doc_id").alias("row_index"))
