@@ -16,6 +16,7 @@ from .operators import audit as A
 from .operators import interactions as T
 from .operators import metrics as M
 from .operators import packing as P
+from .operators import quantiles as Q
 from .operators import reconcile as R
 from .operators import selection as S
 from .operators import subsets as B
@@ -337,3 +338,13 @@ def quota_admission(spark, sf_dir):
     )
     found = S.greedy_admission(rows, {"0": 10_000_000, "1": 10_000_000}, {"0": 10, "1": 10})
     return found.select("candidate", "accepted", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH x AS (SELECT l_returnflag AS flag, l_extendedprice * (1 + l_tax) - l_discount * l_partkey AS v FROM lineitem)
+SELECT flag, count(*) AS n, round(quantile_cont(v, 0.01), 5) AS p1, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.999), 5) AS p999 FROM x GROUP BY flag
+UNION ALL SELECT 'all', count(*), round(quantile_cont(v, 0.01), 5), round(quantile_cont(v, 0.5), 5), round(quantile_cont(v, 0.999), 5) FROM x""")
+def price_quantiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", F.col("l_returnflag").alias("flag"), F.expr("l_extendedprice * (1 + l_tax) - l_discount * l_partkey").cast("double").alias("v"))
+    shares = {"p1": 0.01, "p50": 0.5, "p999": 0.999}
+    both = Q.interpolated(rows, ["flag"], "v", shares).unionByName(Q.interpolated(rows, [], "v", shares).withColumn("flag", F.lit("all")))
+    return both.select("flag", "n", *[F.round(c, 5).alias(c) for c in shares])

@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles as Q
+
 
 def length_distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, sum, max and interpolated p50 and p95 of a value; empty groups have none."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(
-        F.count(v).alias("n"), F.sum(v).alias("total"), F.max(v).alias("longest"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95")
-    )
+    found = rows.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.max(v).alias("longest"))
+    return Q.joined(found, Q.interpolated(rows, by, value, {"p50": 0.5, "p95": 0.95}).drop("n"), by)
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles that are values of the group: the one at round-half-even((n - 1) * share), counted from 0.
-
-    Counts per distinct value come first, so a group is as wide as its distinct values."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value))
-    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda share: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(share), 0), F.col(value)))
-    return ranked.groupBy(*by).agg(F.first("n").alias("n"), *[at(s).alias(name) for name, s in shares.items()])
+    """Percentiles that are values of the group: the one at round-half-even((n - 1) * share), counted from 0."""
+    return Q.nearest(rows, by, value, shares)
 
 
 def weighted_mean(loss: Column, weight: Column) -> Column:
@@ -74,8 +69,9 @@ def weighted_losses(rows: DataFrame, by: list[str], loss: str, weight: str, shar
     bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) | (F.col(c) < 0)
     found = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.bool_or(bad(loss) | bad(weight)).alias("bad"), F.sum(weight).alias("w"), weighted_mean(F.col(loss), F.col(weight)).alias("m"),
-        F.percentile(loss, F.array(*map(F.lit, shares))).alias("q"),
     )
+    names = {f"__q{i}": s for i, s in enumerate(shares)}
+    found = Q.joined(found, Q.interpolated(rows, by, loss, names).drop("n"), by).withColumn("q", F.array(*names))
     fault = F.when(F.col("bad"), "bad_value").when(F.coalesce("w", F.lit(0)) <= 0, "no_weight")
     return found.select(*by, "n", F.when(fault.isNull(), F.col("m")).alias("weighted"), F.when(fault.isNull(), F.col("q")).alias("quantiles"), fault.alias("fault"))
 
@@ -109,10 +105,12 @@ def agreement(rows: DataFrame, by: list[str], found: str, confident: float) -> D
     """Per group of ``divergence`` results: rows, mean and 95th percentile of kl, share that agrees, and changed leaders of a margin
     of ``confident`` or more."""
     x = lambda name: F.col(f"{found}.{name}")
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(x("kl")).alias("mean_kl"), F.percentile(x("kl"), 0.95).alias("p95_kl"), F.avg(x("agrees").cast("double")).alias("agreement"),
+    rows = rows.select(*by, found)
+    counts = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(x("kl")).alias("mean_kl"), F.avg(x("agrees").cast("double")).alias("agreement"),
         F.count(F.when(~x("agrees") & (x("margin") >= confident), 1)).alias("confident_changes"),
     )
+    return Q.joined(counts, Q.interpolated(rows.select(*by, x("kl").alias("__kl")), by, "__kl", {"p95_kl": 0.95}).drop("n"), by)
 
 
 def vector_differences(expected: Column, actual: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles as Q
+
 
 def hash_choice(value: Column, n: Column) -> Column:
     """The sha256 of a text as a whole number, modulo n: eight hex digits at a time."""
@@ -54,7 +56,10 @@ def shortfalls(rows: DataFrame, strata: list[str], each: int) -> DataFrame:
 def source_profile(rows: DataFrame, source: str, whole: str, window: str, limit: int) -> DataFrame:
     """Per source: episodes, those over the limit as a whole, those without a window (null), and totals, medians, 95th percentiles
     and maxima of both counts."""
-    stats = lambda c, name: [F.sum(c).alias(f"{name}_total"), F.percentile(c, 0.5).alias(f"{name}_p50"), F.percentile(c, 0.95).alias(f"{name}_p95"), F.max(c).alias(f"{name}_max")]
-    return rows.groupBy(source).agg(
+    stats = lambda c, name: [F.sum(c).alias(f"{name}_total"), F.max(c).alias(f"{name}_max")]
+    found = rows.groupBy(source).agg(
         F.count("*").alias("episodes"), F.count(F.when(F.col(whole) > limit, 1)).alias("oversized"), F.count(F.when(F.col(window).isNull(), 1)).alias("failed"), *stats(whole, "whole"), *stats(window, "window")
     )
+    for c, name in ((whole, "whole"), (window, "window")):
+        found = Q.joined(found, Q.interpolated(rows, [source], c, {f"{name}_p50": 0.5, f"{name}_p95": 0.95}).drop("n"), [source])
+    return found

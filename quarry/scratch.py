@@ -25,10 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder, read back: later steps start from it, also after executors are lost."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder, read back: later steps start from it, also after executors are lost.  ``folders``:
+    columns by whose values it lies in folders, so that readers can leave some out."""
     path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
