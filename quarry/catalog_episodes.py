@@ -7,6 +7,7 @@ turn's number decides whether a call or an answer is broken, and how.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from .operators import reconcile as R
 from .operators import selection as S
 from .operators import subsets as B
 from .plans import admission, windows
-from .sources import catalogue, traces
+from .scratch import shared_dir
+from .sources import blobs, catalogue, traces
 
 # --- episodes with tools -------------------------------------------------------------------------------------------
 SCHEMA = '{"additionalProperties":false,"properties":{"n":{"type":"integer"}},"required":["n"],"type":"object"}'
@@ -348,3 +350,14 @@ def price_quantiles(spark, sf_dir):
     shares = {"p1": 0.01, "p50": 0.5, "p999": 0.999}
     both = Q.interpolated(rows, ["flag"], "v", shares).unionByName(Q.interpolated(rows, [], "v", shares).withColumn("flag", F.lit("all")))
     return both.select("flag", "n", *[F.round(c, 5).alias(c) for c in shares])
+
+
+@query("""SELECT sha256('{"n":' || n_chars || ',"source":"' || coalesce(source, '') || '"}') AS digest, 1::BIGINT AS copies, true AS intact FROM documents GROUP BY n_chars, coalesce(source, '')""")
+def stored_records(spark, sf_dir):
+    """Three batches that overlap, into one store."""
+    docs = table(spark, sf_dir, "documents", "doc_id", F.expr("concat('{\"source\": \"', coalesce(source, ''), '\", \"n\": ', n_chars, '}')").alias("value"))
+    folder = f"{shared_dir(spark)}/quarry/store-{uuid.uuid4().hex}"
+    for batch in ("doc_id % 3 < 2", "doc_id % 3 > 0", "doc_id % 2 = 0"):
+        blobs.put(blobs.addressed(docs.where(batch)), folder)
+    refs = blobs.read(spark, folder).groupBy("digest").agg(F.count("*").alias("copies")).withColumn("ref", F.concat(F.lit("sha256:"), F.col("digest")))
+    return blobs.get(refs, folder).select("digest", "copies", "intact")
