@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _DOCS, docs_split, query, table
+from .catalog import _DOCS, _NEAR, _tasks, docs_split, query, table
 from .operators import audit as A
 from .operators import interactions as T
 from .operators import metrics as M
@@ -22,6 +22,7 @@ from .operators import reconcile as R
 from .operators import selection as S
 from .operators import subsets as B
 from .plans import admission, windows
+from .plans import index as contamination_index
 from .scratch import shared_dir
 from .sources import blobs, catalogue, traces
 
@@ -361,3 +362,18 @@ def stored_records(spark, sf_dir):
         blobs.put(blobs.addressed(docs.where(batch)), folder)
     refs = blobs.read(spark, folder).groupBy("digest").agg(F.count("*").alias("copies")).withColumn("ref", F.concat(F.lit("sha256:"), F.col("digest")))
     return blobs.get(refs, folder).select("digest", "copies", "intact")
+
+
+@query(f"""WITH {_NEAR}, cand_docs AS (SELECT doc_id, sha256(folded) AS digest, split FROM tasks WHERE doc_id % 4 = 3),
+near_both AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), held AS (SELECT DISTINCT sha256(folded) AS digest, split FROM tasks WHERE doc_id % 4 < 3)
+SELECT DISTINCT c.doc_id, 'cross_split_exact_task' AS finding FROM cand_docs c JOIN held h ON c.digest = h.digest AND c.split <> h.split
+UNION SELECT DISTINCT c.doc_id, 'cross_split_near_task' FROM cand_docs c JOIN near_both n ON n.a = c.digest JOIN held h ON h.digest = n.b AND h.split <> c.split""")
+def index_findings(spark, sf_dir):
+    """An index of three batches, and the texts that it tells of the fourth."""
+    tasks = _tasks(spark, sf_dir).withColumn("group_sha256", F.sha2(F.col("doc_id").cast("string"), 256))
+    folder, none = f"{shared_dir(spark)}/quarry/index-{uuid.uuid4().hex}", spark.createDataFrame([], "digest string, split string")
+    for i, write in enumerate((contamination_index.build, contamination_index.append, contamination_index.append)):
+        part = tasks.where(F.col("doc_id") % 4 == i)
+        write(part, none, folder, "policy", [{"source": f"batch {i}"}])
+    asked = tasks.where("doc_id % 4 = 3").select(F.col("doc_id").alias("candidate"), "folded", F.lit("none").alias("trace"), "split")
+    return contamination_index.Index(spark, folder, "policy").findings(asked).withColumnRenamed("candidate", "doc_id")
