@@ -377,3 +377,31 @@ def index_findings(spark, sf_dir):
         write(part, none, folder, "policy", [{"source": f"batch {i}"}])
     asked = tasks.where("doc_id % 4 = 3").select(F.col("doc_id").alias("candidate"), "folded", F.lit("none").alias("trace"), "split")
     return contamination_index.Index(spark, folder, "policy").findings(asked).withColumnRenamed("candidate", "doc_id")
+
+
+#: Schemas of one keyword each over {"key", "balance", "segment", "codes"}, with what they ask as SQL.
+KEYWORD_SCHEMAS = (
+    ('{"properties": {"balance": {"exclusiveMinimum": 0, "exclusiveMaximum": 5000}}}', "b > 0 AND b < 5000"),
+    ('{"properties": {"key": {"multipleOf": 7}}}', "k % 7 = 0"),
+    ('{"properties": {"codes": {"uniqueItems": true}}}', "c1 <> c2 AND c2 <> c3 AND c1 <> c3"),
+    ('{"properties": {"codes": {"prefixItems": [{"maximum": 9}, {"const": 3}], "items": {"enum": [0, 2]}}}}', "c1 <= 9 AND c2 = 3 AND c3 IN (0, 2)"),
+    ('{"properties": {"codes": {"contains": {"minimum": 10}}}}', "c1 >= 10"),
+    ('{"properties": {"codes": {"contains": {"maximum": 2}, "minContains": 2, "maxContains": 2}}}', "(c1 <= 2)::INT + (c2 <= 2)::INT + (c3 <= 2)::INT = 2"),
+    ('{"patternProperties": {"^[kb]": {"minimum": 100}}, "additionalProperties": {"type": ["string", "array"]}}', "k >= 100 AND b >= 100 AND k % 5 <> 0"),
+    ('{"if": {"properties": {"segment": {"pattern": "^[A-H]"}}}, "then": {"properties": {"balance": {"minimum": 0}}}, "else": {"properties": {"key": {"maximum": 700}}}}', "CASE WHEN g < 'I' THEN b >= 0 ELSE k <= 700 END"),
+    ('{"dependentRequired": {"vip": ["since"]}}', "k % 5 <> 0 OR k % 10 = 0"),
+    ('{"dependentSchemas": {"vip": {"properties": {"balance": {"minimum": 1000}}}}}', "k % 5 <> 0 OR b >= 1000"),
+    ('{"propertyNames": {"maxLength": 6}}', "false"),
+    ('{"minProperties": 5, "maxProperties": 5}', "(k % 5 = 0) <> (k % 10 = 0)"),
+    ('{"oneOf": [{"properties": {"key": {"maximum": 300}}}, {"required": ["vip"]}], "not": {"properties": {"segment": {"enum": ["MACHINERY"]}}}}', "(k <= 300) <> (k % 5 = 0) AND g <> 'MACHINERY'"),
+    ('{"$ref": "#/$defs/rich", "$defs": {"rich": {"properties": {"balance": {"minimum": 5000}}}}}', "b >= 5000"),
+)
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_acctbal AS b, c_mktsegment AS g, c_nationkey AS c1, c_custkey % 5 AS c2, c_custkey % 3 AS c3 FROM customer)
+SELECT k AS custkey, concat({', '.join(f"CASE WHEN {sql} THEN 1 ELSE 0 END" for _, sql in KEYWORD_SCHEMAS)}) AS fits FROM c""")
+def schema_keywords(spark, sf_dir):
+    more = "if(c_custkey % 5 = 0, ', \"vip\": true', ''), if(c_custkey % 10 = 0, ', \"since\": 1', '')"
+    value = F.expr(f"""concat('{{"key": ', c_custkey, ', "balance": ', cast(c_acctbal as decimal(20, 2)), ', "segment": "', c_mktsegment, '", "codes": [', c_nationkey, ', ', c_custkey % 5, ', ', c_custkey % 3, ']', {more}, '}}')""")
+    rows = table(spark, sf_dir, "customer", F.col("c_custkey").alias("custkey"), value.alias("value"))
+    return rows.select("custkey", F.concat(*[T.schema_accepts(F.lit(s), F.col("value")).cast("int").cast("string") for s, _ in KEYWORD_SCHEMAS]).alias("fits"))

@@ -11,22 +11,35 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal, InvalidOperation
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from ..scratch import written
 
 # The names of the rules' violations, the roles, and the call that may end an episode without an answer.
 TOOLS_MISSING, TOOLS_INVALID, TOOLS_EXTERNAL = "missing_tool_schema", "invalid_tool_schema", "external_tool_schema_reference"
+#: This module's own: a schema with a keyword that it can't check; nothing is accepted by default.
+TOOLS_UNCHECKED = "unchecked_tool_schema_keyword"
 ROLE_UNKNOWN, UNANSWERED, GRAMMAR, CALL_ID = "unknown_role", "missing_tool_response", "unsupported_action_grammar", "invalid_tool_call_id"
 CALL_UNKNOWN, ARGUMENTS, ORPHAN, NO_ACTIONS = "unknown_tool_or_arguments", "invalid_tool_arguments", "orphan_tool_response", "no_tool_actions"
 ROLES, LAST_CALL = ("system", "developer", "user", "assistant", "tool"), "finish"
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-_KEYWORDS = {"type": (str, list), "properties": dict, "required": list, "enum": list, "pattern": str, "$defs": dict, "anyOf": list, "oneOf": list, "allOf": list, "items": (dict, bool)}
+_NUMBER, _COUNT, _SCHEMA, _NAMED, _SCHEMAS = "number", "count", "schema", "schemas by name", "schemas"
+# The keywords of JSON Schema 2020-12 that assert something, with what they hold, and those that only describe.
+_KEYWORDS = {
+    "type": "type", "enum": list, "const": None, "required": "names", "pattern": "pattern", "uniqueItems": bool, "dependentRequired": "names by name", "$ref": str,
+    "multipleOf": _NUMBER, "minimum": _NUMBER, "maximum": _NUMBER, "exclusiveMinimum": _NUMBER, "exclusiveMaximum": _NUMBER,
+    "minLength": _COUNT, "maxLength": _COUNT, "minItems": _COUNT, "maxItems": _COUNT, "minContains": _COUNT, "maxContains": _COUNT, "minProperties": _COUNT, "maxProperties": _COUNT,
+    "properties": _NAMED, "patternProperties": _NAMED, "dependentSchemas": _NAMED, "$defs": _NAMED, "definitions": _NAMED, "anyOf": _SCHEMAS, "oneOf": _SCHEMAS, "allOf": _SCHEMAS, "prefixItems": _SCHEMAS,
+    "items": _SCHEMA, "contains": _SCHEMA, "not": _SCHEMA, "additionalProperties": _SCHEMA, "propertyNames": _SCHEMA, "if": _SCHEMA, "then": _SCHEMA, "else": _SCHEMA,
+}
+DESCRIBE = frozenset("$schema $id $comment $anchor $vocabulary title description default examples deprecated readOnly writeOnly format contentEncoding contentMediaType contentSchema".split())
 
 
 def _is(value, kind: str) -> bool:
@@ -37,60 +50,144 @@ def _is(value, kind: str) -> bool:
 
 
 def _equal(a, b) -> bool:
-    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+    """Equality of JSON values: numbers by value, and no number is true or false."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_equal(a[k], b[k]) for k in a)
+    return a == b
+
+
+def _divides(part, value) -> bool:
+    try:
+        return Decimal(str(value)) % Decimal(str(part)) == 0
+    except InvalidOperation:  # a quotient of too many digits
+        return Fraction(str(value)) % Fraction(str(part)) == 0
+
+
+def _object_fits(schema: dict, value: dict, fits) -> bool:
+    known, extra = schema.get("properties", {}), schema.get("additionalProperties", True)
+    patterns = {p: s for p, s in schema.get("patternProperties", {}).items()}
+    for name, member in value.items():
+        own = [known[name]] if name in known else []
+        own += [s for p, s in patterns.items() if re.search(p, name)]
+        if not all(fits(s, member) for s in own or [extra]):
+            return False
+    if any(k not in value for k in schema.get("required", ())) or not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+        return False
+    if any(k in value and any(n not in value for n in names) for k, names in schema.get("dependentRequired", {}).items()):
+        return False
+    return all(fits(schema.get("propertyNames", True), k) for k in value) and all(fits(s, value) for k, s in schema.get("dependentSchemas", {}).items() if k in value)
+
+
+def _array_fits(schema: dict, value: list, fits) -> bool:
+    first = schema.get("prefixItems", [])
+    if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+        return False
+    if not all(fits(s, x) for s, x in zip(first, value)) or not all(fits(schema.get("items", True), x) for x in value[len(first) :]):
+        return False
+    if schema.get("uniqueItems") and any(_equal(x, y) for i, x in enumerate(value) for y in value[:i]):
+        return False
+    met = sum(fits(schema["contains"], x) for x in value) if "contains" in schema else None
+    return met is None or schema.get("minContains", 1) <= met <= schema.get("maxContains", met)
 
 
 def accepts(schema, value, root=None) -> bool:
-    """Whether a value satisfies a JSON Schema: types, objects, arrays, enumerations, bounds, patterns, combinations and
-    references within the schema."""
+    """Whether a value satisfies a JSON Schema of the keywords in _KEYWORDS; references lead within the schema."""
     root = schema if root is None else root
     if isinstance(schema, bool):
         return schema
+    fits = lambda s, x: accepts(s, x, root)
     if "$ref" in schema:
         target = root
         for part in schema["$ref"].lstrip("#").strip("/").split("/") if schema["$ref"] != "#" else ():
             target = target[part.replace("~1", "/").replace("~0", "~")]
-        if not accepts(target, value, root):
+        if not fits(target, value):
             return False
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return False
     if "enum" in schema and not any(_equal(value, x) for x in schema["enum"]) or "const" in schema and not _equal(value, schema["const"]):
         return False
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        extra = schema.get("additionalProperties", True)
-        if any(k not in value for k in schema.get("required", ())) or not all(accepts(known[k] if k in known else extra, v, root) for k, v in value.items()):
-            return False
-    elif isinstance(value, list):
-        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) or not all(accepts(schema.get("items", True), v, root) for v in value):
-            return False
-    elif isinstance(value, str):
+    if isinstance(value, dict) and not _object_fits(schema, value, fits) or isinstance(value, list) and not _array_fits(schema, value, fits):
+        return False
+    if isinstance(value, str):
         if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) or "pattern" in schema and not re.search(schema["pattern"], value):
             return False
     elif _is(value, "number"):
-        if not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        if not schema.get("minimum", value) <= value <= schema.get("maximum", value) or "multipleOf" in schema and not _divides(schema["multipleOf"], value):
+            return False
+        if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"] or "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
             return False
-    each = lambda k: [accepts(s, value, root) for s in schema.get(k, ())]
-    return all(each("allOf")) and ("anyOf" not in schema or any(each("anyOf"))) and ("oneOf" not in schema or sum(each("oneOf")) == 1) and ("not" not in schema or not accepts(schema["not"], value, root))
+    if "if" in schema and not fits(schema.get("then" if fits(schema["if"], value) else "else", True), value):
+        return False
+    each = lambda k: [fits(s, value) for s in schema.get(k, ())]
+    return all(each("allOf")) and ("anyOf" not in schema or any(each("anyOf"))) and ("oneOf" not in schema or sum(each("oneOf")) == 1) and ("not" not in schema or not fits(schema["not"], value))
+
+
+def below(schema: dict) -> list:
+    """The schemas that stand directly in a schema."""
+    out = []
+    for k, v in schema.items():
+        kind = _KEYWORDS.get(k)
+        out += [v] if kind is _SCHEMA else v if kind is _SCHEMAS else list(v.values()) if kind is _NAMED else []
+    return out
+
+
+def _sound(kind, value) -> bool:
+    names = lambda x: isinstance(x, list) and all(isinstance(n, str) for n in x)
+    if kind == "type":
+        return (isinstance(value, str) or names(value)) and set([value] if isinstance(value, str) else value) <= {*_TYPES, "integer", "number"}
+    if kind == "names":
+        return names(value)
+    if kind == "names by name":
+        return isinstance(value, dict) and all(map(names, value.values()))
+    if kind == "pattern":
+        return isinstance(value, str) and _compiles(value)
+    if kind is _NUMBER:
+        return _is(value, "number")
+    if kind is _COUNT:
+        return _is(value, "integer") and value >= 0
+    return kind is None or isinstance(value, {_SCHEMA: (dict, bool), _SCHEMAS: list, _NAMED: dict}.get(kind, kind))
+
+
+def _compiles(pattern: str) -> bool:
+    try:
+        return bool(re.compile(pattern))
+    except re.error:
+        return False
 
 
 def well_formed(schema) -> bool:
-    """Whether the keywords this module knows have values of the right kind, all the way down."""
+    """Whether the keywords of a schema have values of the right kind, all the way down."""
     if isinstance(schema, bool):
         return True
-    if not isinstance(schema, dict) or any(k in schema and not isinstance(schema[k], kind) for k, kind in _KEYWORDS.items()):
+    if not isinstance(schema, dict) or any(not _sound(_KEYWORDS[k], v) for k, v in schema.items() if k in _KEYWORDS):
         return False
-    kinds = schema.get("type", [])
-    if not set([kinds] if isinstance(kinds, str) else kinds) <= {*_TYPES, "integer", "number"} or not all(isinstance(x, str) for x in schema.get("required", ())):
+    if schema.get("multipleOf", 1) <= 0 or not all(map(_compiles, schema.get("patternProperties", ()))):
         return False
-    below = [*schema.get("properties", {}).values(), *schema.get("$defs", {}).values(), *(s for k in ("anyOf", "oneOf", "allOf") for s in schema.get(k, ())), *(schema[k] for k in ("items", "not", "additionalProperties") if k in schema)]
-    return all(well_formed(s) for s in below)
+    return all(well_formed(s) for s in below(schema))
 
 
-@F.pandas_udf(BooleanType())
-def schema_well_formed(schemas: pd.Series) -> pd.Series:
-    return schemas.map(lambda s: None if s is None else well_formed(json.loads(s)))
+def unknown_keywords(schema) -> set[str]:
+    """The keywords of a well-formed schema that this module neither checks nor knows to check nothing: dynamic references, unevaluated
+    members, keywords of other vocabularies."""
+    if isinstance(schema, bool):
+        return set()
+    return {k for k in schema if k not in _KEYWORDS and k not in DESCRIBE and not k.startswith("x-")}.union(*map(unknown_keywords, below(schema)))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def schema_unknown(schemas: pd.Series) -> pd.Series:
+    """The unknown keywords of each JSON Schema, sorted; null for one that is not well formed."""
+
+    def one(s):
+        schema = json.loads(s)
+        return sorted(unknown_keywords(schema)) if well_formed(schema) else None
+
+    return schemas.map(lambda s: None if s is None else one(s))
 
 
 @F.pandas_udf(BooleanType())
@@ -128,11 +225,12 @@ def tool_rows(episodes: DataFrame, episode: str) -> DataFrame:
     rows = rows.withColumn("parameters", F.to_json("p")).withColumn("object", (_kind(F.col("p")) == "OBJECT") & (_part("p", "$.type", "string") == "object")).drop("p")
     first = F.row_number().over(Window.partitionBy(episode, "name").orderBy("at")) == 1
     # schemas repeat in very many episodes: each is looked at once
-    each = rows.where("object").select("parameters").distinct().select(F.col("parameters").alias("s"), schema_well_formed("parameters").alias("sound"))
+    each = rows.where("object").select("parameters").distinct().select(F.col("parameters").alias("s"), schema_unknown("parameters").alias("unknown"))
+    each = each.withColumn("sound", F.col("unknown").isNotNull())
     outside = F.exists(references(F.col("parameters")), lambda r: ~r.startswith("#"))
     rows = rows.withColumn("first", first).join(each, F.col("parameters") == F.col("s"), "left")
     sound = F.coalesce((F.length("name") > 0) & F.col("first") & F.col("object") & F.col("sound"), F.lit(False))
-    fault = F.when(~sound, TOOLS_INVALID).when(outside, TOOLS_EXTERNAL)
+    fault = F.when(~sound, TOOLS_INVALID).when(outside, TOOLS_EXTERNAL).when(F.size("unknown") > 0, TOOLS_UNCHECKED)
     return rows.select(episode, "at", "name", "parameters", fault.alias("fault"))
 
 

@@ -255,6 +255,24 @@ def test_policy(spark, pool, tmp_path):
     assert {(r.split, r.fault) for r in policy.list_faults(lists, m).collect()} == {("dev", "both_splits"), ("test", "both_splits"), ("dev", "form"), ("test", "range")}
 
 
+SCHEMA_CASES = [
+    ({"exclusiveMinimum": 5}, [5.5, "x"], [5, 4]), ({"exclusiveMaximum": 5}, [4.9], [5.0]), ({"multipleOf": 0.1}, [0.3, 7, "x"], [0.35]), ({"multipleOf": 3}, [9, 9.0, -3, 0], [10]),
+    ({"uniqueItems": True}, [[1, True, "1"], [], [{"a": 1}, {"a": 2}]], [[1, 1.0], [{"a": [1]}, {"a": [1.0]}]]), ({"prefixItems": [{"type": "string"}, {"const": 1}], "items": False}, [["a", 1], ["a"], []], [["a", 2], [1], ["a", 1, 2]]),
+    ({"patternProperties": {"^n": {"type": "integer"}}, "additionalProperties": False}, [{"n1": 1}, {}], [{"n1": "x"}, {"m": 1}]), ({"contains": {"const": 2}}, [[1, 2], 3], [[], [1]]), ({"contains": {"const": 2}, "minContains": 0}, [[]], []),
+    ({"if": {"type": "integer"}, "then": {"minimum": 3}, "else": {"maxLength": 1}}, [3, "a"], [2, "ab"]), ({"dependentRequired": {"a": ["b"]}}, [{"a": 1, "b": 1}, {}], [{"a": 1}]), ({"dependentSchemas": {"a": {"minProperties": 2}}}, [{"a": 1, "b": 2}], [{"a": 1}]),
+    ({"propertyNames": {"pattern": "^[a-z]+$"}}, [{"ab": 1}], [{"A": 1}]), ({"enum": [1, True, [2.0]]}, [1.0, True, [2]], [False, 2]), ({"const": False}, [False], [0, None]), ({"not": {"anyOf": [{"type": "null"}, False]}}, [1], [None]),
+]
+
+
+def test_schema_keywords():
+    for schema, good, bad in SCHEMA_CASES:
+        assert interactions.well_formed(schema) and not interactions.unknown_keywords(schema)
+        assert all(interactions.accepts(schema, x) for x in good) and not any(interactions.accepts(schema, x) for x in bad), schema
+    for wrong in ({"minLength": -1}, {"minimum": "1"}, {"required": "a"}, {"prefixItems": {}}, {"uniqueItems": 1}, {"dependentRequired": {"a": "b"}}, {"pattern": "("}, {"multipleOf": 0}, {"properties": {"a": {"items": 3}}}, {"patternProperties": {"(": {}}}):
+        assert not interactions.well_formed(wrong), wrong
+    assert interactions.unknown_keywords({"title": "x", "items": {"unevaluatedItems": False}, "$defs": {"a": {"$dynamicRef": "#b", "x-own": 1}}}) == {"unevaluatedItems", "$dynamicRef"}
+
+
 def test_contamination_index(spark, tmp_path):
     texts = {i: f"the river number {i} flows past a town with bridges and mills and {'boats ' * (i % 3 + 1)}" + " ".join(f"w{i}_{k}" for k in range(20)) for i in range(20)}
     tasks = spark.createDataFrame([(t, f"g{i}", "dev" if i % 4 == 0 else "train") for i, t in texts.items()], "folded string, group_sha256 string, split string")
