@@ -405,3 +405,31 @@ def schema_keywords(spark, sf_dir):
     value = F.expr(f"""concat('{{"key": ', c_custkey, ', "balance": ', cast(c_acctbal as decimal(20, 2)), ', "segment": "', c_mktsegment, '", "codes": [', c_nationkey, ', ', c_custkey % 5, ', ', c_custkey % 3, ']', {more}, '}}')""")
     rows = table(spark, sf_dir, "customer", F.col("c_custkey").alias("custkey"), value.alias("value"))
     return rows.select("custkey", F.concat(*[T.schema_accepts(F.lit(s), F.col("value")).cast("int").cast("string") for s, _ in KEYWORD_SCHEMAS]).alias("fits"))
+
+
+@query("""WITH r AS (SELECT doc_id, quality, toxic, n_chars <= 900 AS fits, row_number() OVER (PARTITION BY quality, toxic ORDER BY sha256('5/' || doc_id), doc_id) AS nth FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT *, sum(fits::INT) OVER (PARTITION BY quality, toxic ORDER BY nth) AS good, dense_rank() OVER (ORDER BY quality, toxic) - 1 AS spot FROM r)
+SELECT doc_id, quality, toxic, ((good - 1) * (SELECT max(spot) + 1 FROM g) + spot)::INTEGER AS place FROM g WHERE fits AND good <= 16 // (SELECT max(spot) + 1 FROM g)""")
+def refilled_subset(spark, sf_dir):
+    """Documents that are too long are passed over."""
+    sizes = table(spark, sf_dir, "documents", "doc_id", (F.col("n_chars") <= 900).alias("fits"))
+    rows = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").join(sizes.select("doc_id"), "doc_id", "left_semi")
+    chosen, _ = B.refilled(rows, ["quality", "toxic"], 16, 5, lambda head: sizes.join(head.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    return chosen.withColumn("place", F.col("place").cast("int"))
+
+
+@query("""WITH x AS (SELECT l_linenumber, unnest([
+    {'task': 'a', 'x': l_discount * 30 - 1.5, 't': (l_returnflag = 'R')::INT::DOUBLE, 'on_': l_orderkey % 3 <> 0}, {'task': 'b', 'x': l_tax * 50 - 2, 't': l_discount * 10, 'on_': l_linenumber <= 4},
+    {'task': 'remaining_turns', 'x': l_tax * 40, 't': (l_partkey % 30)::DOUBLE, 'on_': l_quantity > 10}]) AS i FROM lineitem),
+each AS (SELECT l_linenumber, i.task AS task, count(*) FILTER (WHERE i.on_) AS active,
+  avg(CASE WHEN i.task = 'remaining_turns' THEN CASE WHEN abs(i.x - ln(1 + i.t)) < 1 THEN 0.5 * (i.x - ln(1 + i.t)) ** 2 ELSE abs(i.x - ln(1 + i.t)) - 0.5 END ELSE greatest(i.x, 0) - i.x * i.t + ln(1 + exp(-abs(i.x))) END) FILTER (WHERE i.on_) AS loss FROM x GROUP BY ALL)
+SELECT l_linenumber, round(sum(loss * w) / sum(w) FILTER (WHERE active > 0), 6) AS total, round(max(loss) FILTER (WHERE task = 'b'), 6) AS b, sum(active)::BIGINT AS active FROM (SELECT *, CASE task WHEN 'a' THEN 2 ELSE 1 END AS w FROM each) GROUP BY l_linenumber""")
+def multitask_loss(spark, sf_dir):
+    arrays = {
+        "logits": F.expr("array(l_discount * 30 - 1.5, l_tax * 50 - 2)"), "targets": F.expr("array(double(l_returnflag = 'R'), l_discount * 10)"), "mask": F.expr("array(l_orderkey % 3 <> 0, l_linenumber <= 4)"),
+        "p": F.expr("l_tax * 40"), "turns": F.expr("double(l_partkey % 30)"), "on": F.expr("l_quantity > 10"),
+    }
+    rows = table(spark, sf_dir, "lineitem", "l_linenumber", *[c.alias(k) for k, c in arrays.items()])
+    found = M.multitask_losses(rows, ["l_linenumber"], ["a", "b"], "logits", "targets", "mask", ("p", "turns", "on"), {"a": 2.0, "b": 1.0, M.REMAINING: 1.0})
+    total = F.aggregate(F.map_values("active"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("l_linenumber", F.round("total", 6).alias("total"), F.round(F.try_element_at("losses", F.lit("b")), 6).alias("b"), total.alias("active"))

@@ -76,6 +76,50 @@ def weighted_losses(rows: DataFrame, by: list[str], loss: str, weight: str, shar
     return found.select(*by, "n", F.when(fault.isNull(), F.col("m")).alias("weighted"), F.when(fault.isNull(), F.col("q")).alias("quantiles"), fault.alias("fault"))
 
 
+#: The task that is a number and no probability.
+REMAINING = "remaining_turns"
+
+
+def task_losses(rows: DataFrame, by: list[str], tasks: list[str], logits: str, targets: str, mask: str, remaining: tuple[str, str, str]) -> DataFrame:
+    """(by, task, active, loss, bad): of each task the mean loss over the rows whose mask is true, and whether one of these has a logit or
+    target that is null, no number, infinite or out of range.
+
+    logits, targets and mask are arrays with a member for each of ``tasks``, probabilities: binary cross-entropy of a logit.  ``remaining``
+    (predicted logarithm, number, mask) is the task REMAINING: smooth L1 distance to the logarithm of 1 + number."""
+    x, t, p, n = F.col("i.x"), F.col("i.t"), F.col(remaining[0]).cast("double"), F.col(remaining[1]).cast("double")
+    unit = F.struct(F.lit(REMAINING).alias("task"), p.alias("x"), n.alias("t"), F.col(remaining[2]).alias("on"))
+    at = lambda c, i: F.get(c, F.lit(i))
+    items = [F.struct(F.lit(k).alias("task"), at(logits, i).cast("double").alias("x"), at(targets, i).cast("double").alias("t"), at(mask, i).alias("on")) for i, k in enumerate(tasks)]
+    each = rows.select(*by, F.explode_outer(F.array(*items, unit)).alias("i"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    number = F.col("i.task") == REMAINING
+    fits = finite(x) & finite(t) & (t >= 0) & (number | (t <= 1))
+    entropy = F.greatest(x, F.lit(0.0)) - x * t + F.log1p(F.exp(-F.abs(x)))
+    far = F.abs(x - F.log1p(t))
+    loss = F.when(number, F.when(far < 1, 0.5 * far * far).otherwise(far - 0.5)).otherwise(entropy)
+    on = F.coalesce(F.col("i.on"), F.lit(False))
+    return each.groupBy(*by, F.col("i.task").alias("task")).agg(F.count(F.when(on, 1)).alias("active"), F.avg(F.when(on & fits, loss)).alias("loss"), F.coalesce(F.bool_or(on & ~fits), F.lit(False)).alias("bad"))
+
+
+def multitask_losses(rows: DataFrame, by: list[str], tasks: list[str], logits: str, targets: str, mask: str, remaining: tuple[str, str, str], weights: dict[str, float] | None = None) -> DataFrame:
+    """(by, total, losses, active, fault): the mean of the tasks' losses, by weight, over the tasks that have active rows.
+
+    A group has a fault instead of a total where an active value is bad or no task of a positive weight is active."""
+    weights = {k: 1.0 for k in (*tasks, REMAINING)} if weights is None else weights
+    if set(weights) != {*tasks, REMAINING} or any(not 0 <= w < float("inf") for w in weights.values()) or not any(weights.values()):
+        raise ValueError("weights must name all tasks, be finite and not negative, and one of them positive")
+    each = task_losses(rows, by, tasks, logits, targets, mask, remaining)
+    w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("task")), F.lit(0.0))
+    w = F.when(F.col("active") > 0, w).otherwise(0.0)
+    entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("active") > 0, F.struct("task", c)))))
+    found = each.groupBy(*by).agg(
+        F.sum(F.when(w > 0, w * F.col("loss"))).alias("__loss"), F.sum(w).alias("__weight"), F.bool_or("bad").alias("__bad"), entries("loss").alias("losses"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("task", "active")))).alias("active"),
+    )
+    fault = F.when(F.col("__bad"), "bad_value").when(F.col("__weight") <= 0, "no_active_task")
+    return found.select(*by, F.when(fault.isNull(), F.col("__loss") / F.col("__weight")).alias("total"), "losses", "active", fault.alias("fault"))
+
+
 def gates(epochs: DataFrame, by: str, epoch: str, loss: str, denominator: str, first_limit: float, last_limit: float) -> DataFrame:
     """``spikes`` with two more flags: whether an epoch covers as much (denominator) as the first one, and whether it passes all."""
     rows = spikes(epochs, by, epoch, loss, first_limit, last_limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,15 +26,15 @@ def epoch_seed(namespace: str, seed: int, epoch: int) -> int:
 
 def best_fit(lengths: list[int], room: int) -> list[int]:
     """Bin of each length, in the given order: the fullest bin it fits, of equal ones the oldest; else a new one."""
-    left: list[int] = []
-    out = []
+    free: list[tuple[int, int]] = []  # (free space, bin) of the open bins, sorted
+    out, bins = [], 0
     for n in lengths:
-        at = min((i for i, free in enumerate(left) if free >= n), key=lambda i: (left[i] - n, i), default=None)
-        if at is None:
-            at = len(left)
-            left.append(room)
-        left[at] -= n
-        out.append(at)
+        at = bisect_left(free, (n, -1))
+        space, i = free.pop(at) if at < len(free) else (room, bins)
+        bins += i == bins
+        if space > n:
+            insort(free, (space - n, i))
+        out.append(i)
     return out
 
 

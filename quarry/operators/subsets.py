@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from . import quantiles as Q
 
 
@@ -41,6 +44,41 @@ def balanced(rows: DataFrame, strata: list[str], n: int, seed: int | str, key: s
     return nth.withColumn("place", (F.col("__nth") - 1) * len(groups) + spot).drop("__nth")
 
 
+def refilled(rows: DataFrame, strata: list[str], n: int, seed: int | str, fits: Callable[[DataFrame], DataFrame], key: str = "episode_id") -> tuple[DataFrame, DataFrame]:
+    """(chosen, skipped): as ``balanced``, but a row that does not fit is skipped, and the next of its stratum takes its place.
+
+    ``fits`` gives (key, fits) of rows; it is asked about the heads of the strata only, twice as far each time, until each has enough
+    rows or ends.  A smaller n of the same rows gives the head of the larger one's order.  skipped: the strata with the number of rows that were
+    passed over, and ``missing``, how many rows a stratum lacks."""
+    groups = [tuple(r) for r in rows.select(*strata).distinct().orderBy(*strata).collect()]  # as many as there are strata
+    each = n // max(len(groups), 1)
+    order = F.sha2(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")), 256)
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))
+    before, upto, judged = 0, max(each, 1), None
+    while groups:
+        # the limit holds within tasks, before the shuffle
+        head = written(rows.withColumn("__nth", place).where(F.col("__nth") <= upto).where(F.col("__nth") > before), "refill-head")
+        told = fits(head.drop("__nth")).select(F.col(key).alias("__key"), F.col("fits").alias("__fits"))
+        part = written(head.join(told, F.col(key) == F.col("__key"), "left").withColumn("__fits", F.coalesce("__fits", F.lit(False))).drop("__key"), "refill-judged")
+        judged = part if judged is None else judged.unionByName(part)
+        counts = judged.groupBy(*strata).agg(F.count("*").alias("seen"), F.sum(F.col("__fits").cast("int")).alias("good")).collect()
+        if all(r["good"] >= each or r["seen"] < upto for r in counts):
+            break
+        before, upto = upto, 2 * upto
+    if judged is None:
+        none = rows.withColumn("place", F.lit(0))
+        return none, rows.select(*strata).withColumns({"skipped": F.lit(0).cast("long"), "missing": F.lit(0).cast("long")})
+    spot = F.lit(None).cast("int")
+    for i, group in enumerate(groups):
+        spot = F.when(_is(strata, group), i).otherwise(spot)
+    order = Window.partitionBy(*strata).orderBy("__nth")
+    ranked = judged.withColumn("__good", F.sum(F.col("__fits").cast("int")).over(order))
+    chosen = ranked.where(F.col("__fits") & (F.col("__good") <= each)).withColumn("place", (F.col("__good") - 1) * len(groups) + spot).drop("__nth", "__fits", "__good")
+    passed = ~F.col("__fits") & (F.col("__good") < each)
+    skipped = ranked.groupBy(*strata).agg(F.count(F.when(passed, 1)).alias("skipped"), F.greatest(each - F.max("__good"), F.lit(0)).cast("long").alias("missing"))
+    return chosen, skipped
+
+
 def _is(strata: list[str], group: tuple) -> Column:
     met = F.lit(True)
     for c, v in zip(strata, group, strict=True):
