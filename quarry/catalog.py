@@ -7,6 +7,7 @@ their source), outcomes ``labels``, held-out items ``benchmark``, identities ``p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -600,4 +601,14 @@ def vector_relative_rms(spark, sf_dir):
     return pairs.select("vec_id", F.round(M.relative_rms(F.col("embedding"), F.col("other")), 6).alias("rms"))
 
 
-from . import catalog_episodes  # noqa: E402, F401  registers the rest
+def over_conversations(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A SELECT over ``conversations`` of this folder, under a name that no view of the user's has."""
+    name = f"conversations_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "conversations").createOrReplaceTempView(name)
+    try:
+        return spark.sql(text.replace("FROM conversations", f"FROM {name}"))
+    finally:
+        spark.catalog.dropTempView(name)
+
+
+from . import catalog_episodes, catalog_sources  # noqa: E402, F401  register the rest

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _DOCS, _NEAR, _tasks, docs_split, query, table
+from .catalog import _DOCS, _NEAR, _tasks, docs_split, over_conversations, query, table
 from .operators import audit as A
 from .operators import interactions as T
 from .operators import metrics as M
@@ -73,8 +73,7 @@ firsts AS (
 
 
 def _episodes(spark, sf_dir) -> DataFrame:
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    rows = spark.sql(f"WITH {_TURNS} SELECT conv_id, turn, role, text, answers, action FROM messages")
+    rows = over_conversations(spark, sf_dir, f"WITH {_TURNS} SELECT conv_id, turn, role, text, answers, action FROM messages")
     none = F.lit(None).cast("string")
     item = F.struct(F.col("turn"), F.struct("role", F.col("text").alias("content"), F.lit("").alias("reasoning"), "action", F.col("answers").alias("tool_call_id")).alias("m"))
     rows = rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["m"]).alias("messages"))
