@@ -1,13 +1,19 @@
-"""Queries of the five adapters: raw rows of each source made from ``conversations``, their texts as they are.
+"""Queries of the five adapters, of releases and of the inputs of fine-tuning: raw rows of each source made from ``conversations``, their texts as they are.
 
 Every other assistant's turn that an answer follows is a call of a tool, in the form of the source."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import schemas
 from .catalog import over_conversations, query
+from .operators.episodes import TOOL_HELP
+from .plans import release, sft
+from .scratch import shared_dir
 from .sources import traces
 
 #: The turns as SQL that both engines read; ``acts``: a call, ``answers``: the turn of the call that a turn answers.
@@ -132,3 +138,65 @@ def adapt_swe_agent(spark, sf_dir):
         "generated_patch": F.lit("p"), "eval_logs": F.lit(""),
     })
     return _told(traces.nebius_swe_agent(rows), F.regexp_extract("task_id", r"-(\d+)$", 1))
+
+
+# --- releases and the inputs of fine-tuning
+_TOOL = '{"type": "function", "function": {"name": "read", "parameters": {"type": "object"}}}'
+_TOOLS = '[{"function":{"name":"read","parameters":{"type":"object"}},"type":"function"}]'
+
+
+def _released(spark, sf_dir) -> str:
+    """The folder of a release of all conversations, as traces of a repository in seven each."""
+    rows = _chat_rows(spark, sf_dir, "messages").withColumns({
+        "trajectory_id": F.col("conv_id").cast("string"), "instance_id": F.expr("concat('org__r', conv_id % 7, '-', conv_id)"), "repo": F.expr("concat('org/r', conv_id % 7)"),
+        "resolved": F.expr("case conv_id % 3 when 0 then -1 when 1 then 1 else 0 end"), "license": F.lit("MIT"), "tools": F.array(F.lit(_TOOL)),
+    })
+    episodes = traces.open_swe_traces(rows).withColumns({"source_revision": F.lit("a" * 40), "source_license": F.lit("cc-by-4.0")}).drop("error", "record_sha256", "source_file", "row_index")
+    splits = episodes.select("source_record_id", F.expr("case cast(source_record_id as bigint) % 7 when 0 then 'dev' when 1 then 'test' else 'train' end").alias("split"))
+    folder = f"{shared_dir(spark)}/quarry/release-{uuid.uuid4().hex}"
+    release.build(episodes, splits, folder)
+    return folder
+
+
+_READ = _CHAT[: _CHAT.index("joined AS")] + """made AS (
+  SELECT *, role = 'assistant' AND (action IS NOT NULL OR content <> '') AS decides, coalesce(action, concat('{"content":', to_json(content), ',"format":"assistant_final"}')) AS deed FROM read)"""
+
+
+@query(_READ + """ SELECT conv_id, CASE conv_id % 7 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split, (count(*) FILTER (WHERE role = 'assistant'))::INTEGER AS turns, CASE conv_id % 3 WHEN 0 THEN NULL ELSE conv_id % 3 = 1 END AS success,
+  count(*) FILTER (WHERE decides) AS decisions, md5(coalesce(string_agg(deed, chr(30) ORDER BY turn) FILTER (WHERE decides), '')) AS deeds FROM made GROUP BY conv_id""")
+def release_tables(spark, sf_dir):
+    """What the files of a verified release hold of each episode."""
+    folder = _released(spark, sf_dir)
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
+    episodes = read("episodes", schemas.EPISODES).join(spark.read.parquet(f"{folder}/splits"), "episode_id")
+    deeds = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_id", "teacher_action"))), lambda x: x["teacher_action"]), "\x1e")
+    decisions = read("decisions", schemas.DECISIONS).groupBy("episode_id").agg(F.count("*").alias("decisions"), F.md5(deeds).alias("deeds"))
+    both = episodes.join(decisions, "episode_id", "left")
+    return both.select(
+        F.col("source_record_id").cast("long").alias("conv_id"), "split", F.col("turn_count").alias("turns"), "success", F.coalesce("decisions", F.lit(0)).alias("decisions"), F.coalesce("deeds", F.md5(F.lit(""))).alias("deeds")
+    )
+
+
+_HELP = f"System: Tools:\n{_TOOLS}\n{TOOL_HELP}\n\n"
+
+
+@query(_READ + rf""", sized AS (
+  SELECT *, octet_length(encode(CASE role WHEN 'assistant' THEN 'Assistant: ' WHEN 'tool' THEN 'User: <tool_response></tool_response>' WHEN 'system' THEN 'System: ' ELSE 'User: ' END)) + 2 AS form,
+    CASE WHEN reasoning <> '' THEN octet_length(encode(reasoning)) + 17 ELSE 0 END AS r, CASE WHEN role = 'tool' THEN 0 ELSE octet_length(encode(content)) END AS c,
+    CASE WHEN action IS NOT NULL THEN octet_length(encode(action)) + 23 ELSE 0 END AS a, CASE WHEN role = 'tool' THEN octet_length(encode(concat('{{"content":', to_json(content), ',"tool_call_id":"', call, '"}}'))) ELSE 0 END AS t FROM made),
+summed AS (
+  SELECT *, (r > 0 AND c > 0)::INT AS s1, (a > 0 AND r + c > 0)::INT AS s2, sum(form + r + c + a + t + (r > 0 AND c > 0)::INT + (a > 0 AND r + c > 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM sized)
+SELECT conv_id, CASE conv_id % 7 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split, (count(*) FILTER (WHERE conv_id % 3 = 1))::BIGINT AS records, coalesce(sum(upto + {len(_HELP.encode())} + 2) FILTER (WHERE conv_id % 3 = 1), 0)::BIGINT AS tokens,
+  coalesce(sum(r + c + 2 * a + s1 + 2 * s2 + 3) FILTER (WHERE conv_id % 3 = 1), 0)::DOUBLE AS weight, (count(*) FILTER (WHERE conv_id % 3 <> 1))::BIGINT AS failed FROM summed WHERE decides GROUP BY conv_id""")
+def sft_records(spark, sf_dir):
+    """Token records and the ledger of what they leave out, from a release's files; every byte is a token."""
+    folder = _released(spark, sf_dir)
+    out = f"{folder}-inputs"
+    sft.build(spark, folder, out, [f"{b + 1} {bytes([b])!r} 1" for b in range(256)], 1 << 20)
+    weight = F.aggregate("token_loss_weights", F.lit(0.0), lambda s, w: s + w)
+    records = spark.read.parquet(f"{out}/records").groupBy("episode_id").agg(F.count("*").alias("records"), F.sum(F.size("token_ids")).alias("tokens"), F.sum(weight).alias("weight"))
+    ledger = spark.read.json(f"{out}/excluded", schema="episode_id string, reason string")
+    failed = ledger.where("reason = 'source_failure_requires_verified_recovery'").groupBy("episode_id").agg(F.count("*").alias("failed"))
+    owners = spark.read.schema(schemas.EPISODES).parquet(f"{folder}/episodes").join(spark.read.parquet(f"{folder}/splits"), "episode_id").select("episode_id", F.col("source_record_id").cast("long").alias("conv_id"), "split")
+    both = owners.join(records, "episode_id", "left").join(failed, "episode_id", "left").where("records is not null or failed is not null")
+    return both.select("conv_id", "split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "tokens")], F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("failed", F.lit(0)).alias("failed"))
