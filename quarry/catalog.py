@@ -319,12 +319,15 @@ def _sensitive(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string(f, ',') AS findings FROM ({_sensitive_sql()}) WHERE len(f) > 0")
 def sensitive_findings(spark, sf_dir):
-    return _sensitive(spark, sf_dir).where(F.size("f") > 0).select("doc_id", F.array_join("f", ",").alias("findings"))
+    # the row of each first finding, with all of them: a filter on their number would look for all rules twice
+    found = _sensitive(spark, sf_dir).select("doc_id", "f", F.posexplode_outer("f").alias("nth", "rule"))
+    return found.where("nth = 0").select("doc_id", F.array_join("f", ",").alias("findings"))
 
 
 @query(f"SELECT rule, count(*) AS documents FROM (SELECT unnest(f) AS rule FROM ({_sensitive_sql()})) GROUP BY rule")
 def sensitive_rule_counts(spark, sf_dir):
-    return _sensitive(spark, sf_dir).select(F.explode("f").alias("rule")).groupBy("rule").agg(F.count("*").alias("documents"))
+    # outer: Spark then infers no filter that would look for all rules twice
+    return _sensitive(spark, sf_dir).select(F.explode_outer("f").alias("rule")).where("rule is not null").groupBy("rule").agg(F.count("*").alias("documents"))
 
 
 _LICENCE_SQL = """CASE WHEN contains(text, 'MIT License') THEN 'MIT' WHEN contains(text, 'Apache License') THEN 'Apache-2.0' WHEN contains(text, 'CC BY-NC') THEN 'CC-BY-NC-4.0' WHEN contains(text, 'General Public License') THEN 'GPL-3.0' END"""
