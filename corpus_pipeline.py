@@ -79,7 +79,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: The classifier's fit and the token file are beyond SQL; tests hold the stages against brute-force versions.
+#: The classifier's fit and the token file are beyond SQL; tests hold near_duplicates against brute force, the others against their operators.
 ORACLE_SQL: str | None = None
 
 
