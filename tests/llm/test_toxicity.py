@@ -26,7 +26,7 @@ def edits(a, b):
 def recognised(word, entries):
     """(edits, is a stem) of the best entry by brute force; None without one."""
     best = [(0, True) for t, stem in entries if stem and word.startswith(t)]
-    best += [(d, False) for t, stem in entries if not stem and (d := edits(word, t)) <= levenshtein.edits_allowed(t)]
+    best += [(d, False) for t, stem in entries if not stem and abs(len(word) - len(t)) <= levenshtein.edits_allowed(t) and (d := edits(word, t)) <= levenshtein.edits_allowed(t)]
     return min(best, key=lambda x: (x[0], x[1]), default=None)
 
 
@@ -130,9 +130,8 @@ def test_misspelt_terms_are_caught_and_quotation_weighs_less(model_and_rows):
     assert of(f'{filler} they wrote "worthless trash" on it {filler}') < of(f"{filler} worthless trash {filler}") - 0.2
 
 
-def test_held_out_labels_are_never_learned(spark, model_and_rows):
-    _, docs, labels = model_and_rows
-    some = docs.where("doc_id % 4 = 0")
+def test_held_out_labels_are_never_learned(spark):
+    some, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - toxic, toxic) as toxic")
     scores = [sorted((r["id"], r["score"]) for r in lexicon_toxicity.score(some, x, train_on=lexicon_toxicity.fold() != 0).select("id", "score").collect()) for x in (labels, turned)]
     assert scores[0] == scores[1]
