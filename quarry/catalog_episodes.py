@@ -23,7 +23,7 @@ from .operators import selection as S
 from .operators import subsets as B
 from .plans import admission, windows
 from .plans import index as contamination_index
-from .scratch import shared_dir
+from .scratch import shared_dir, written
 from .sources import blobs, catalogue, traces
 
 # --- episodes with tools -------------------------------------------------------------------------------------------
@@ -207,10 +207,12 @@ def locator_rows(spark, sf_dir):
 
 @query("""SELECT doc_id, 'documents.parquet' AS source_file, doc_id AS row_index, md5(text) AS digest, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def located_documents(spark, sf_dir):
-    """A document's id is the number of its row in its file."""
-    named = table(spark, sf_dir, "labels").where("quality = 0").select(F.lit("documents.parquet").alias("source_file"), F.col("doc_id").alias("row_index"))
+    """The table is one file or a folder of them; the locators name its files, the result the table and the document's id."""
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    places = traces.scan(spark, sf_dir, ["documents.parquet", "documents.parquet/*"], ["doc_id"])
+    named = written(places.join(bad, "doc_id", "left_semi").select("source_file", "row_index"), "located-documents")
     rows = traces.located(spark, sf_dir, named, ["doc_id", "text", "n_chars"])
-    return rows.select("doc_id", "source_file", "row_index", F.md5("text").alias("digest"), "n_chars")
+    return rows.select("doc_id", F.lit("documents.parquet").alias("source_file"), F.col("doc_id").alias("row_index"), F.md5("text").alias("digest"), "n_chars")
 
 
 @query("""SELECT source_file, row_index, row_number() OVER (ORDER BY sha256('11/' || source_file), source_file, row_index) - 1 AS place FROM (SELECT source AS source_file, doc_id AS row_index FROM documents) QUALIFY place < 400""")
