@@ -21,6 +21,7 @@ from .operators import metrics as M
 from .operators import packing as P
 from .operators import reconcile as R
 from .operators import selection as S
+from .scratch import text_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +43,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = text_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return df.select(*columns) if columns else df
 
 

@@ -5,21 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import shared_dir  # noqa: F401
+from ..scratch import BATCH_BYTES, shared_dir, text_batches  # noqa: F401
 from ..scratch import written as cut
 
 #: Rows of a narrow (one or two longs) side that may be broadcast; about 16 MB.  Beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of rows that Python gets at a time; Spark's own bound, kept for values, is too large where all rows hold long texts.
-BATCH_BYTES = 8 << 20
-
-
-def text_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, its session's Arrow batches bounded by BATCH_BYTES unless the session has a bound of its own."""
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
-    if conf.get(key) == "67108864b":  # Spark's default
-        conf.set(key, f"{BATCH_BYTES}b")
-    return docs
 
 
 def discard(df: DataFrame) -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of some ten or hundred bytes that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Bytes of rows that Python gets at a time; Spark's own bound, kept for values, is too large where all rows hold long texts.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,14 @@ def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, its session's Arrow batches bounded by BATCH_BYTES unless the session has a bound of its own."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", rows.sparkSession.conf
+    if conf.get(key) == "67108864b":  # Spark's default
+        conf.set(key, f"{BATCH_BYTES}b")
+    return rows
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark an already written side for broadcast if it has at most ``rows`` rows; else leave it to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

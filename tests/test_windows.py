@@ -112,3 +112,19 @@ def test_windows_encode_little_more_than_the_text():
     for at in range(0, n, 2):
         windows.fewest_dropped(e, {"at": at, "last_user": at - 1, "last_assistant": at - 2}, loose, [0] * (n + 1), True, 6000)
     assert seen < len(buffer)
+
+
+def test_a_batch_of_episodes_is_handed_on_in_pieces(spark):
+    """Records leave Python as they are made, with the columns of their episode, and are the same in any pieces."""
+    from test_jobs import EPISODES, long_talk, vocabulary
+
+    rows = [(f"{i:064d}", f"d{i}", "r", "train", "task:x", "t", True, "tort of the river", None, long_talk(3, i)) for i in range(4)]
+    episodes, carried = spark.createDataFrame(rows, EPISODES), ("source_dataset", "success")
+    found = windows.fitted(episodes, vocabulary(), 500, records=True, carried=carried)
+    (batch,) = windows._pieced(episodes, None, carried).toArrow().combine_chunks().to_batches()
+    v, kinds = windows.of_lines(tuple(vocabulary())), windows.to_arrow_schema(found.schema)
+    each = list(windows.windows_of(iter([batch]), v, 500, True, carried, kinds, 100))
+    assert len(each) > 4 and all(sum(map(len, b.column("ids").to_pylist()[:-1])) < 100 for b in each)
+    plain = lambda r: tuple(tuple(x) if isinstance(x, list) else x for x in r)
+    made = sorted(plain(r.values()) for b in each for r in b.to_pylist())
+    assert made == sorted(plain(r) for r in found.collect()) and {(r[0][-1], r[-2][1:]) for r in made} == {(str(i), str(i)) for i in range(4)}
