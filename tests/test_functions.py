@@ -82,3 +82,21 @@ def test_guards_lose_no_finding(spark):
     found = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string").select("i", X.sensitive_findings(F.col("t")).alias("f")).collect()
     plain = [[n for n, p in X.SENSITIVE.items() if re.search(p, s)] for s in samples]
     assert [r.f for r in sorted(found, key=lambda r: r.i)] == plain and {n for p in plain for n in p} == set(X.SENSITIVE)
+
+
+def test_python_gets_texts_in_bounded_batches(spark, sf):
+    """Tables of the queries bound their session's Arrow batches by bytes; a bound that the user set stays."""
+    from quarry import catalog, scratch
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        rows = catalog.table(spark, sf, "documents").limit(1).select(F.repeat(F.lit("é"), 1 << 19).alias("t")).crossJoin(spark.range(0, 40, 1, 1)).repartition(1)
+        sizes = F.pandas_udf("long")(lambda t: t.map(lambda _: len(t)))
+        assert rows.select(sizes(F.col("t")).alias("n")).agg(F.max("n")).first()[0] <= scratch.BATCH_BYTES // (1 << 20) + 1
+        spark.conf.set(key, "1000000b")
+        catalog.table(spark, sf, "documents")
+        assert spark.conf.get(key) == "1000000b"
+    finally:
+        spark.conf.set(key, before)
