@@ -247,12 +247,12 @@ bands AS (SELECT digest, (i // 4)::INTEGER AS band, sha256('[' || string_agg(m::
 
 @query(f"WITH {_bands_sql()} SELECT digest, band, value FROM bands")
 def minhash_bands(spark, sf_dir):
-    return C.bands(C.written_index(_tasks(spark, sf_dir)))
+    return C.bands(C.prepared(_tasks(spark, sf_dir)).select("digest", "bands").dropDuplicates(["digest"])).select("digest", "band", "value")
 
 
 @query(f"WITH {_bands_sql()}, least AS (SELECT band, value, min(digest) AS a FROM bands GROUP BY band, value) SELECT DISTINCT a, digest AS b FROM bands JOIN least USING (band, value) WHERE digest <> a")
 def lsh_candidates(spark, sf_dir):
-    return C.bucket_links(C.bands(C.written_index(_tasks(spark, sf_dir))))
+    return C.bucket_links(minhash_bands(spark, sf_dir))
 
 
 _NEAR = f"""{_bands_sql()}, own AS (SELECT DISTINCT sha256(folded) AS digest, split FROM tasks), placed AS (SELECT * FROM bands JOIN own USING (digest)),
@@ -263,25 +263,25 @@ near AS (SELECT a, b, len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.
 
 @query(f"WITH {_NEAR} SELECT a, b, jaccard FROM near")
 def near_duplicates(spark, sf_dir):
-    tasks = _tasks(spark, sf_dir)
-    return C.near_pairs(tasks, C.written_index(tasks))
+    return C.near_pairs(C.prepared(_tasks(spark, sf_dir), "folded"))
 
 
 @query(f"""WITH {_NEAR}, both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near)
 SELECT digest, split, 'cross_split_exact_task' AS finding FROM own o WHERE EXISTS (SELECT 1 FROM own p WHERE p.digest = o.digest AND p.split <> o.split)
 UNION ALL SELECT DISTINCT o.digest, o.split, 'cross_split_near_task' FROM own o JOIN both_ways w ON o.digest = w.a JOIN own p ON p.digest = w.b AND p.split <> o.split""")
 def contamination_findings(spark, sf_dir):
-    tasks = _tasks(spark, sf_dir)
-    return C.findings(tasks, C.written_index(tasks))
+    return C.findings(C.prepared(_tasks(spark, sf_dir), "folded"))
 
 
 @query(f"""WITH {_bands_sql()} SELECT (SELECT count(*) FROM idx) AS tasks, (SELECT count(*) FROM bands) AS bands, (SELECT count(*) FROM (SELECT DISTINCT band, value FROM bands)) AS band_values,
 (SELECT count(*) FROM (SELECT DISTINCT sha256(folded), split FROM tasks)) AS task_splits""")
 def contamination_index_stats(spark, sf_dir):
-    tasks = _tasks(spark, sf_dir)
-    found = C.bands(C.written_index(tasks))
-    counts = found.agg(F.countDistinct("digest").alias("tasks"), F.count("*").alias("bands"), F.countDistinct("band", "value").alias("band_values"))
-    return counts.crossJoin(F.broadcast(tasks.select("digest", "split").distinct().agg(F.count("*").alias("task_splits"))))  # two single rows
+    index = C.signed(C.prepared(_tasks(spark, sf_dir)))
+    digests = index.select("digest", "bands").dropDuplicates(["digest"])
+    counted = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  each a single row
+    counts = digests.agg(F.count("*").alias("tasks"), F.sum(F.size("bands")).alias("bands"))
+    values = counted(C.bands(index).select("band", "value").distinct(), "band_values")
+    return counts.crossJoin(F.broadcast(values)).crossJoin(F.broadcast(counted(index, "task_splits")))
 
 
 @query("""WITH d AS (SELECT conv_id, sha256(string_agg(role || chr(31) || (length(text) // 400), chr(30) ORDER BY turn)) AS trace, CASE WHEN conv_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split FROM conversations GROUP BY conv_id)

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 SHINGLE = 5
 # Parameters of the signature.
@@ -74,16 +74,76 @@ def _times(a: int, v: np.ndarray) -> np.ndarray:
     return _reduce(_reduce(a1 * v1 * np.uint64(2) + (cross >> np.uint64(30))) + _reduce(((cross & np.uint64((1 << 30) - 1)) << half) + a0 * v0))
 
 
+#: Shingles whose signatures are made together.
+BLOCK = 1 << 15
+
+
+def joined_words(folded: Column) -> Column:
+    """The words of a folded text, a space between two."""
+    return F.array_join(words(folded), " ")
+
+
+def _hashes(digest: str, text: str) -> np.ndarray:
+    """The distinct first 64 bits of ``shingles`` of a text, from its digest and ``joined_words``."""
+    data = text.encode()
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    if len(gaps) < SHINGLE - 1:
+        return np.array([int(digest[:16], 16)], np.uint64)
+    begins, ends, sha = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(data)], hashlib.sha256
+    return np.unique(np.frombuffer(b"".join([sha(data[i:j]).digest()[:8] for i, j in zip(begins, ends[SHINGLE - 1 :])]), ">u8").astype(np.uint64))
+
+
+def _signed(sets: list[np.ndarray]) -> list[list[str]]:
+    """Band digests of some non-empty sets of hashes, of whose bits the first 60 count."""
+    lengths = np.array(list(map(len, sets)))
+    values, at = np.concatenate(sets) >> np.uint64(4), np.cumsum(lengths) - lengths
+    mins = [np.minimum.reduceat(_reduce(_times(a, values) + np.uint64(b)), at) for a, b in permutations()]
+    rows = PERMUTATIONS // BANDS
+    return [[hashlib.sha256(json.dumps(r[i : i + rows], separators=(",", ":")).encode()).hexdigest() for i in range(0, PERMUTATIONS, rows)] for r in np.stack(mins, axis=1).tolist()]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def minhash_bands(sets: pd.Series) -> pd.Series:
     """Band digests of each non-empty set of hex shingles."""
-    lengths = sets.map(len).to_numpy()
-    values = np.fromiter((int(x[:15], 16) for s in sets for x in s), np.uint64, int(lengths.sum()))
-    at = np.cumsum(lengths) - lengths
-    rows = PERMUTATIONS // BANDS
-    mins = [np.minimum.reduceat(_reduce(_times(a, values) + np.uint64(b)), at) for a, b in permutations()] if len(values) else []
-    found = np.stack(mins, axis=1).tolist() if mins else []
-    return pd.Series([[hashlib.sha256(json.dumps(r[i : i + rows], separators=(",", ":")).encode()).hexdigest() for i in range(0, PERMUTATIONS, rows)] for r in found])
+    return pd.Series([_signed([np.fromiter((int(x[:16], 16) for x in s), np.uint64, len(s))])[0] for s in sets], dtype=object)
+
+
+def _fingerprints(digests: pd.Series, texts: pd.Series, keep: bool) -> pd.DataFrame:
+    kept, sizes, bands, block, size = [], [], [], [], 0
+    for digest, text in zip(digests, texts):
+        if digest is None:
+            raise ValueError("a text without a digest has no fingerprint")
+        found = _hashes(digest, text)
+        sizes.append(len(found))
+        if keep:
+            kept.append(found.view(np.int64))
+        block.append(found)
+        size += len(found)
+        if size >= BLOCK:
+            bands, block, size = bands + _signed(block), [], 0
+    bands += _signed(block) if block else []
+    return pd.DataFrame({"n": np.array(sizes, np.int32), "bands": bands} | ({"shingles": kept} if keep else {}))
+
+
+_SIGNED = [StructField("n", IntegerType()), StructField("bands", ArrayType(StringType()))]
+
+
+@F.pandas_udf(StructType(_SIGNED))
+def signature(digests: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """Of each text, given by its digest and ``joined_words``, how many shingles it has and its MinHash bands."""
+    return _fingerprints(digests, texts, False)
+
+
+@F.pandas_udf(StructType([*_SIGNED, StructField("shingles", ArrayType(LongType()))]))
+def fingerprint(digests: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """``signature`` with the shingles, each by its first 64 bits."""
+    return _fingerprints(digests, texts, True)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def shingle_hashes(digests: pd.Series, texts: pd.Series) -> pd.Series:
+    """The shingles of ``fingerprint`` alone."""
+    return pd.Series([_hashes(d, t).view(np.int64) for d, t in zip(digests, texts)], dtype=object)
 
 
 def sensitive_findings(text: Column) -> Column:

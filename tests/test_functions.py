@@ -100,3 +100,16 @@ def test_python_gets_texts_in_bounded_batches(spark, sf):
         assert spark.conf.get(key) == "1000000b"
     finally:
         spark.conf.set(key, before)
+
+
+def test_signatures_are_made_of_short_and_long_texts(spark):
+    """Signed where they are read: the same bands and sizes as from hex shingles, more texts than one block holds."""
+    from quarry.operators import contamination as C
+
+    texts = ["", "one", "a b c d", "a b c d e", "é ü ö ñ à ç", " ".join(f"w{i % 50}" for i in range(400)), " ".join(f"v{i}" for i in range(40_000)), "a b c d e f a b c d e f"]
+    tasks = spark.createDataFrame([(t, "dev") for t in [*texts, texts[3]]], "folded string, split string").withColumn("digest", F.sha2("folded", 256))
+    old = C.task_index(tasks).select("digest", F.size("shingles").alias("n"), X.minhash_bands("shingles").alias("bands"))
+    index = C.signed(C.prepared(tasks))
+    assert sorted(map(tuple, index.select("digest", "n", "bands").collect())) == sorted(map(tuple, old.collect())) and index.count() == len(texts)
+    each = C.fingerprints(tasks).select("digest", "n", "bands", F.size("shingles").alias("kept")).collect()
+    assert sorted((r.digest, r.n, r.bands) for r in each) == sorted(map(tuple, old.collect())) and all(r.n == r.kept for r in each)
