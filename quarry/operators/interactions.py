@@ -190,19 +190,48 @@ def schema_unknown(schemas: pd.Series) -> pd.Series:
     return schemas.map(lambda s: None if s is None else one(s))
 
 
+def _accepted(schema, value) -> bool:
+    try:
+        return accepts(schema, value)
+    except (KeyError, TypeError, ValueError, RecursionError):
+        return False
+
+
+def _parsed(text: str):
+    """(whether it is JSON, its value)."""
+    try:
+        return True, json.loads(text)
+    except (ValueError, RecursionError):
+        return False, None
+
+
 @F.pandas_udf(BooleanType())
 def schema_accepts(schemas: pd.Series, values: pd.Series) -> pd.Series:
     """Whether each JSON value satisfies its JSON Schema; false where a reference leads nowhere."""
+    read = {s: _parsed(s) for s in set(schemas) if s is not None}  # schemas repeat in a batch
 
     def one(schema, value):
-        try:
-            return accepts(json.loads(schema), json.loads(value))
-        except (KeyError, TypeError, ValueError, RecursionError):
-            return False
+        sound, v = _parsed(value)
+        return sound and read[schema][0] and _accepted(read[schema][1], v)
 
     return pd.Series([None if s is None or v is None else one(s, v) for s, v in zip(schemas, values, strict=True)], dtype=object)
 
 
+def schemas_accept(schemas: list[str], value: Column) -> Column:
+    """``schema_accepts`` of one JSON value for each of several schemas, as an array; a value is read once, a schema once for many values."""
+
+    def each(values: pd.Series) -> pd.Series:
+        read = [_parsed(s) for s in schemas]
+
+        def one(text):
+            sound, v = _parsed(text)
+            return [sound and good and _accepted(s, v) for good, s in read]
+
+        return pd.Series([None if x is None else one(x) for x in values], dtype=object)
+
+    return F.pandas_udf(each, ArrayType(BooleanType()))(value)
+
+
 def _kind(v: Column) -> Column:
     """Name of a variant's type: OBJECT, ARRAY, STRING, ..; null for a missing one."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)

@@ -59,3 +59,26 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["digest", "n_splits", "n_rows"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_schema_keywords_are_dealt_out_to_all_tasks(spark, sf):
+    """The customers are one small file; their schemas are checked in as many tasks as there are partitions."""
+    found = catalog.QUERIES["schema_keywords"](spark, sf)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_many_schemas_accept_as_each_does(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import interactions as T
+
+    schemas = [s for s, _ in catalog_schemas()] + ['{"$ref": "#/nowhere"}', "no json", "true"]
+    values = spark.createDataFrame([('{"key": 7, "balance": 10, "segment": "A", "codes": [1, 2, 3]}',), ("1",), ("no json",), (None,)], "v string")
+    both = values.select(T.schemas_accept(schemas, F.col("v")).alias("many"), F.array(*[T.schema_accepts(F.lit(s), F.col("v")) for s in schemas]).alias("each")).collect()
+    assert [r.many for r in both[:3]] == [r.each for r in both[:3]] and both[3].many is None and not any(both[2].many) and any(both[0].many)
+
+
+def catalog_schemas():
+    from quarry.catalog_episodes import KEYWORD_SCHEMAS
+
+    return KEYWORD_SCHEMAS
