@@ -1,7 +1,7 @@
 """The contamination index as versions of a folder of tables, bound to the held-out policy it was made under.
 
 A version is a manifest, written once, that names the segments it consists of: a first ``build``, and one for each ``append``.  A segment
-holds what is new in its batch: digests with their shingles, (digest, group, split) rows, bands of (digest, split) pairs, and
+holds what is new in its batch: digests with their shingles (the first 64 bits of each), (digest, group, split) rows, bands of (digest, split) pairs, and
 traces.  So a batch makes signatures of its new texts only, and a reader that opened a version keeps it."""
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import minhash_bands
 from ..operators import contamination as C
 from ..scratch import read_text, small_side, write_once, written
 
-VERSION = 2
+VERSION = 3
 TABLES = ("tasks", "bands", "task_groups", "traces")
 KEYS = {"tasks": ["digest"], "bands": ["digest", "split", "band"], "task_groups": ["digest", "group_sha256", "split"], "traces": ["digest", "split"]}
 
@@ -44,10 +43,9 @@ def _segment(tasks: DataFrame, traces: DataFrame, folder: str, held: dict[str, D
     if held:
         pairs = pairs.join(held["bands"].where("band = 0").select("digest", "split"), ["digest", "split"], "left_anti")
     pairs = written(pairs, "index-pairs")
-    fresh = written(C.task_index(rows.join(pairs.select("digest").distinct(), "digest", "left_semi")), "index-shingles")
-    signed = written(fresh.select("digest", F.size("shingles").alias("n"), minhash_bands("shingles").alias("bands")), "index-signed")
-    new(fresh, "tasks").write.parquet(f"{folder}/{name}/tasks")
-    bands = signed.select("digest", "n", F.posexplode_outer("bands").alias("band", "value")).join(pairs, "digest")
+    fresh = written(C.fingerprints(rows.join(pairs.select("digest").distinct(), "digest", "left_semi")), "index-signed")
+    new(fresh.select("digest", "shingles"), "tasks").write.parquet(f"{folder}/{name}/tasks")
+    bands = fresh.select("digest", "n", F.posexplode_outer("bands").alias("band", "value")).join(pairs, "digest")
     bands.select("band", "value", "digest", "split", "n").repartition("band", "value").write.parquet(f"{folder}/{name}/bands")
     new(groups, "task_groups").write.parquet(f"{folder}/{name}/task_groups")
     new(traces.select("digest", "split").distinct(), "traces").write.parquet(f"{folder}/{name}/traces")
@@ -114,18 +112,17 @@ class Index:
         exact = mine.join(groups, "digest").where(other).select("candidate", F.lit("cross_split_exact_task").alias("finding"))
         trace = mine.join(self.table("traces").select(F.col("digest").alias("trace"), F.col("split").alias("t")), "trace").where(other)
         trace = trace.select("candidate", F.lit("cross_split_exact_trace").alias("finding"))
-        sets = written(C.task_index(mine), "index-own")
-        signed = written(sets.select("digest", F.size("shingles").alias("n"), minhash_bands("shingles").alias("bands")), "index-own-signed")
-        own = signed.select(F.col("digest").alias("a"), F.col("n").alias("n_a"), F.posexplode_outer("bands").alias("band", "value")).join(mine.select(F.col("digest").alias("a"), "split").distinct(), "a")
+        sets = written(C.fingerprints(mine), "index-own")
+        own = sets.select(F.col("digest").alias("a"), F.col("n").alias("n_a"), F.posexplode_outer("bands").alias("band", "value")).join(mine.select(F.col("digest").alias("a"), "split").distinct(), "a")
         own = written(own, "index-own-bands")
         theirs = self.table("bands").select("band", "value", F.col("digest").alias("b"), F.col("split").alias("t"), F.col("n").alias("n_b"))
         theirs = written(theirs.join(own.select("band", "value").distinct(), ["band", "value"], "left_semi"), "index-met")
-        both = self.table("tasks").unionByName(sets).dropDuplicates(["digest"])
+        both = self.table("tasks").unionByName(sets.select("digest", "shingles"))
 
         def near(left: DataFrame, right: DataFrame) -> DataFrame:
-            fits = F.least("n_a", "n_b") >= C.THRESHOLD * F.greatest("n_a", "n_b")
-            pairs = written(left.join(right, ["band", "value"]).where(other & (F.col("a") != F.col("b")) & fits).select("a", "split", "b").distinct(), "index-pairs-met")
-            met = C.similar(pairs.select("a", "b").distinct(), both).select("a", "b")
+            pairs = written(left.join(right, ["band", "value"]).where(other & (F.col("a") != F.col("b")) & C.sizes_fit("n_a", "n_b")).select("a", "split", "b").distinct(), "index-pairs-met")
+            # only the sets of these pairs are read on
+            met = C.similar(pairs.select("a", "b").distinct(), written(C.among(pairs, both).dropDuplicates(["digest"]), "index-sets")).select("a", "b")
             return pairs.join(met, ["a", "b"]).select("a", "split").distinct()
 
         first = theirs.groupBy("band", "value", "t").agg(F.min(F.struct("b", "n_b")).alias("x")).select("band", "value", "t", "x.*")
