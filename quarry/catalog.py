@@ -216,8 +216,8 @@ def exact_text_dedup(spark, sf_dir):
     return text_digest(spark, sf_dir).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-def _tasks(spark, sf_dir) -> DataFrame:
-    return docs_split(spark, sf_dir, "doc_id", "text", "split").withColumn("folded", I.folded_text(F.col("text"))).withColumn("digest", F.sha2("folded", 256))
+def _tasks(spark, sf_dir, *more: str) -> DataFrame:
+    return docs_split(spark, sf_dir, "doc_id", "text", "split", *more).withColumn("folded", I.folded_text(F.col("text"))).withColumn("digest", F.sha2("folded", 256))
 
 
 @query(f"""WITH {_DOCS} SELECT digest, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM (SELECT split, sha256({_FOLDED}) AS digest FROM docs) GROUP BY digest HAVING count(DISTINCT split) > 1""")
@@ -358,10 +358,12 @@ FROM ({_sensitive_sql()}) JOIN (SELECT doc_id, text, {_LICENCE_SQL} AS licence F
 
 def _audit(spark, sf_dir) -> DataFrame:
     outcome = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").withColumn("licence", _licence()).join(outcome, "doc_id", "left").withColumn("planted", F.expr(_PLANTED))
-    more = [F.when(F.col("licence").isNotNull() & ~F.col("licence").isin(*X.LICENCES), "unverified_repo_license"), F.when(F.col("quality").isNull(), "unknown_outcome"), F.when(F.trim("text") == "", "missing_task_identity")]
-    found = F.array_sort(F.array_distinct(F.concat(X.sensitive_findings(F.col("planted")), F.array_compact(F.array(*more)))))
-    return docs.select("doc_id", "source", found.alias("findings"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").withColumn("licence", _licence()).withColumn("planted", F.expr(_PLANTED))
+    licence = F.when(F.col("licence").isNotNull() & ~F.col("licence").isin(*X.LICENCES), "unverified_repo_license")
+    # what a text shows is found before the join, so that no text is shuffled
+    docs = docs.select("doc_id", "source", X.sensitive_findings(F.col("planted")).alias("sensitive"), licence.alias("licence"), F.when(F.trim("text") == "", "missing_task_identity").alias("blank"))
+    more = F.array_compact(F.array("licence", F.when(F.col("quality").isNull(), "unknown_outcome"), "blank"))
+    return docs.join(outcome, "doc_id", "left").select("doc_id", "source", F.array_sort(F.array_distinct(F.concat("sensitive", more))).alias("findings"))
 
 
 @query(f"WITH {_AUDIT_SQL} SELECT doc_id, array_to_string(findings, ',') AS findings FROM audit WHERE len(findings) > 0")
@@ -490,10 +492,9 @@ def even_spread_round(spark, sf_dir):
 @query()
 def greedy_quota_admission(spark, sf_dir):
     audit = _audit(spark, sf_dir).select("doc_id", "findings")
-    docs = docs_split(spark, sf_dir, "doc_id", "text", "lang", "split").join(audit, "doc_id")
-    digest = F.sha2(I.folded_text(F.col("text")), 256)
+    docs = _tasks(spark, sf_dir, "lang").select("doc_id", "lang", "split", "digest").join(audit, "doc_id")  # digests meet findings, texts don't
     rows = docs.select(S.order_key(20260905, F.col("doc_id")).alias("place"), F.col("doc_id").cast("string").alias("candidate"), F.col("doc_id").cast("string").alias("task_id"),
-                       digest.alias("task_digest"), digest.alias("content_digest"), "split", F.col("lang").alias("teacher"), "findings")
+                       F.col("digest").alias("task_digest"), F.col("digest").alias("content_digest"), "split", F.col("lang").alias("teacher"), "findings")
     return S.greedy_admission(rows, {"train": 180, "dev": 10, "test": 10}, {"train": 90, "dev": 5, "test": 5})
 
 

@@ -43,6 +43,21 @@ def test_admission_of_nothing(spark):
     assert selection.greedy_admission(spark.createDataFrame([], ddl), {"train": 1}, {"train": 1}).count() == 0
 
 
+def test_greedy_admission_in_short_stretches(spark, monkeypatch):
+    monkeypatch.setattr(selection, "STRETCH", 20)
+    test_greedy_admission_by_brute_force(spark, 1)
+
+
+def test_greedy_admission_compares_no_row_behind_the_last_quota(spark, monkeypatch):
+    compared, first_of_all = [], selection.first_of_all
+    monkeypatch.setattr(selection, "STRETCH", 64, raising=False)
+    monkeypatch.setattr(selection, "first_of_all", lambda rows: compared.append(rows.count()) or first_of_all(rows))
+    names = [f"cast(id as string) as {c}" for c in ("candidate", "task_id", "task_digest", "content_digest")]
+    rows = spark.range(3000).selectExpr("id as place", *names, "'train' as split", "if(id % 2 = 0, 'p', 'q') as teacher", "cast(array() as array<string>) as findings")
+    took = selection.greedy_admission(rows, {"train": 5}, {"train": 3}).where("accepted")
+    assert sorted(int(r.candidate) for r in took.collect()) == [0, 1, 2, 3, 4] and sum(compared) < 200
+
+
 def test_numbered_ties_and_parts(spark):
     rows = spark.createDataFrame([(i % 7, i) for i in range(100)], "a int, b int")
     found, n = numbered(rows, ["a", "b"])
