@@ -13,7 +13,7 @@ from . import schemas
 from .catalog import over_conversations, query
 from .operators.episodes import TOOL_HELP
 from .plans import release, sft
-from .scratch import shared_dir
+from .scratch import shared_dir, written
 from .sources import traces
 
 #: The turns as SQL that both engines read; ``acts``: a call, ``answers``: the turn of the call that a turn answers.
@@ -152,6 +152,7 @@ def _released(spark, sf_dir) -> str:
         "resolved": F.expr("case conv_id % 3 when 0 then -1 when 1 then 1 else 0 end"), "license": F.lit("MIT"), "tools": F.array(F.lit(_TOOL)),
     })
     episodes = traces.open_swe_traces(rows).withColumns({"source_revision": F.lit("a" * 40), "source_license": F.lit("cc-by-4.0")}).drop("error", "record_sha256", "source_file", "row_index")
+    episodes = written(episodes, "episodes")  # the adapter runs once
     splits = episodes.select("source_record_id", F.expr("case cast(source_record_id as bigint) % 7 when 0 then 'dev' when 1 then 'test' else 'train' end").alias("split"))
     folder = f"{shared_dir(spark)}/quarry/release-{uuid.uuid4().hex}"
     release.build(episodes, splits, folder)

@@ -33,14 +33,15 @@ def content_digest(df: DataFrame) -> tuple[int, str]:
 def build(episodes: DataFrame, splits: DataFrame, folder: str, chosen: DataFrame | None = None, provenance: dict | None = None) -> dict:
     """Write the release of normalized episodes (splits: source_record_id, split) to folder; it must not exist.
 
-    ``chosen`` (episode_id, message_index) are the decisions to hold, all of them by default; provenance goes into the manifest."""
+    ``chosen`` (episode_id, message_index) are the decisions to hold, all of them by default; provenance goes into the manifest.  Episodes that
+    an adapter makes should be written first: the join reads their ids, and so do splits made from them, each by running the adapter again."""
     spark = episodes.sparkSession
     temporary = f"{folder.rstrip('/')}.building"
     for path in (folder, temporary):
         fs, p = _fs(spark, path)
         if fs.exists(p):
             raise FileExistsError(path)
-    df = written(canonical.with_ids(episodes.join(splits, "source_record_id")), "release-episodes")  # the adapters run once
+    df = written(canonical.with_ids(episodes.join(splits, "source_record_id")), "release-episodes")
     blobs.put(df, f"{temporary}/traces")
     tables = {"episodes": canonical.episode_table(df), "decisions": canonical.decision_table(df, chosen)}
     for name, schema in HASHED.items():

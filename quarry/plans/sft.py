@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import metrics as M
 from ..operators import reconcile as R
-from ..scratch import read_text, write_once, written
+from ..scratch import LONG_ROWS, read_text, write_once, written
 from . import canonical, release, windows
 
 LEDGER = ["decision_id", "episode_id", "reason", "split"]
@@ -53,9 +53,9 @@ def build(spark: SparkSession, release_folder: str, folder: str, vocabulary: lis
     if not restored.where("not restored").isEmpty():
         raise ValueError("an episode's trace is not what its release says")
     records = windows.token_records(restored.withColumn("tools", F.col("tools_schema")), vocabulary, max_tokens, index)
-    records = written(records, "sft-records")
+    records = written(records, "sft-records", **LONG_ROWS)
     names = [f.name for f in schemas.TOKENS.fields]
-    records.where("excluded is null").select(*names).write.option("compression", "zstd").partitionBy("split").parquet(f"{folder}/records")
+    records.where("excluded is null").select(*names).write.options(compression="zstd", **LONG_ROWS).partitionBy("split").parquet(f"{folder}/records")
     ledger = records.where("excluded is not null").select(F.to_json(F.struct("decision_id", "episode_id", F.col("excluded").alias("reason"), "split")).alias("value"))
     ledger.write.text(f"{folder}/excluded")
     counts = {k: {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()} for k, rows in (("accepted", records.where("excluded is null")), ("excluded", records.where("excluded is not null")))}

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Bytes of rows that Python gets at a time; Spark's own bound, kept for values, is too large where all rows hold long texts.
 BATCH_BYTES = 8 << 20
+#: Options of a Parquet table whose rows may hold hundreds of thousands of values: row groups end after some MB of them.  Spark's reader takes up to
+#: 4,096 rows of a row group at once, whatever their size.
+LONG_ROWS = {"parquet.block.size": str(1 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+def written(df: DataFrame, name: str, *folders: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder, read back: later steps start from it, also after executors are lost.  ``folders``:
-    columns by whose values it lies in folders, so that readers can leave some out."""
+    columns by whose values it lies in folders, so that readers can leave some out.  ``options``: the writer's."""
     path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
+    write = df.write.options(**options)
+    write.partitionBy(*folders).parquet(path) if folders else write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

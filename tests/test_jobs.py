@@ -1,10 +1,11 @@
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import schemas
-from quarry.plans import release, windows
+from quarry import catalog_sources, schemas
+from quarry.plans import release, sft, windows
 from quarry.sources import blobs, traces
 from quarry.streaming import ingest
 
@@ -237,3 +238,29 @@ def test_ingest(spark, tmp_path):
     assert blobs.read(spark, store).count() == 2
     refs = blobs.read(spark, store).select(F.concat(F.lit("sha256:"), "digest").alias("ref"))
     assert blobs.get(refs, store).where("intact").count() == 2
+
+
+def test_a_release_of_conversations_runs_its_adapter_once(spark, sf, monkeypatch):
+    """The episodes and splits that a release joins are read from files; their join would run the adapter's Python once for each id it reads."""
+    joined = []
+    monkeypatch.setattr(catalog_sources.release, "build", lambda episodes, splits, folder: joined.append(episodes.join(splits, "source_record_id")))
+    catalog_sources._released(spark, sf)
+    assert "EvalPython" not in joined[0]._jdf.queryExecution().executedPlan().toString() and joined[0].count() > 0
+
+
+def test_row_groups_of_token_records_are_bounded(spark, tmp_path):
+    """The reader takes up to 4,096 rows of a row group at once: records of a long episode lie in several."""
+    said = "the river Oder rises " * 60
+    talk = [("assistant" if i % 2 else "user", f"{i} {said}") for i in range(120)]
+    kind = "array<struct<role:string,content:string>>"
+    rows = spark.createDataFrame([("t1", "o__r-1", "o/r", 1, "ok", talk)], f"trajectory_id string, instance_id string, repo string, resolved int, exit_status string, trajectory {kind}")
+    episodes = traces.nebius_openhands(rows).drop("error")
+    release.build(episodes, episodes.select("source_record_id", F.lit("train").alias("split")), str(tmp_path / "release"))
+    made = sft.build(spark, str(tmp_path / "release"), str(tmp_path / "inputs"), [f"{b + 1} {bytes([b])!r} 1" for b in range(256)], 1 << 20)
+    assert made["accepted"] == {"train": 60}
+    groups = [
+        f.metadata.row_group(i).column(j).num_values
+        for f in map(pq.ParquetFile, tmp_path.glob("inputs/records/*/*.parquet")) for i in range(f.metadata.num_row_groups) for j in range(f.metadata.num_columns)
+        if f.metadata.row_group(i).column(j).path_in_schema.startswith("token_ids")
+    ]
+    assert sum(groups) == made["tokens"]["train"]["input"]["total"] + 60 > 4_000_000 and max(groups) < 2_000_000
