@@ -21,7 +21,7 @@ from .operators import metrics as M
 from .operators import packing as P
 from .operators import reconcile as R
 from .operators import selection as S
-from .scratch import text_batches
+from .scratch import text_batches, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -250,9 +250,9 @@ def minhash_bands(spark, sf_dir):
     return C.bands(C.prepared(_tasks(spark, sf_dir)).select("digest", "bands").dropDuplicates(["digest"])).select("digest", "band", "value")
 
 
-@query(f"WITH {_bands_sql()}, least AS (SELECT band, value, min(digest) AS a FROM bands GROUP BY band, value) SELECT DISTINCT a, digest AS b FROM bands JOIN least USING (band, value) WHERE digest <> a")
+@query(f"WITH {_bands_sql()} SELECT DISTINCT x.digest AS a, y.digest AS b FROM bands x JOIN bands y USING (band, value) WHERE x.digest < y.digest")
 def lsh_candidates(spark, sf_dir):
-    return C.bucket_links(minhash_bands(spark, sf_dir))
+    return C.bucket_links(written(minhash_bands(spark, sf_dir), "contamination-bands"))
 
 
 _NEAR = f"""{_bands_sql()}, own AS (SELECT DISTINCT sha256(folded) AS digest, split FROM tasks), placed AS (SELECT * FROM bands JOIN own USING (digest)),

@@ -7,13 +7,18 @@ others, so a group of near copies costs about its size.  Shingles are made again
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint, joined_words, shingle_hashes, shingles, signature, words
+from ..functions.text import BANDS, fingerprint, joined_words, shingle_hashes, shingles, signature, words
 from ..scratch import small_side, text_batches, written
 
 THRESHOLD = 0.8
+#: Rows of a block of a bucket.
+BLOCK_ROWS = 500
 
 
 def task_index(tasks: DataFrame) -> DataFrame:
@@ -46,10 +51,24 @@ def bands(index: DataFrame) -> DataFrame:
     return index.select(*others, F.posexplode_outer("bands").alias("band", "value"))  # outer: no second signature for a filter
 
 
-def bucket_links(found: DataFrame) -> DataFrame:
-    """Distinct (a, b): each digest b of a bucket with the bucket's smallest digest a; they span all that share buckets."""
-    least = found.groupBy("band", "value").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return found.join(least, ["band", "value"]).where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+def bucket_links(found: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Distinct (a, b), a < b, of all digests that share a bucket.  ``found``: written rows (digest, band, value), a digest once a band.
+
+    A bucket of more than ``block`` rows is dealt out in blocks, and each two of its blocks meet by themselves; a pair comes from the
+    first band that it shares, so pairs are not shuffled."""
+    shared = found.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(shared.select("band", "value", F.monotonically_increasing_id().alias("bucket"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "contamination-shared")
+    held = found.join(small_side(shared), ["band", "value"]).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("bucket", "blocks")))).alias("held"))
+    at = F.array(*[F.try_element_at("held", F.lit(i))["bucket"] for i in range(BANDS)])
+    rows = held.select("digest", at.alias("at"), F.explode("held").alias("band", "x")).select("digest", "at", "band", "x.*")
+    rows = written(rows.withColumn("own", F.pmod(F.xxhash64("digest"), "blocks").cast("int")), "contamination-buckets")
+    cell, parts = ["bucket", "band", "i", "j"], int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # numbered partitions: cells are small, so by their bytes many of them would come into one task
+    left = rows.select("bucket", "band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("digest").alias("a"), F.col("at").alias("p")).repartition(parts, *cell)
+    right = rows.select("bucket", "band", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("digest").alias("b"), F.col("at").alias("q")).repartition(parts, *cell)
+    before = reduce(or_, [(F.col("band") > i) & F.coalesce(F.col("p")[i] == F.col("q")[i], F.lit(False)) for i in range(BANDS - 1)])
+    met = left.join(right, cell).where("i < j or a < b").where(~before)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -113,3 +113,34 @@ def test_signatures_are_made_of_short_and_long_texts(spark):
     assert sorted(map(tuple, index.select("digest", "n", "bands").collect())) == sorted(map(tuple, old.collect())) and index.count() == len(texts)
     each = C.fingerprints(tasks).select("digest", "n", "bands", F.size("shingles").alias("kept")).collect()
     assert sorted((r.digest, r.n, r.bands) for r in each) == sorted(map(tuple, old.collect())) and all(r.n == r.kept for r in each)
+
+
+def test_all_pairs_of_a_bucket_are_candidates(spark):
+    """Not only those with a bucket's smallest digest; each pair once, however many buckets it shares and blocks these have."""
+    from itertools import combinations
+
+    from quarry.operators import contamination as C
+
+    three = spark.createDataFrame([(d, 0, "v") for d in "abc"], "digest string, band int, value string")
+    assert sorted(map(tuple, C.bucket_links(three).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
+    held = {(f"d{i:02}", band, f"v{i % (band + 2) if band < 6 else i * 9 + band}") for i in range(23) for band in range(8)} - {("d04", 0, "v0"), ("d07", 3, "v2")}
+    plain = {(a, b) for (a, p, v), (b, q, w) in combinations(sorted(held), 2) if p == q and v == w and a < b}
+    found = spark.createDataFrame(sorted(held), "digest string, band int, value string")
+    for block in (1, 3, 500):
+        pairs = C.bucket_links(found, block).select("a", "b").collect()
+        assert len(pairs) == len(plain) and set(map(tuple, pairs)) == plain
+
+
+def test_near_texts_are_all_candidates_of_each_other(spark, tmp_path):
+    import duckdb
+
+    from quarry import catalog
+
+    same = " ".join(f"word{i}" for i in range(40))
+    texts = [same, same + ".", same.replace(" ", ", "), same.upper(), same + "!", "", None, "another text of more than five words"]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, catalog.QUERIES["lsh_candidates"](spark, str(tmp_path)).select("a", "b").collect()))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert len(found) == 6 and found == sorted(duck.execute(f"select a, b from ({catalog.ORACLE_SQL['lsh_candidates']})").fetchall())
